@@ -25,7 +25,7 @@ _pow = np.ones(1, dtype=U64)
 _inv = np.ones(1, dtype=U64)
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _pow, _inv
     if len(_pow) < n:
         with np.errstate(over="ignore"):
@@ -71,7 +71,7 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def _cuts(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int]]:
+def cuts(data: np.ndarray, offsets: np.ndarray, word: np.ndarray = _WORD) -> Iterator[tuple[int, int]]:
     """Byte ranges of about PIECE bytes that cut no word."""
     at, end = 0, len(data)
     while at < end:
@@ -81,21 +81,21 @@ def _cuts(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int]]:
             if offsets[k] > at:
                 to = int(offsets[k])
             else:  # inside one long row: cut before a word
-                gaps = np.flatnonzero(~_WORD[data[at:to]])
+                gaps = np.flatnonzero(~word[data[at:to]])
                 if len(gaps):
                     to = at + int(gaps[-1]) + 1
                 else:
                     row_end = int(offsets[k + 1])
-                    while to < row_end and _WORD[data[to]]:
-                        more = np.flatnonzero(~_WORD[data[to : min(to + PIECE, row_end)]])
+                    while to < row_end and word[data[to]]:
+                        more = np.flatnonzero(~word[data[to : min(to + PIECE, row_end)]])
                         to = to + int(more[0]) if len(more) else min(to + PIECE, row_end)
         yield at, to
         at = to
 
 
-def spans(data: np.ndarray, offsets: np.ndarray, at: int, to: int) -> tuple[np.ndarray, np.ndarray]:
+def spans(data: np.ndarray, offsets: np.ndarray, at: int, to: int, word: np.ndarray = _WORD) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends, within data[at:to], of the words there."""
-    inside = _WORD[data[at:to]]
+    inside = word[data[at:to]]
     edges = offsets[(offsets >= at) & (offsets <= to)] - at
     before = np.zeros(to - at, dtype=bool)
     before[1:] = inside[:-1]
@@ -110,11 +110,11 @@ def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Keys of all words in order, and each row's offsets into them (rows + 1)."""
     data, offsets = buffers(column)
     keys, starts = [], []
-    for at, to in _cuts(data, offsets):
+    for at, to in cuts(data, offsets):
         first, last = spans(data, offsets, at, to)
         if not len(first):
             continue
-        power, inverse = _powers(to - at + 1)
+        power, inverse = powers(to - at + 1)
         with np.errstate(over="ignore"):
             total = np.zeros(to - at + 1, U64)
             np.cumsum((_LOWER[data[at:to]].astype(U64) + U64(1)) * power[: to - at], out=total[1:])

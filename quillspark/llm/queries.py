@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quillspark.llm.katz import katz_scores
+from quillspark.llm.rotacode import near_vectors
+from quillspark.llm.rules import quality_scores
+from quillspark.llm.setsketch import near_duplicates
 from quillspark.session import ship
 
 
@@ -22,5 +25,22 @@ def op1_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz_scores(_table(spark, sf_dir, "documents"), ~_held(7, 2))
 
 
-QUERIES = {"op1_katz_backoff": op1_katz_backoff}
+def op2_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op3_rotation_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+def op4_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), ~_held(4, 2))
+
+
+QUERIES = {
+    "op1_katz_backoff": op1_katz_backoff,
+    "op2_setsketch": op2_setsketch,
+    "op3_rotation_codes": op3_rotation_codes,
+    "op4_rule_ensemble": op4_rule_ensemble,
+}
 ORACLES: dict[str, str] = {}
