@@ -157,6 +157,12 @@ def unpack_sorted(data: bytes, at: int = 0) -> tuple[np.ndarray, int]:
     return np.cumsum(gaps, dtype=U64), at
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted distinct values."""
+    values = np.sort(values)
+    return values[segments(values)]
+
+
 def segments(values: np.ndarray) -> np.ndarray:
     """Starts of the runs of equal values."""
     if not len(values):

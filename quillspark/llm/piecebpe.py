@@ -31,6 +31,8 @@ MARK = "▁"
 NONE = np.int32(2**31 - 1)
 LONG = 400  # symbols beyond which a sequence goes by itself
 
+REMEMBERED = 600_000  # words whose counts a process keeps
+
 
 @dataclass
 class PieceModel:
@@ -101,6 +103,7 @@ class Merger:
             slot[todo] = (slot[todo] + 1) % size
         self.word = np.ones(256, bool)
         self.word[[32, *model.breaks]] = False
+        self.seen = (np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, bool))
         self.of_run: dict[int, int] = {0: 0}
         self.rank = np.append(model.rank, NONE)  # -1 gives NONE
 
@@ -213,7 +216,10 @@ class Merger:
             n = n - 1
             at = np.cumsum(n) - n
             here = new[hit]
-            changed = np.unique(np.concatenate([here, here[here > 0] - 1]))
+            touched = np.zeros(len(sym), bool)
+            touched[here] = True
+            touched[here[here > 0] - 1] = True
+            changed = np.flatnonzero(touched)
             piece[changed] = pieces(changed, ends)
         return count, first
 
@@ -225,11 +231,36 @@ class Merger:
         data, offsets = K.buffers(column)
         rows = len(offsets) - 1
         total = np.zeros(rows, np.int64)
-        for at, to in K.cuts(data, offsets, self.word):
-            self._add(data, offsets, at, to, total)
+        found = [self._add(data, offsets, at, to, total) for at, to in K.cuts(data, offsets, self.word)]
+        if found:
+            keys, first, last, before = (np.concatenate(x) for x in zip(*found, strict=True))
+            every, example, where = np.unique(keys, return_index=True, return_inverse=True)
+            tokens, lone = self._known(every, data, first[example], last[example], before[example] > 0)
+            # a run's last mark goes with its word, unless it stays alone
+            extra = np.where(before == 0, 0, np.where(lone[where], self.runs(before) - 1, self.runs(np.maximum(before - 1, 0))))
+            total += np.bincount(np.searchsorted(offsets, first, "right") - 1, tokens[where] + extra, rows).astype(np.int64)
         return total
 
-    def _add(self, data: np.ndarray, offsets: np.ndarray, at: int, to: int, total: np.ndarray) -> None:
+    def _known(self, keys: np.ndarray, data: np.ndarray, first: np.ndarray, last: np.ndarray, marked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(tokens, whether the mark stays alone) by sorted key; words of earlier calls are remembered, up to a bound."""
+        at = np.minimum(np.searchsorted(self.seen[0], keys), max(len(self.seen[0]) - 1, 0))
+        old = self.seen[0][at] == keys if len(self.seen[0]) else np.zeros(len(keys), bool)
+        tokens, lone = np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+        tokens[old], lone[old] = self.seen[1][at[old]], self.seen[2][at[old]]
+        new = np.flatnonzero(~old)
+        if len(new):
+            n = (last - first)[new]
+            ends = np.cumsum(n)
+            tokens[new], lone[new] = self._words(data[K.ranges(first[new], n)], ends - n, ends, marked[new])
+            if len(self.seen[0]) + len(new) > REMEMBERED:
+                self.seen = (keys, tokens, lone)
+            else:
+                order = np.argsort(every := np.concatenate([self.seen[0], keys[new]]), kind="stable")
+                self.seen = (every[order], np.concatenate([self.seen[1], tokens[new]])[order], np.concatenate([self.seen[2], lone[new]])[order])
+        return tokens, lone
+
+    def _add(self, data: np.ndarray, offsets: np.ndarray, at: int, to: int, total: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Counts what is no word into total; (key, start, end, marks before) of the words of data[at:to]."""
         part = data[at:to]
         first, last = K.spans(data, offsets, at, to, self.word)
 
@@ -257,18 +288,12 @@ class Merger:
         total += np.bincount(row_of(run[alone]), self.runs(marks[alone]), len(total)).astype(np.int64)
         lonely = begins[~blank[begins] & ~starts_word[begins]]  # a dummy mark before a control character
         total += np.bincount(row_of(lonely), minlength=len(total))
-        if not len(first):
-            return
         before = np.where(is_begin[first], 1, after_run[first])
         power, inverse = K.powers(len(part) + 1)
         sums = np.zeros(len(part) + 1, U64)
         np.cumsum((part.astype(U64) + U64(1)) * power[: len(part)], out=sums[1:])
         keys = K.mix((sums[last] - sums[first]) * inverse[first])
-        keys = (keys & ~U64(1)) | (before > 0).astype(U64)
-        _, example, where = np.unique(keys, return_index=True, return_inverse=True)
-        tokens, lone = self._words(part, first[example], last[example], before[example] > 0)
-        extra = np.where(lone[where], self.runs(before) - 1, self.runs(np.maximum(before - 1, 0)))
-        total += np.bincount(row_of(first), tokens[where] + np.where(before > 0, extra, 0), len(total)).astype(np.int64)
+        return (keys & ~U64(1)) | (before > 0).astype(U64), first + at, last + at, before
 
     def _words(self, part: np.ndarray, first: np.ndarray, last: np.ndarray, marked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(tokens, whether the mark stays alone) of words, with a mark before those that are marked."""

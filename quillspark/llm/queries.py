@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quillspark.llm.katz import katz_scores
+from quillspark.llm.piecebpe import PieceModel, token_counts
 from quillspark.llm.rotacode import near_vectors
 from quillspark.llm.rules import quality_scores
 from quillspark.llm.setsketch import near_duplicates
@@ -37,10 +38,17 @@ def op4_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), ~_held(4, 2))
 
 
+def op7_piece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_counts(_table(spark, sf_dir, "documents"), PieceModel.load(str(public_tokenizers.path("piece_bpe_32k.model"))))
+
+
 QUERIES = {
     "op1_katz_backoff": op1_katz_backoff,
     "op2_setsketch": op2_setsketch,
     "op3_rotation_codes": op3_rotation_codes,
     "op4_rule_ensemble": op4_rule_ensemble,
+    "op7_piece_counts": op7_piece_counts,
 }
 ORACLES: dict[str, str] = {}

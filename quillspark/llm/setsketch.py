@@ -134,12 +134,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                 hashes, offsets = shingles(keys, offsets, size)
                 n = np.zeros(batch.num_rows, np.int64)
                 sums = np.zeros((batch.num_rows, 2), np.int64)
-                mixed = K.mix(hashes ^ U64(0x8EBC6AF09C88C6E3))
                 for i in range(batch.num_rows):
-                    own = np.sort(hashes[offsets[i] : offsets[i + 1]])
+                    own = K.distinct(hashes[offsets[i] : offsets[i + 1]])
                     if len(own):
-                        new = np.concatenate([[True], own[1:] != own[:-1]])
-                        own = own[new]
                         n[i] = len(own)
                         sums[i] = own.sum(dtype=U64).view(np.int64), np.bitwise_xor.reduce(own).view(np.int64)
                 regs = registers(hashes, offsets, m)
@@ -149,7 +146,6 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                     for r in range(rows):
                         k = K.fold(k, regs[:, b * rows + r].astype(U64))
                     keys[:, b] = k
-                del mixed
                 count = batch.num_rows
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -195,7 +191,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             for batch in batches:
                 keys, offsets = K.words(batch.column("text"))
                 hashes, offsets = shingles(keys, offsets, size)
-                own = [np.unique(hashes[offsets[i] : offsets[i + 1]]) for i in range(batch.num_rows)]
+                own = [K.distinct(hashes[offsets[i] : offsets[i + 1]]) for i in range(batch.num_rows)]
                 ends = np.cumsum([0, *map(len, own)])
                 values = np.concatenate(own) if own else np.zeros(0, U64)
                 yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values.view(np.int64)))], ["id", "words"])
