@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from quillspark.llm.crossparse import languages
+from quillspark.llm.curriculum import mix
+from quillspark.llm.decontaminate import contamination
 from quillspark.llm.katz import katz_scores
+from quillspark.llm.packing import shard
 from quillspark.llm.piecebpe import PieceModel, token_counts
 from quillspark.llm.rotacode import near_vectors
 from quillspark.llm.rules import quality_scores
 from quillspark.llm.setsketch import near_duplicates
+from quillspark.llm.warc import round_trip
 from quillspark.session import ship
 
 
@@ -38,17 +43,43 @@ def op4_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), ~_held(4, 2))
 
 
+def op5_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op6_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages(_table(spark, sf_dir, "documents"), ~_held(3, 1))
+
+
 def op7_piece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return token_counts(_table(spark, sf_dir, "documents"), PieceModel.load(str(public_tokenizers.path("piece_bpe_32k.model"))))
 
 
+def op8_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard(_table(spark, sf_dir, "documents"))
+
+
+def op9_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(_table(spark, sf_dir, "pages"))
+
+
+def op10_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix(_table(spark, sf_dir, "documents")).withColumn("position", F.get("positions", F.lit(0))).drop("positions")
+    return mixed.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
+
+
 QUERIES = {
     "op1_katz_backoff": op1_katz_backoff,
     "op2_setsketch": op2_setsketch,
     "op3_rotation_codes": op3_rotation_codes,
     "op4_rule_ensemble": op4_rule_ensemble,
+    "op5_cgk_decontamination": op5_cgk_decontamination,
+    "op6_cross_parsing": op6_cross_parsing,
     "op7_piece_counts": op7_piece_counts,
+    "op8_vector_packing": op8_vector_packing,
+    "op9_warc_salvage": op9_warc_salvage,
+    "op10_curriculum": op10_curriculum,
 }
 ORACLES: dict[str, str] = {}

@@ -62,3 +62,8 @@ def scan_bytes(df: DataFrame) -> int:
 def buckets(df: DataFrame, each: int, least: int = 8) -> int:
     """How many groups of about `each` bytes of input there are; grows with the input."""
     return max(least, min(-(-scan_bytes(df) // each), 1 << 20))
+
+
+def missing(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
