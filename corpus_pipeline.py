@@ -1,15 +1,84 @@
-"""The corpus pipeline: each stage's result is written as Parquet and read again by the next."""
+"""The corpus pipeline: each stage's result is written as Parquet and read again by the next.
+
+A stage takes (spark, docs, sf_dir) and returns the columns of documents; the last returns the
+assignment of each row to a shard. Texts are shuffled only where their place changes (mixing).
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from quillspark.llm import shared
+from quillspark.llm.curriculum import mix
+from quillspark.llm.decontaminate import contamination
+from quillspark.llm.packing import shard
+from quillspark.llm.queries import held_out
+from quillspark.llm.rules import quality_filter
+from quillspark.llm.setsketch import near_duplicates
+from quillspark.session import ship
+
+#: Ids that may be broadcast; beyond it the join shuffles.
+FEW = 1_000_000
+
+
+def _small(ids: DataFrame) -> DataFrame:
+    return F.broadcast(ids) if ids.count() <= FEW else ids
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rule ensemble rejects go."""
+    ship(spark)
+    return quality_filter(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), ~held_out(4, 2))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group stays; of rows that repeat an id one stays as well."""
+    ship(spark)
+    found = shared.keep(near_duplicates(docs, percent=80), "dedup")
+    gone = shared.keep(found.where("not kept").select("doc_id").distinct(), "dedup-gone")
+    kept = docs.join(_small(gone), "doc_id", "left_anti")
+    again = shared.keep(found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "dedup-again")
+    if not again.isEmpty():
+        again = _small(again)
+        kept = kept.join(again, "doc_id", "left_anti").unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    return kept.select(*docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, up to a fifth of its words edited, go."""
+    ship(spark)
+    found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    dirty = shared.keep(found.where("contaminated").select("doc_id").distinct(), "decontaminate")
+    return docs.join(_small(dirty), "doc_id", "left_anti").select(*docs.columns)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each pass over a document, whole, range-sorted by training position; others go.
+
+    Rows without an id are matched by their text; rows that share an id are each taken as often as all.
+    """
+    ship(spark)
+    key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("?"), F.xxhash64("text").cast("string")))
+    named = docs.withColumn("__row", key)
+    passes = mix(named, id_col="__row").select("__row", F.explode("positions").alias("__position"))
+    out = named.join(passes, "__row").drop("__row")
+    return out.repartitionByRange("__position").sortWithinPartitions("__position").select(*docs.columns)
+
+
+def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return shard(docs)
+
+
+STAGES = [("quality", quality), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("mixing", mixing), ("sharding", sharding)]
 
-STAGES: list = []
+#: SQL expresses neither the classifier nor the sketches; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages applied to documents, each result written in the shared folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = shared.keep(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

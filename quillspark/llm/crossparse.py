@@ -166,24 +166,19 @@ def languages(docs: DataFrame, learn: Column, *, id_col: str = "doc_id", text_co
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = _parser(holder.value)
         names = np.array([*parser.langs, "und"], object)
-        for batch in batches:
+        for batch in K.pieces(batches, "text"):
             text = batch.column("text")
-            at = 0
-            sizes = np.cumsum(np.diff(K.buffers(text)[1]))
-            while at < batch.num_rows:
-                to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + (4 << 20), "right")))
-                part, at0, at = text.slice(at, to - at), at, to
-                worded = pc.fill_null(pc.match_substring_regex(part, r"\p{L}"), False).to_numpy(zero_copy_only=False)
-                n = np.maximum(np.diff(K.buffers(part)[1]), 1)
-                if parser.langs:
-                    counts = parser.phrases(part)
-                    best = counts.argmin(axis=1)
-                    gap = (counts - counts.min(axis=1, keepdims=True)) / n[:, None]
-                    score = 1 / np.exp2(-sharpness * gap).sum(axis=1)
-                else:
-                    best, score, worded = np.zeros(len(n), np.int64), np.zeros(len(n)), np.zeros(len(n), bool)
-                best = np.where(worded, best, len(parser.langs))
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(at0, to - at0), batch.column("held").slice(at0, to - at0), pa.array(names[best], pa.string()), pa.array(np.where(worded, score, 0.0))], ["id", "held_out", "lang_pred", "score"])
+            worded = pc.fill_null(pc.match_substring_regex(text, r"\p{L}"), False).to_numpy(zero_copy_only=False)
+            n = np.maximum(np.diff(K.buffers(text)[1]), 1)
+            if parser.langs:
+                counts = parser.phrases(text)
+                best = counts.argmin(axis=1)
+                gap = (counts - counts.min(axis=1, keepdims=True)) / n[:, None]
+                score = 1 / np.exp2(-sharpness * gap).sum(axis=1)
+            else:
+                best, score, worded = np.zeros(len(n), np.int64), np.zeros(len(n)), np.zeros(len(n), bool)
+            best = np.where(worded, best, len(parser.langs))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("held"), pa.array(names[best], pa.string()), pa.array(np.where(worded, score, 0.0))], ["id", "held_out", "lang_pred", "score"])
 
     schema = T.StructType([T.StructField("id", id_type), T.StructField("held_out", T.BooleanType()), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     return docs.select(F.col(id_col).alias("id"), (~learn).alias("held"), F.col(text_col).alias("text")).mapInArrow(work, schema).withColumnRenamed("id", id_col)

@@ -176,21 +176,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             finder = Finder(*held.value, similarity, repeats, samples)
-            for whole in batches:
-                at = 0
-                sizes = np.cumsum(np.diff(K.buffers(whole.column("text"))[1]))
-                while at < whole.num_rows:
-                    to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + (8 << 20), "right")))
-                    batch, at = whole.slice(at, to - at), to
-                    found: dict[int, list] = {}
-                    for row, item, edits, end in finder.find(*K.words(batch.column("text"))):
-                        found.setdefault(row, []).append((edits, item, end))
-                    n, best, edits, ends = np.zeros(batch.num_rows, np.int32), [None] * batch.num_rows, [None] * batch.num_rows, [None] * batch.num_rows
-                    for row, some in found.items():
-                        n[row] = len(some)
-                        edits[row], item, ends[row] = min(some)
-                        best[row] = finder.ids[item]
-                    yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n), pa.array(best, item_arrow), pa.array(edits, pa.int32()), pa.array(ends, pa.int64())], ["id", "n_items", "best_item", "best_edits", "best_end"])
+            for batch in K.pieces(batches, "text"):
+                found: dict[int, list] = {}
+                for row, item, edits, end in finder.find(*K.words(batch.column("text"))):
+                    found.setdefault(row, []).append((edits, item, end))
+                n, best, edits, ends = np.zeros(batch.num_rows, np.int32), [None] * batch.num_rows, [None] * batch.num_rows, [None] * batch.num_rows
+                for row, some in found.items():
+                    n[row] = len(some)
+                    edits[row], item, ends[row] = min(some)
+                    best[row] = finder.ids[item]
+                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n), pa.array(best, item_arrow), pa.array(edits, pa.int32()), pa.array(ends, pa.int64())], ["id", "n_items", "best_item", "best_edits", "best_end"])
 
         return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(work, schema)
 

@@ -81,6 +81,17 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def pieces(batches: Iterator[pa.RecordBatch], column: str, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches' rows in runs of about `size` bytes of a column (a longer row by itself)."""
+    for batch in batches:
+        at, total = 0, np.cumsum(np.diff(buffers(batch.column(column))[1]))
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + size, "right")))
+            yield batch.slice(at, to - at)
+            at = to
+        trim()
+
+
 def cuts(data: np.ndarray, offsets: np.ndarray, word: np.ndarray = _WORD) -> Iterator[tuple[int, int]]:
     """Byte ranges of about PIECE bytes that cut no word."""
     at, end = 0, len(data)

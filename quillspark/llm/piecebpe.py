@@ -325,16 +325,10 @@ def token_counts(docs: DataFrame, model: PieceModel, *, id_col: str = "doc_id",
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merger = Merger(holder.value)
-        for batch in batches:
-            at = 0
-            sizes = np.cumsum(np.diff(K.buffers(batch.column("text"))[1]))
-            while at < batch.num_rows:
-                to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + (8 << 20), "right")))
-                part = batch.slice(at, to - at)
-                at = to
-                n = merger.counts(part.column("text"))
-                size = np.diff(K.buffers(part.column("text"))[1])
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(size), pa.array(n), pa.array(n > limit)], ["id", "n_bytes", "n_tokens", "over_limit"])
+        for part in K.pieces(batches, "text"):
+            n = merger.counts(part.column("text"))
+            size = np.diff(K.buffers(part.column("text"))[1])
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(size), pa.array(n), pa.array(n > limit)], ["id", "n_bytes", "n_tokens", "over_limit"])
 
     schema = T.StructType([T.StructField("id", id_type), T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType())])
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(work, schema).withColumnRenamed("id", id_col)

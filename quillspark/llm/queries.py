@@ -22,13 +22,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _held(modulus: int, remainder: int):
+def held_out(modulus: int, remainder: int):
     """crc32 of the id as text falls on the held-out remainder; a null id is not held out."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == remainder, F.lit(False))
 
 
 def op1_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return katz_scores(_table(spark, sf_dir, "documents"), ~_held(7, 2))
+    return katz_scores(_table(spark, sf_dir, "documents"), ~held_out(7, 2))
 
 
 def op2_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,7 +40,7 @@ def op3_rotation_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), ~_held(4, 2))
+    return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), ~held_out(4, 2))
 
 
 def op5_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +48,7 @@ def op5_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return languages(_table(spark, sf_dir, "documents"), ~_held(3, 1))
+    return languages(_table(spark, sf_dir, "documents"), ~held_out(3, 1))
 
 
 def op7_piece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

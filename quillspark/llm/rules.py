@@ -39,7 +39,6 @@ _MARK = np.zeros(256, bool)
 _MARK[33:48] = _MARK[58:65] = _MARK[91:97] = _MARK[123:127] = True
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#$%&*+<=>@[]^_`{|}~\\/")] = True
-_SPACE_RUN = 8 << 20
 
 
 def statistics(column: pa.Array) -> np.ndarray:
@@ -207,35 +206,55 @@ def with_statistics(docs: DataFrame, text_col: str, carry: list[str]) -> DataFra
     """The carried columns and the statistics of each text, from one pass."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            sizes = np.cumsum(np.diff(K.buffers(whole.column("__text"))[1]))
-            at = 0
-            while at < whole.num_rows:
-                to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + _SPACE_RUN, "right")))
-                batch, at = whole.slice(at, to - at), to
-                x = statistics(batch.column("__text"))
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carry), *(pa.array(x[:, i]) for i in range(x.shape[1]))], [*carry, *STATISTICS])
+        for batch in K.pieces(batches, "__text"):
+            x = statistics(batch.column("__text"))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carry), *(pa.array(x[:, i]) for i in range(x.shape[1]))], [*carry, *STATISTICS])
 
     schema = T.StructType([*(docs.schema[c] for c in carry), *(T.StructField(s, T.DoubleType()) for s in STATISTICS)])
     return docs.select(*carry, F.col(text_col).alias("__text")).mapInArrow(work, schema)
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, learn: Column, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = 20_000, cut: float = 0.7) -> DataFrame:
-    """Per document: id, held_out, score in [0, 1] and predicted (1 where score >= cut).
+@dataclass(frozen=True)
+class RuleModel:
+    """A fitted ensemble; `score` compiles it into a column over the statistics."""
 
-    `learn` (over the id) tells which rows labels are learned from; `sample` bounds, up to chance, how many.
-    """
-    table = shared.keep(with_statistics(docs.select(id_col, text_col), text_col, [id_col]), "rule-statistics")
+    base: float
+    rules: list[Rule]
+
+    def score(self) -> Column:
+        total = F.lit(self.base)
+        for r in self.rules:
+            total = total + r.column()
+        return 1 / (1 + F.exp(-total))
+
+
+def learned(table: DataFrame, labels: DataFrame, learn: Column, id_col: str, label_col: str, sample: int) -> RuleModel:
+    """A model of the labelled rows of a table of statistics where `learn` (over the id) holds."""
     marked = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min(label_col).alias("__y"))
     marked = marked.where(learn)
     n = marked.count()
     if n > sample:
         marked = marked.where(F.pmod(F.xxhash64(id_col, F.lit(4)), F.lit(1 << 40)) < int((1 << 40) * sample / n))
     rows = table.join(marked, id_col).orderBy(id_col, *STATISTICS).select("__y", *STATISTICS).toPandas().to_numpy(dtype=float)
-    base, rules = fit(rows[:, 1:], (rows[:, 0] > 0).astype(float)) if len(rows) else fit(np.zeros((0, len(STATISTICS))), np.zeros(0))
-    total = F.lit(base)
-    for r in rules:
-        total = total + r.column()
+    return RuleModel(*fit(rows[:, 1:], (rows[:, 0] > 0).astype(float)))
+
+
+def quality_scores(docs: DataFrame, labels: DataFrame, learn: Column, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = 20_000, cut: float = 0.7) -> DataFrame:
+    """Per document: id, held_out, score in [0, 1] and predicted (1 where score >= cut).
+
+    `learn` (over the id) tells which rows labels are learned from; `sample` bounds, up to chance, how many.
+    """
+    table = shared.keep(with_statistics(docs, text_col, [id_col]), "rule-statistics")
+    model = learned(table, labels, learn, id_col, label_col, sample)
     held = F.coalesce(~learn, F.lit(False))
-    score = 1 / (1 + F.exp(-total))
-    return table.select(id_col, held.alias("held_out"), score.alias("score")).withColumn("predicted", (F.col("score") >= cut).cast("int"))
+    return table.select(id_col, held.alias("held_out"), model.score().alias("score")).withColumn("predicted", (F.col("score") >= cut).cast("int"))
+
+
+def quality_filter(docs: DataFrame, labels: DataFrame, learn: Column, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = 20_000, cut: float = 0.7) -> DataFrame:
+    """The documents that score at least cut, all columns, without a shuffle of the texts."""
+    table = shared.keep(with_statistics(docs, text_col, [id_col]), "rule-statistics")
+    model = learned(table, labels, learn, id_col, label_col, sample)
+    # columns travel under names of their own, so that none clashes with a statistic
+    names = {c: f"__c{i}" for i, c in enumerate(docs.columns)}
+    scored = with_statistics(docs.withColumnsRenamed(names), names[text_col], list(names.values()))
+    return scored.where(model.score() >= cut).select(*(F.col(n).alias(c) for c, n in names.items()))

@@ -12,7 +12,8 @@ of two sketches is the sketch of the union, and equal registers are likelier the
 4. Members of a bucket still in different components are paired across components and verified in the
    same way, so no link in a bucket is lost to the star.
 
-A link is missed only where no band matches: at similarity 0.85, 20 bands of 4 registers miss 4e-7.
+A link is missed only where no band matches; the number of bands keeps that under `miss` at the
+threshold (20 bands of 4 registers at 0.85).
 
 Nulls and texts without words have the empty set and link with nothing; one to four words are one
 shingle. Repeated ids count as one document each row but share a component. An empty table gives none.
@@ -20,6 +21,7 @@ shingle. Repeated ids count as one document each row but share a component. An e
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -114,50 +116,46 @@ def _matrix(column: pa.Array, m: int) -> np.ndarray:
     return np.frombuffer(data.tobytes(), "<u2").reshape(-1, m)
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, size: int = 5, bands: int = 20, rows: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, size: int = 5, rows: int = 4, miss: float = 4e-7) -> DataFrame:
     """Per document: id, n_shingles, component_id (smallest id reachable over links) and kept.
 
     Two documents are linked where 100 * |intersection| >= percent * |union| on their full sets.
     """
+    bands = math.ceil(math.log(miss) / math.log(1 - (percent / 100) ** rows))
     m = bands * rows
     id_type = docs.schema[id_col].dataType
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            at = 0
-            sizes = np.cumsum(np.diff(K.buffers(whole.column("text"))[1]))
-            while at < whole.num_rows:
-                to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + (8 << 20), "right")))
-                batch, at = whole.slice(at, to - at), to
-                keys, offsets = K.words(batch.column("text"))
-                hashes, offsets = shingles(keys, offsets, size)
-                n = np.zeros(batch.num_rows, np.int64)
-                sums = np.zeros((batch.num_rows, 2), np.int64)
-                for i in range(batch.num_rows):
-                    own = K.distinct(hashes[offsets[i] : offsets[i + 1]])
-                    if len(own):
-                        n[i] = len(own)
-                        sums[i] = own.sum(dtype=U64).view(np.int64), np.bitwise_xor.reduce(own).view(np.int64)
-                regs = registers(hashes, offsets, m)
-                keys = np.zeros((batch.num_rows, bands), U64)
-                for b in range(bands):
-                    k = np.full(batch.num_rows, U64(b + 1))
-                    for r in range(rows):
-                        k = K.fold(k, regs[:, b * rows + r].astype(U64))
-                    keys[:, b] = k
-                count = batch.num_rows
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("id"),
-                        pa.array(n),
-                        pa.array(sums[:, 0]),
-                        pa.array(sums[:, 1]),
-                        pa.BinaryArray.from_buffers(pa.binary(), count, [None, pa.py_buffer((np.arange(count + 1) * 2 * m).astype(np.int32)), pa.py_buffer(regs.astype("<u2").tobytes())]),
-                        pa.ListArray.from_arrays(pa.array(np.arange(count + 1) * bands, pa.int32()), pa.array(keys.ravel().view(np.int64))),
-                    ],
-                    ["id", "n", "s1", "s2", "regs", "bands"],
-                )
+        for batch in K.pieces(batches, "text"):
+            keys, offsets = K.words(batch.column("text"))
+            hashes, offsets = shingles(keys, offsets, size)
+            n = np.zeros(batch.num_rows, np.int64)
+            sums = np.zeros((batch.num_rows, 2), np.int64)
+            for i in range(batch.num_rows):
+                own = K.distinct(hashes[offsets[i] : offsets[i + 1]])
+                if len(own):
+                    n[i] = len(own)
+                    sums[i] = own.sum(dtype=U64).view(np.int64), np.bitwise_xor.reduce(own).view(np.int64)
+            regs = registers(hashes, offsets, m)
+            keys = np.zeros((batch.num_rows, bands), U64)
+            for b in range(bands):
+                k = np.full(batch.num_rows, U64(b + 1))
+                for r in range(rows):
+                    k = K.fold(k, regs[:, b * rows + r].astype(U64))
+                keys[:, b] = k
+            count = batch.num_rows
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("id"),
+                    pa.array(n),
+                    pa.array(sums[:, 0]),
+                    pa.array(sums[:, 1]),
+                    pa.BinaryArray.from_buffers(pa.binary(), count, [None, pa.py_buffer((np.arange(count + 1) * 2 * m).astype(np.int32)), pa.py_buffer(regs.astype("<u2").tobytes())]),
+                    pa.ListArray.from_arrays(pa.array(np.arange(count + 1) * bands, pa.int32()), pa.array(keys.ravel().view(np.int64))),
+                ],
+                ["id", "n", "s1", "s2", "regs", "bands"],
+            )
 
     schema = T.StructType([T.StructField("id", id_type), T.StructField("n", T.LongType()), T.StructField("s1", T.LongType()), T.StructField("s2", T.LongType()), T.StructField("regs", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
     drawn = shared.keep(docs.mapInArrow(sketch, schema), "near-sketches")
@@ -188,7 +186,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         chosen = docs.join(F.broadcast(wanted) if few else wanted, "id", "left_semi")
 
         def sets(batches):
-            for batch in batches:
+            for batch in K.pieces(batches, "text"):
                 keys, offsets = K.words(batch.column("text"))
                 hashes, offsets = shingles(keys, offsets, size)
                 own = [K.distinct(hashes[offsets[i] : offsets[i + 1]]) for i in range(batch.num_rows)]

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.llm.katz import Unigrams, alpha_of, discounts, katz_scores
-from quillspark.llm.queries import _held
+from quillspark.llm.queries import held_out
 
 
 def tokens(text):
@@ -65,7 +65,7 @@ def corpus(n=300, seed=3):
 def test_matches_brute_force(spark, block):
     docs = corpus()
     df = spark.createDataFrame([(i, t, "x", 1.5) for i, t in docs], "doc_id long, text string, id string, train double")
-    got = {r.doc_id: r for r in katz_scores(df, ~_held(7, 2), block_tokens=block).collect()}
+    got = {r.doc_id: r for r in katz_scores(df, ~held_out(7, 2), block_tokens=block).collect()}
     want, *_ = brute(docs)
     assert len(got) == len(docs)
     for i, (held, n, known, total, base, score) in want.items():
