@@ -44,7 +44,7 @@ def targets(sizes: list[int], weights: list[float], most: float = 3.0) -> list[f
         if not over:
             return [left * w / free if not c else t for w, c, t in zip(weights, capped, out, strict=True)]
         for i in over:
-            out[i], capped[i] = most * sizes[i], True
+            out[i], capped[i] = float(most * sizes[i]), True
         left = sum(sizes) - sum(t for t, c in zip(out, capped, strict=True) if c)
 
 

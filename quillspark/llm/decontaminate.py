@@ -112,6 +112,11 @@ class Finder:
                 order = np.argsort(h, kind="stable")
                 walks.append((r, steps, h[order], np.array(mine)[order]))
             self.tables.append((n, self.edits[n], walks))
+        # any window that can hold an item has `dense` known pairs within `short` words: its pairs fall into
+        # as many runs of that length as it has
+        self.short = min((n + t for n, t, _ in self.tables), default=1)
+        self.reach = max((n + t for n, t, _ in self.tables), default=1)
+        self.dense = min((-(-(n - 1 - 2 * t) // -(-(n + t) // self.short)) for n, t, _ in self.tables), default=0)
 
     def find(self, keys: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(row, item, edits, end word) of every contaminated row and item; keys are the rows' words."""
@@ -126,10 +131,22 @@ class Finder:
         pair[ends[(ends > 0) & (ends <= len(keys))] - 1] = False
         words_to = np.concatenate([[0], np.cumsum(word)])
         pairs_to = np.concatenate([[0], np.cumsum(pair)])
+        if self.dense > 0:
+            stop = np.minimum(np.arange(len(keys)) + self.short, len(keys))
+            near = np.flatnonzero(pairs_to[stop] - pairs_to[:-1] >= self.dense)
+            if not len(near):
+                return []
+            # every place from which a window reaches a dense run
+            edge = np.zeros(len(keys) + 1, np.int64)
+            np.add.at(edge, np.maximum(near - self.reach, 0), 1)
+            np.add.at(edge, np.minimum(near + self.short, len(keys)), -1)
+            places = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
+        else:
+            places = np.arange(len(keys))
         row_of = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
         regions: dict[tuple[int, int], list[tuple[int, int]]] = {}
         for n, t, walks in self.tables:
-            begin = np.flatnonzero(word) if t == 0 else np.arange(len(keys))
+            begin = places
             stop = np.minimum(begin + n + t, len(keys))
             fit = (words_to[stop] - words_to[begin] >= n - t) & (pairs_to[stop] - pairs_to[begin] >= n - 1 - 2 * t)
             begin = begin[fit]
@@ -161,7 +178,7 @@ class Finder:
         return out
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", similarity: float = 0.8, repeats: int = 16, samples: int = 3, part_bytes: int = 32 << 20) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", similarity: float = 0.8, repeats: int = 24, samples: int = 2, part_bytes: int = 32 << 20) -> DataFrame:
     """Per document: id, contaminated, n_items, and of the closest item best_item, best_edits and best_end (word)."""
     spark = docs.sparkSession
     id_type, item_type = docs.schema[id_col].dataType, benchmark.schema[item_col].dataType
@@ -172,10 +189,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
 
     def against(part: int) -> DataFrame:
         rows = items.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == part).orderBy("item", "text").collect() if parts > 1 else items.orderBy("item", "text").collect()
-        held = spark.sparkContext.broadcast(([r.item for r in rows], [r.text for r in rows]))
+        held = spark.sparkContext.broadcast(Finder([r.item for r in rows], [r.text for r in rows], similarity, repeats, samples))
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            finder = Finder(*held.value, similarity, repeats, samples)
+            finder = held.value
             for batch in K.pieces(batches, "text"):
                 found: dict[int, list] = {}
                 for row, item, edits, end in finder.find(*K.words(batch.column("text"))):
