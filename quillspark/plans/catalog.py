@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.plans import corpus  # noqa: F401  registers its queries
+from quillspark.plans import corpus, relational  # noqa: F401  they register their queries
 from quillspark.plans.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]
