@@ -9,8 +9,9 @@ of two sketches is the sketch of the union, and equal registers are likelier the
 3. Classes that share a band (`rows` registers) meet the smallest id of their bucket (a star, linear in
    the bucket); pairs whose registers' joint likelihood rules the threshold out are dropped; the rest
    are verified on full sets, and links are joined to components.
-4. Members of a bucket still in different components are paired across components and verified in the
-   same way, so no link in a bucket is lost to the star.
+4. Buckets that still hold several components are resolved as units of at most two chunks of members:
+   an inverted index of the unit's full sets counts what each member outside the commonest component
+   shares with all others. Units give links, not pairs, and no link in a bucket is lost to the star.
 
 A link is missed only where no band matches; the number of bands keeps that under `miss` at the
 threshold (20 bands of 4 registers at 0.85).
@@ -116,7 +117,51 @@ def _matrix(column: pa.Array, m: int) -> np.ndarray:
     return np.frombuffer(data.tobytes(), "<u2").reshape(-1, m)
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, size: int = 5, rows: int = 4, miss: float = 4e-7) -> DataFrame:
+def _units(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The groups of a stream that is sorted by keys."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy() for k in keys]
+        edge = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
+        for i, j in zip([0, *edge.tolist()], [*edge.tolist(), batch.num_rows], strict=True):
+            key = tuple(c[i] for c in columns)
+            if held and key != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(i, j - i))
+            last = key
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _across(unit: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (i, j) of a unit that link two components; for each row and other component one link is enough."""
+    own = [K.unpack_sorted(x.as_py())[0] for x in unit["words"]]
+    n = np.array([len(x) for x in own])
+    c = np.unique(unit["c"].to_numpy(), return_inverse=True)[1]
+    if len(own) < 2 or c.max() == 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    words, where = np.unique(np.concatenate(own), return_inverse=True)
+    row = np.repeat(np.arange(len(own)), n)
+    order = np.argsort(where, kind="stable")
+    posting, begin = row[order], np.searchsorted(where[order], np.arange(len(words) + 1))
+    ends = np.cumsum(n)
+    a, b = [], []
+    for i in np.flatnonzero(c != np.bincount(c).argmax()):
+        mine = where[ends[i] - n[i] : ends[i]]
+        both = np.bincount(posting[K.ranges(begin[mine], begin[mine + 1] - begin[mine])], minlength=len(own))
+        hit = np.flatnonzero((c != c[i]) & (both * 100 >= percent * (n + n[i] - both)) & (both > 0))
+        if len(hit):
+            hit = hit[np.unique(c[hit], return_index=True)[1]]
+            a.append(np.full(len(hit), i))
+            b.append(hit)
+    return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, size: int = 5, rows: int = 4, miss: float = 4e-7, chunk: int = 256) -> DataFrame:
     """Per document: id, n_shingles, component_id (smallest id reachable over links) and kept.
 
     Two documents are linked where 100 * |intersection| >= percent * |union| on their full sets.
@@ -179,9 +224,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
         return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "ra", "rb").mapInArrow(test, T.StructType([T.StructField("a", id_type), T.StructField("b", id_type)]))
 
-    def linked(pairs: DataFrame) -> DataFrame:
-        """Of the pairs, those linked by their full sets."""
-        wanted = shared.keep(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), "near-wanted")
+    def sets_of(wanted: DataFrame, packed: bool = False) -> DataFrame:
+        """(id, words): the full sets of the wanted ids, as arrays or packed."""
+        wanted = shared.keep(wanted, "near-wanted")
         few = wanted.count() <= SMALL_ROWS
         chosen = docs.join(F.broadcast(wanted) if few else wanted, "id", "left_semi")
 
@@ -190,11 +235,19 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                 keys, offsets = K.words(batch.column("text"))
                 hashes, offsets = shingles(keys, offsets, size)
                 own = [K.distinct(hashes[offsets[i] : offsets[i + 1]]) for i in range(batch.num_rows)]
-                ends = np.cumsum([0, *map(len, own)])
-                values = np.concatenate(own) if own else np.zeros(0, U64)
-                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values.view(np.int64)))], ["id", "words"])
+                if packed:
+                    words = pa.array([K.pack_sorted(x) for x in own], pa.binary())
+                else:
+                    values = np.concatenate(own) if own else np.zeros(0, U64)
+                    words = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, own)]), pa.int32()), pa.array(values.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column("id"), words], ["id", "words"])
+
+        kind = T.BinaryType() if packed else T.ArrayType(T.LongType())
+        return shared.keep(chosen.mapInArrow(sets, T.StructType([T.StructField("id", id_type), T.StructField("words", kind)])), "near-sets").dropDuplicates(["id"])
 
-        found = shared.keep(chosen.mapInArrow(sets, T.StructType([T.StructField("id", id_type), T.StructField("words", T.ArrayType(T.LongType()))])), "near-sets").dropDuplicates(["id"])
+    def linked(pairs: DataFrame) -> DataFrame:
+        """Of the pairs, those linked by their full sets."""
+        found = sets_of(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
         both = pairs.join(found.select(F.col("id").alias("b"), F.col("words").alias("wb")), "b").join(found.select(F.col("id").alias("a"), F.col("words").alias("wa")), "a")
         shared_n = F.size(F.array_intersect("wa", "wb"))
         return both.select("a", "b", shared_n.alias("i"), (F.size("wa") + F.size("wb")).alias("t")).where(F.col("i") * 100 >= percent * (F.col("t") - F.col("i"))).select("a", "b")
@@ -203,15 +256,28 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     links = shared.keep(linked(stars), "near-links")
     labels = components(links, shared.keep)
 
-    # members of a bucket in different components, but for pairs that the star has judged
+    # links between components that share a bucket, which the stars may have missed
     tagged = members.join(labels, members["rep"] == labels["node"], "left").select("band", "rep", F.coalesce("component", "rep").alias("c"))
-    mixed = tagged.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("band")
-    rest = tagged.join(mixed, "band", "left_semi")
-    cross = rest.select("band", F.col("rep").alias("a"), F.col("c").alias("ca")).join(rest.select("band", F.col("rep").alias("b"), F.col("c").alias("cb")), "band").where("a < b and ca <> cb").select("a", "b").distinct()
-    judged = members.select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
-    more = shared.keep(likely(cross.join(judged, ["a", "b"], "left_anti")), "near-cross")
-    if not more.isEmpty():
-        extra = shared.keep(linked(more), "near-extra")
+    mixed = tagged.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.ceil(F.count("*") / chunk).cast("int").alias("chunks")).where("low < high").select("band", "chunks")
+    rest = shared.keep(
+        tagged.join(mixed, "band")
+        .withColumn("own", F.pmod(F.xxhash64("rep", "band"), F.col("chunks")).cast("int"))
+        .select("band", "rep", "c", "own", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
+        .select("band", "rep", "c", F.least("own", "other").alias("c0"), F.greatest("own", "other").alias("c1")),
+        "near-rest",
+    )
+    if not rest.isEmpty():
+        held = sets_of(rest.select(F.col("rep").alias("id")).distinct(), packed=True).withColumnRenamed("id", "rep")
+        parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), shared.buckets(rest, 1 << 18, 1))
+        carried = rest.join(held, "rep").repartition(parts, "band", "c0", "c1").sortWithinPartitions("band", "c0", "c1")
+
+        def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for unit in _units(batches, ["band", "c0", "c1"]):
+                a, b = _across(unit, percent)
+                yield pa.RecordBatch.from_arrays([unit["rep"].combine_chunks().take(pa.array(x)) for x in (a, b)], ["a", "b"])
+
+        extra = carried.select("band", "c0", "c1", "rep", F.xxhash64("c").alias("c"), "words").mapInArrow(resolve, T.StructType([T.StructField("a", id_type), T.StructField("b", id_type)]))
+        extra = shared.keep(extra.distinct(), "near-extra")
         if not extra.isEmpty():
             labels = components(links.union(extra), shared.keep)
 
