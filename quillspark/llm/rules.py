@@ -134,20 +134,27 @@ def _grow(binned: np.ndarray, cuts: list[np.ndarray], residual: np.ndarray, rows
 
 
 def _lasso(z: np.ndarray, y: np.ndarray, penalty: float, start: np.ndarray, steps: int = 300) -> np.ndarray:
-    """Logistic weights (intercept first, unpenalised) by accelerated proximal gradient."""
-    n, m = z.shape
+    """Logistic weights (intercept first, unpenalised) by accelerated proximal gradient.
+
+    Rows on which the same rules hold are one row with a weight.
+    """
+    n = len(y)
+    bits = np.ascontiguousarray(np.packbits(z > 0, axis=1))
+    _, first, where = np.unique(bits.view(np.dtype((np.void, bits.shape[1]))).ravel(), return_index=True, return_inverse=True)
+    weight = np.bincount(where).astype(np.float32)
+    good = np.bincount(where, y).astype(np.float32)
+    x = np.hstack([np.ones((len(first), 1), np.float32), z[first]])
     w = start.copy()
     v, t = w.copy(), 1.0
-    x = np.hstack([np.ones((n, 1), np.float32), z])
-    probe = np.ones(m + 1, np.float32)
+    probe = np.ones(x.shape[1], np.float32)
     for _ in range(15):
-        probe = x.T @ (x @ probe)
+        probe = x.T @ (weight * (x @ probe))
         norm = np.linalg.norm(probe)
         probe /= norm
     rate = 4.0 * n / max(norm, 1e-9)
     for _ in range(steps):
         p = 1 / (1 + np.exp(-(x @ v)))
-        step = v - rate * (x.T @ (p - y)) / n
+        step = v - rate * (x.T @ (weight * p - good)) / n
         new = np.sign(step) * np.maximum(np.abs(step) - rate * penalty, 0)
         new[0] = step[0]
         t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
