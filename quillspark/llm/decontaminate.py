@@ -3,8 +3,9 @@
 A document is contaminated by an item of n words where some run of its words is within
 floor((1 - similarity) * n) word edits of it (words: lower-cased, by hash).
 
-1. Only windows that can hold an occurrence are embedded: of an item within t edits, n - t words and
-   n - 1 - 2t neighbouring pairs stay, so a window with fewer benchmark words or pairs is ruled out.
+1. Only windows that can hold an occurrence are embedded: of an item within t edits, n - t words,
+   n - 1 - 2t neighbouring pairs and n - 2 - 3t triples stay, so a window with fewer benchmark words,
+   pairs or triples is ruled out.
 2. The CGK random walk copies a window's word at each step and moves on where a random bit of (step,
    word) says so, which turns few edits into few differing steps. Each of `repeats` walks is sampled at
    `samples` steps; windows whose samples equal an item's are candidates. A window starts at every word,
@@ -56,22 +57,29 @@ def search(item: np.ndarray, text: np.ndarray, limit: int) -> tuple[int, int]:
     return best, end
 
 
-def embed(words: np.ndarray, starts: np.ndarray, n: int, seed: int, steps: np.ndarray) -> np.ndarray:
-    """A hash of the walk's output at the sampled steps, for the windows of n words at starts."""
-    at = np.zeros(len(starts), np.int64)
-    out = np.full(len(starts), U64(seed + 1))
-    wanted = set(steps.tolist())
-    for step in range(int(steps.max()) + 1):
-        inside = at < n
-        word = np.where(inside, words[np.minimum(starts + np.minimum(at, n - 1), len(words) - 1)], U64(0))
-        if step in wanted:
-            out = K.fold(out, word)
-        at += (K.mix(word ^ U64((seed << 20 | step) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) >> U64(63)).astype(np.int64)
+def embed(words: np.ndarray, starts: np.ndarray, n: int, walks: list[np.ndarray]) -> np.ndarray:
+    """(walks, windows): a hash of each walk's output at its sampled steps, for the windows of n words at starts."""
+    if len(starts) * len(walks) > 1 << 21 and len(starts) > 1:
+        half = len(starts) // 2
+        return np.concatenate([embed(words, x, n, walks) for x in (starts[:half], starts[half:])], axis=1)
+    at = np.zeros((len(walks), len(starts)), np.int64)
+    seed = np.arange(len(walks), dtype=U64)[:, None] << U64(20)
+    out = np.repeat(np.arange(1, len(walks) + 1, dtype=U64)[:, None], len(starts), axis=1)
+    wanted: dict[int, list[int]] = {}
+    for w, steps in enumerate(walks):
+        for x in steps.tolist():
+            wanted.setdefault(x, []).append(w)
+    for step in range(max(wanted, default=-1) + 1):
+        word = np.where(at < n, words[np.minimum(starts + np.minimum(at, n - 1), len(words) - 1)], U64(0))
+        for w in wanted.get(step, ()):
+            out[w] = K.fold(out[w], word[w])
+        # one random bit of (walk, step, word) moves on
+        at += (K.mix(word ^ ((seed | U64(step)) * U64(0x9E3779B97F4A7C15))) >> U64(63)).astype(np.int64)
     return out
 
 
 class _Set:
-    """Membership of keys, by a bitmap and then exactly."""
+    """Membership and places of keys, by a bitmap and then exactly."""
 
     def __init__(self, keys: np.ndarray):
         self.keys = K.distinct(keys)
@@ -100,23 +108,30 @@ class Finder:
         self.edits = {n: int((1 - similarity) * n + 1e-9) for n in by_length}
         self.words = _Set(keys)
         self.pairs = _Set(np.concatenate([K.fold(x[:-1], x[1:]) for x in self.items if len(x) > 1] or [np.zeros(0, U64)]))
+        self.triples = _Set(np.concatenate([K.fold(K.fold(x[:-2], x[1:-1]), x[2:]) for x in self.items if len(x) > 2] or [np.zeros(0, U64)]))
         rng = np.random.default_rng(5)
         self.tables = []
+        self.members = []  # which triples the items of a length hold
         for n, mine in sorted(by_length.items()):
             flat = np.concatenate([self.items[i] for i in mine])
             at = np.arange(len(mine)) * n
-            walks = []
-            for r in range(repeats):
-                steps = np.sort(rng.choice(max(2 * n - 2, 1), min(samples, max(2 * n - 2, 1)), replace=False))
-                h = embed(flat, at, n, r, steps)
+            walks = [np.sort(rng.choice(max(2 * n - 2, 1), min(samples, max(2 * n - 2, 1)), replace=False)) for _ in range(repeats)]
+            tables = []
+            for h in embed(flat, at, n, walks):
                 order = np.argsort(h, kind="stable")
-                walks.append((r, steps, h[order], np.array(mine)[order]))
+                tables.append((h[order], np.array(mine)[order]))
+            walks = (walks, tables)
+            member = np.zeros(len(self.triples.keys), bool)
+            if n > 2:
+                member[np.searchsorted(self.triples.keys, np.concatenate([K.fold(K.fold(x[:-2], x[1:-1]), x[2:]) for x in (self.items[i] for i in mine)]))] = True
+            self.members.append(member)
             self.tables.append((n, self.edits[n], walks))
-        # any window that can hold an item has `dense` known pairs within `short` words: its pairs fall into
-        # as many runs of that length as it has
-        self.short = min((n + t for n, t, _ in self.tables), default=1)
-        self.reach = max((n + t for n, t, _ in self.tables), default=1)
-        self.dense = min((-(-(n - 1 - 2 * t) // -(-(n + t) // self.short)) for n, t, _ in self.tables), default=0)
+        # any window that can hold an item long enough to keep triples has `dense` of them within `short`
+        # words: its triples fall into as many runs of that length as it has
+        keep = [(n, t) for n, t, _ in self.tables if n - 2 - 3 * t > 0]
+        self.short = min((n + t for n, t in keep), default=1)
+        self.reach = max((n + t for n, t in keep), default=1)
+        self.dense = min((-(-(n - 2 - 3 * t) // -(-(n + t) // self.short)) for n, t in keep), default=1)
 
     def find(self, keys: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(row, item, edits, end word) of every contaminated row and item; keys are the rows' words."""
@@ -131,30 +146,40 @@ class Finder:
         pair[ends[(ends > 0) & (ends <= len(keys))] - 1] = False
         words_to = np.concatenate([[0], np.cumsum(word)])
         pairs_to = np.concatenate([[0], np.cumsum(pair)])
-        if self.dense > 0:
-            stop = np.minimum(np.arange(len(keys)) + self.short, len(keys))
-            near = np.flatnonzero(pairs_to[stop] - pairs_to[:-1] >= self.dense)
-            if not len(near):
-                return []
-            # every place from which a window reaches a dense run
-            edge = np.zeros(len(keys) + 1, np.int64)
-            np.add.at(edge, np.maximum(near - self.reach, 0), 1)
-            np.add.at(edge, np.minimum(near + self.short, len(keys)), -1)
-            places = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
-        else:
-            places = np.arange(len(keys))
+        triple = np.zeros(len(keys), bool)
+        both = np.flatnonzero(pair[:-1] & pair[1:])
+        whole = K.fold(K.fold(keys[both], keys[both + 1]), keys[both + 2])
+        triple[both] = self.triples.has(whole)
+        hits = both[triple[both]]
+        which_triple = np.searchsorted(self.triples.keys, whole[triple[both]])
+        triples_to = np.concatenate([[0], np.cumsum(triple)])
+        stop = np.minimum(np.arange(len(keys)) + self.short, len(keys))
+        near = np.flatnonzero(triples_to[stop] - triples_to[:-1] >= self.dense)
+        # every place from which a window reaches a dense run
+        edge = np.zeros(len(keys) + 1, np.int64)
+        np.add.at(edge, np.maximum(near - self.reach, 0), 1)
+        np.add.at(edge, np.minimum(near + self.short, len(keys)), -1)
+        places = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
         row_of = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
         regions: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        for n, t, walks in self.tables:
-            begin = places
+        for (n, t, walks), member in zip(self.tables, self.members, strict=True):
+            if n - 2 - 3 * t > 0:
+                # only triples of items of this length count
+                mine = hits[member[which_triple]]
+                if len(mine) < n - 2 - 3 * t:
+                    continue
+                begin = places
+                fit = np.searchsorted(mine, np.minimum(begin + n + t, len(keys))) - np.searchsorted(mine, begin) >= n - 2 - 3 * t
+                begin = begin[fit]
+            else:
+                begin = np.arange(len(keys))
             stop = np.minimum(begin + n + t, len(keys))
             fit = (words_to[stop] - words_to[begin] >= n - t) & (pairs_to[stop] - pairs_to[begin] >= n - 1 - 2 * t)
             begin = begin[fit]
             if not len(begin):
                 continue
             begin = begin[offsets[row_of[begin] + 1] - begin >= n - t]
-            for r, steps, hashes, which in walks:
-                h = embed(keys, begin, n, r, steps)
+            for h, (hashes, which) in zip(embed(keys, begin, n, walks[0]), walks[1], strict=True):
                 i, j = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
                 for k in np.flatnonzero(j > i):
                     row = int(row_of[begin[k]])
@@ -193,7 +218,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             finder = held.value
-            for batch in K.pieces(batches, "text"):
+            for batch in K.pieces(batches, "text", 16 << 20):
                 found: dict[int, list] = {}
                 for row, item, edits, end in finder.find(*K.words(batch.column("text"))):
                     found.setdefault(row, []).append((edits, item, end))
