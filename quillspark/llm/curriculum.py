@@ -69,7 +69,7 @@ def invert(knots: list[tuple[float, float]], demand: np.ndarray) -> np.ndarray:
     return np.minimum(t[k] + x, t[-1])
 
 
-def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", most: int = 3, cell_rows: int = 20_000, schedule: Callable[[int], list[tuple[float, float]]] = ramps, carry: list[str] | None = None) -> DataFrame:
+def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", most: int = 3, cell_rows: int = 2_000, schedule: Callable[[int], list[tuple[float, float]]] = ramps, carry: list[str] | None = None) -> DataFrame:
     """Per document: id, carried columns, size, source_size, target, taken and positions (one for each pass begun)."""
     spark = docs.sparkSession
     carry = carry or []
