@@ -1,7 +1,7 @@
 """Benchmark decontamination by edit distance: CGK embeddings, bit-sampling LSH, exact verification.
 
 A document is contaminated by an item of n words where some run of its words is within
-floor((1 - similarity) * n) word edits of it (words: lower-cased, by hash).
+floor((1 - similarity) * n) word edits of it (words: lower-cased, ASCII punctuation taken out, by hash).
 
 1. Only windows that can hold an occurrence are embedded: of an item within t edits, n - t words,
    n - 1 - 2t neighbouring pairs and n - 2 - 3t triples stay, so a window with fewer benchmark words,
@@ -26,6 +26,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
@@ -78,6 +79,18 @@ def embed(words: np.ndarray, starts: np.ndarray, n: int, walks: list[np.ndarray]
     return out
 
 
+_PLAIN = np.ones(256, bool)
+_PLAIN[33:48] = _PLAIN[58:65] = _PLAIN[91:97] = _PLAIN[123:127] = False
+
+
+def plain_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the rows' words in lower case without ASCII punctuation, and row offsets; words of nothing else vanish."""
+    data, offsets = K.buffers(pc.utf8_lower(column))
+    kept = _PLAIN[data]
+    ends = np.concatenate([[0], np.cumsum(kept)])[offsets].astype(np.int64)
+    return K.words(pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data[kept]))]))
+
+
 class _Set:
     """Membership and places of keys, by a bitmap and then exactly."""
 
@@ -98,7 +111,7 @@ class _Set:
 
 class Finder:
     def __init__(self, ids: list, texts: list, similarity: float, repeats: int, samples: int):
-        keys, offsets = K.words(pa.array(texts, pa.string()))
+        keys, offsets = plain_words(pa.array(texts, pa.string()))
         self.ids = ids
         self.items = [keys[offsets[i] : offsets[i + 1]] for i in range(len(ids))]
         by_length: dict[int, list[int]] = {}
@@ -220,7 +233,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
             finder = held.value
             for batch in K.pieces(batches, "text", 16 << 20):
                 found: dict[int, list] = {}
-                for row, item, edits, end in finder.find(*K.words(batch.column("text"))):
+                for row, item, edits, end in finder.find(*plain_words(batch.column("text"))):
                     found.setdefault(row, []).append((edits, item, end))
                 n, best, edits, ends = np.zeros(batch.num_rows, np.int32), [None] * batch.num_rows, [None] * batch.num_rows, [None] * batch.num_rows
                 for row, some in found.items():
