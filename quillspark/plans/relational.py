@@ -325,3 +325,66 @@ def _(t):
     keys = [F.desc("l_extendedprice"), F.desc("l_orderkey"), F.desc("l_linenumber")]
     top = t("lineitem").orderBy(*keys).limit(25)
     return top.select("l_orderkey", "l_linenumber", F.row_number().over(Window.orderBy(*keys)).cast("long").alias("place"))
+
+
+@query("grouped_split", """WITH p AS (SELECT source, lang, count(*) AS n FROM documents GROUP BY 1, 2), f AS (SELECT source, sum(n)::BIGINT AS n, arg_min(lang, (-n, lang)) AS home FROM p GROUP BY 1),
+s AS (SELECT source, CASE WHEN (sum(n) OVER (PARTITION BY home ORDER BY md5(source), source ROWS UNBOUNDED PRECEDING) - n) * 100 < sum(n) OVER (PARTITION BY home) * 20 THEN 'valid' ELSE 'train' END AS split FROM f) SELECT doc_id, source, split FROM documents JOIN s USING (source)""")
+def _(t):
+    from quillspark.operators.splits import grouped_split
+
+    return grouped_split(t("documents").select("doc_id", "source", "lang"), "source", "lang", 20).select("doc_id", "source", "split")
+
+
+@query("coverage_panel", "WITH x AS (SELECT doc_id, unnest([lang, CASE WHEN length(text) > 1000 THEN 'long' ELSE 'short' END]) AS tag FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY tag ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) AS k FROM x) SELECT tag, doc_id FROM r WHERE k <= 10")
+def _(t):
+    from quillspark.operators.splits import panel
+
+    tags = F.array("lang", F.when(F.length("text") > 1000, "long").otherwise("short"))
+    return panel(t("documents").select("doc_id", tags.alias("tags")), "doc_id", "tags", 10)
+
+
+@query("status_pivot", "SELECT user_id % 5 AS panel, count(*) FILTER (WHERE event_type = 'click') AS click, count(*) FILTER (WHERE event_type = 'error') AS error, count(*) FILTER (WHERE event_type = 'purchase') AS purchase FROM events GROUP BY 1")
+def _(t):
+    return t("events").groupBy((F.col("user_id") % 5).alias("panel")).pivot("event_type", ["click", "error", "purchase"]).agg(F.count("event_id")).na.fill(0, ["click", "error", "purchase"])
+
+
+@query("guard_comparison", "WITH g AS (SELECT 'length' AS guard, length(text) < 3000 AS accepted, quality FROM documents JOIN labels USING (doc_id) UNION ALL SELECT 'marks', NOT contains(text, '!!'), quality FROM documents JOIN labels USING (doc_id)) SELECT guard, count(*) FILTER (WHERE accepted AND quality = 0) AS wrong_accepted, count(*) FILTER (WHERE NOT accepted AND quality = 1) AS wrong_held, count(*) FILTER (WHERE accepted) AS accepted FROM g GROUP BY 1")
+def _(t):
+    x = t("documents").join(t("labels"), "doc_id").select("quality", (F.length("text") < 3000).alias("length"), (~F.col("text").contains("!!")).alias("marks"))
+    g = x.select("quality", F.expr("stack(2, 'length', length, 'marks', marks) AS (guard, accepted)"))
+    return g.groupBy("guard").agg(F.count_if(F.col("accepted") & (F.col("quality") == 0)).alias("wrong_accepted"), F.count_if(~F.col("accepted") & (F.col("quality") == 1)).alias("wrong_held"), F.count_if("accepted").alias("accepted"))
+
+
+@query("review_join", "SELECT d.doc_id, l.quality, b.item_id IS NOT NULL AS flagged FROM documents d JOIN labels l USING (doc_id) LEFT JOIN benchmark b ON b.item_id = d.doc_id")
+def _(t):
+    flags = t("benchmark").select(F.col("item_id").alias("doc_id"), F.lit(True).alias("flagged"))
+    return t("documents").select("doc_id").join(t("labels").select("doc_id", "quality"), "doc_id").join(flags, "doc_id", "left").na.fill(False, ["flagged"])
+
+
+@query("prefix_totals", "SELECT string_split(o_orderpriority, '-')[1] AS panel, count(*) AS n, count(DISTINCT o_custkey) AS customers FROM orders GROUP BY 1")
+def _(t):
+    return t("orders").groupBy(F.substring_index("o_orderpriority", "-", 1).alias("panel")).agg(F.count("*").alias("n"), F.countDistinct("o_custkey").alias("customers"))
+
+
+@query("result_ranks", "SELECT o_custkey, o_orderkey, printf('R%04d', row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)) AS ref FROM orders")
+def _(t):
+    k = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
+    return t("orders").select("o_custkey", "o_orderkey", F.format_string("R%04d", k).alias("ref"))
+
+
+@query("gap_overlay", "SELECT d.doc_id, coalesce(l.quality, d.doc_id % 2) AS got FROM documents d LEFT JOIN labels l USING (doc_id)")
+def _(t):
+    return t("documents").select("doc_id").join(t("labels").select("doc_id", "quality"), "doc_id", "left").select("doc_id", F.coalesce(F.col("quality").cast("long"), F.col("doc_id") % 2).alias("got"))
+
+
+@query("list_values", "SELECT p_partkey, list_sort(string_split(p_type, ' ')) AS parts, array_to_string(list_sort(string_split(p_type, ' ')), '|') AS joined FROM part")
+def _(t):
+    parts = F.array_sort(F.split("p_type", " "))
+    return t("part").select("p_partkey", parts.alias("parts"), F.array_join(parts, "|").alias("joined"))
+
+
+@query("slot_difference", "WITH u AS (SELECT user_id, list_distinct(list(event_type)) AS have FROM events GROUP BY 1), m AS (SELECT user_id, list_sort(list_filter(['click', 'error', 'purchase', 'signup', 'view'], lambda x: NOT list_contains(have, x))) AS missing FROM u) SELECT user_id, missing, missing[1] AS next_slot FROM m")
+def _(t):
+    want = F.array(*map(F.lit, ["click", "error", "purchase", "signup", "view"]))
+    m = t("events").groupBy("user_id").agg(F.collect_set("event_type").alias("have"))
+    return m.select("user_id", F.array_sort(F.array_except(want, F.col("have"))).alias("missing")).withColumn("next_slot", F.get("missing", F.lit(0)))
