@@ -231,7 +231,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             finder = held.value
-            for batch in K.pieces(batches, "text", 16 << 20):
+            for batch in K.pieces(batches, "text", 8 << 20):
                 found: dict[int, list] = {}
                 for row, item, edits, end in finder.find(*plain_words(batch.column("text"))):
                     found.setdefault(row, []).append((edits, item, end))
