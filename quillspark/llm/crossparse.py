@@ -6,6 +6,11 @@ reference from where the last one ended; few phrases mean likeness (cross-parsin
 weighs languages by 2 ** (-sharpness * phrases per byte); fewest phrases win, ties go to the smaller
 code. Texts are read whole, as lanes of at most `LANE` bytes that begin a phrase of their own.
 
+A reference holds excerpts of distinct texts (copies count once, however many there are), each of at most
+`excerpt` bytes from anywhere in its text, until `reference` bytes are full. Only a language with less
+labelled text than that has a shorter one; its phrases, which are shorter for that alone, are scaled by
+what a phrase tells: log2 of the reference's bytes and 256 single symbols, against the longest reference.
+
 Text is folded first: A-Z to lower case, any run of other ASCII bytes to one blank each byte, bytes that
 no reference holds to one class that matches nothing.
 
@@ -14,6 +19,8 @@ Null texts, and texts without a letter, are `und` with score 0. Without labelled
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +30,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
 from quillspark.llm import kernel as K
+from quillspark.llm import shared
 
 LANE = 512
 
@@ -86,6 +94,8 @@ class Parser:
         width = len(seen) + 1
         self.classes = classes[_FOLD].astype(np.int32)
         self.tables = [Automaton(references[x]).table(classes, width) for x in self.langs]
+        bits = np.log2(np.array([len(references[x]) for x in self.langs]) + 256.0)
+        self.weights = bits / bits.max(initial=1.0)
 
     def phrases(self, column: pa.Array) -> np.ndarray:
         """(rows, languages) phrase counts."""
@@ -126,41 +136,67 @@ def _parser(found: dict[str, bytes]) -> Parser:
     return _parsers[key]
 
 
-def references(docs: DataFrame, learn: Column, text_col: str, lang_col: str, id_col: str, size: int) -> dict[str, bytes]:
-    """Per language up to `size` folded bytes, in equal excerpts of the labelled texts of least id hash.
+def _least(held: dict[int, bytes], size: int) -> dict[int, bytes]:
+    """The excerpts of least key that are needed for `size` bytes."""
+    out, total = {}, 0
+    for h in sorted(held):
+        if total >= size:
+            break
+        out[h] = held[h]
+        total += len(held[h]) + 1
+    return out
+
 
-    Each task keeps the 16 texts of least hash for each language, so what is gathered is bounded by
-    16 excerpts for each task and language.
+def references(docs: DataFrame, learn: Column, text_col: str, lang_col: str, size: int, excerpt: int) -> dict[str, bytes]:
+    """Per language `size` folded bytes, or all there are: excerpts of its distinct labelled texts, by least hash.
+
+    Texts that fold alike are one text. A text gives at most `excerpt` bytes, from a place that its hash
+    draws. Each task keeps what would fill the references from its rows alone, so what is gathered is
+    bounded by one reference and one excerpt for each task and language; it is cut down again in a second
+    round before the driver sees it.
     """
-    each, most = size // 16, 16
-    rows = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(id_col).cast("string"), F.lit(6)).alias("h"), F.col(text_col).alias("text"))
+    rows = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
+
+    def out(held: dict[str, dict[int, bytes]]) -> pa.RecordBatch:
+        flat = [(name, h, x) for name, some in held.items() for h, x in some.items()]
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in flat], t) for i, t in enumerate((pa.string(), pa.int64(), pa.binary()))], ["lang", "h", "x"])
 
-    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list[tuple[int, bytes]]] = {}
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, dict[int, bytes]] = {}
+        for batch in K.pieces(batches, "text"):
+            data, offsets = K.buffers(batch.column("text"))
+            data = _FOLD[data].tobytes()
+            for i, name in enumerate(batch.column("lang").to_pylist()):
+                text = data[offsets[i] : offsets[i + 1]]
+                if text.isspace() or not text:
+                    continue
+                h = int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "big") >> 1
+                at = h % (max(len(text) - excerpt, 0) + 1)
+                held.setdefault(name, {})[h] = text[at : at + excerpt]
+            held = {name: _least(some, size) for name, some in held.items()}
+        yield out(held)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, dict[int, bytes]] = {}
         for batch in batches:
-            # texts under 40 bytes come last
-            size = pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False)
-            h = (batch.column("h").to_numpy() >> 2) + (size < 40) * np.int64(1 << 62)
-            lang = batch.column("lang").dictionary_encode()
-            for k, name in enumerate(lang.dictionary.to_pylist()):
-                mine = np.flatnonzero(lang.indices.to_numpy() == k)
-                for i in mine[np.argsort(h[mine], kind="stable")[:most]].tolist():
-                    held.setdefault(name, []).append((int(h[i]), batch.column("text")[i].as_py().encode()[:each]))
-            for name in held:
-                held[name] = sorted(held[name])[:most]
-        out = [(name, h, x) for name, some in held.items() for h, x in some]
-        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.string(), pa.int64(), pa.binary()))], ["lang", "h", "x"])
-
-    got = rows.mapInArrow(least, "lang string, h long, x binary")
-    top = got.groupBy("lang").agg(F.slice(F.array_sort(F.collect_list(F.struct("h", "x"))), 1, most).alias("some"))
-    return {r.lang: b" ".join(_FOLD[np.frombuffer(x.x, np.uint8)].tobytes() for x in r.some) for r in top.collect()}
-
-
-def languages(docs: DataFrame, learn: Column, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", reference: int = 32_768, sharpness: float = 60.0) -> DataFrame:
+            for name, h, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                held.setdefault(name, {})[h] = x
+            held = {name: _least(some, size) for name, some in held.items()}
+        yield out(held)
+
+    schema = "lang string, h long, x binary"
+    parts = min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.isqrt(shared.scan_bytes(docs) >> 20) + 1)
+    found: dict[str, dict[int, bytes]] = {}
+    for r in rows.mapInArrow(draw, schema).repartition(parts).mapInArrow(merge, schema).collect():
+        found.setdefault(r.lang, {})[r.h] = bytes(r.x)
+    return {name: b" ".join(_least(some, size).values())[:size] for name, some in found.items()}
+
+
+def languages(docs: DataFrame, learn: Column, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", reference: int = 32_768, excerpt: int = 512, sharpness: float = 60.0) -> DataFrame:
     """Per document: id, held_out, lang_pred and score in [0, 1]."""
     id_type = docs.schema[id_col].dataType
     learn = F.coalesce(learn, F.lit(False))
-    found = references(docs, learn, text_col, lang_col, id_col, reference)
+    found = references(docs, learn, text_col, lang_col, reference, excerpt)
     holder = docs.sparkSession.sparkContext.broadcast(found)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,7 +207,7 @@ def languages(docs: DataFrame, learn: Column, *, id_col: str = "doc_id", text_co
             worded = pc.fill_null(pc.match_substring_regex(text, r"\p{L}"), False).to_numpy(zero_copy_only=False)
             n = np.maximum(np.diff(K.buffers(text)[1]), 1)
             if parser.langs:
-                counts = parser.phrases(text)
+                counts = parser.phrases(text) * parser.weights
                 best = counts.argmin(axis=1)
                 gap = (counts - counts.min(axis=1, keepdims=True)) / n[:, None]
                 score = 1 / np.exp2(-sharpness * gap).sum(axis=1)
