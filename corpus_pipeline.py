@@ -6,7 +6,7 @@ assignment of each row to a shard. Texts are shuffled only where their place cha
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from quillspark.llm import shared
 from quillspark.llm.curriculum import mix
@@ -25,6 +25,11 @@ def _small(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= FEW else ids
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with __row: the id and the text's hash, so that null and repeated ids stand for their own texts."""
+    return docs.withColumn("__row", F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("h")))
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rule ensemble rejects go."""
     ship(spark)
@@ -32,36 +37,37 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays; of rows that repeat an id one stays as well."""
+    """One row of each near-duplicate group stays, whether its id is null or repeated; so do texts without words, one an id."""
     ship(spark)
-    found = shared.keep(near_duplicates(docs, percent=80), "dedup")
-    gone = shared.keep(found.where("not kept").select("doc_id").distinct(), "dedup-gone")
-    kept = docs.join(_small(gone), "doc_id", "left_anti")
-    again = shared.keep(found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "dedup-again")
+    docs_keyed = _keyed(docs)
+    found = shared.keep(near_duplicates(docs_keyed, id_col="__row", percent=80).groupBy("__row").agg(F.max("kept").alias("kept"), F.count("*").alias("n")).where("not kept or n > 1"), "dedup")
+    kept = docs_keyed.join(_small(found.where("not kept").select("__row")), "__row", "left_anti")
+    again = found.where("kept").select("__row")
     if not again.isEmpty():
         again = _small(again)
-        kept = kept.join(again, "doc_id", "left_anti").unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+        kept = kept.join(again, "__row", "left_anti").unionByName(kept.join(again, "__row", "left_semi").dropDuplicates(["__row"]))
     return kept.select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item, up to a fifth of its words edited, go."""
     ship(spark)
-    found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    dirty = shared.keep(found.where("contaminated").select("doc_id").distinct(), "decontaminate")
-    return docs.join(_small(dirty), "doc_id", "left_anti").select(*docs.columns)
+    docs_keyed = _keyed(docs)
+    found = contamination(docs_keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="__row")
+    dirty = shared.keep(found.where("contaminated").select("__row").distinct(), "decontaminate")
+    return docs_keyed.join(_small(dirty), "__row", "left_anti").select(*docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each pass over a document, whole, range-sorted by training position; others go.
 
-    Rows without an id are matched by their text; rows that share an id are each taken as often as all.
+    Rows of one id, text and source are numbered, so each has the passes of one of them.
     """
     ship(spark)
-    key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("?"), F.xxhash64("text").cast("string")))
-    named = docs.withColumn("__row", key)
-    passes = mix(named, id_col="__row").select("__row", F.explode("positions").alias("__position"))
-    out = named.join(passes, "__row").drop("__row")
+    named = docs.withColumn("__row", F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("?")), F.hex(F.xxhash64("text")), F.hex(F.xxhash64("source"))))
+    copy = F.row_number().over(Window.partitionBy("__row").orderBy("__row"))
+    passes = mix(named, id_col="__row").select("__row", "positions").withColumn("__copy", copy).select("__row", "__copy", F.explode("positions").alias("__position"))
+    out = named.withColumn("__copy", copy).join(passes, ["__row", "__copy"]).drop("__row", "__copy")
     return out.repartitionByRange("__position").sortWithinPartitions("__position").select(*docs.columns)
 
 

@@ -5,8 +5,8 @@ K_i = clip(floor(1 - log_b(min h_i)), 0, q + 1), where h_i are exponential hashe
 of two sketches is the sketch of the union, and equal registers are likelier the more alike two sets are.
 
 1. One pass over the texts makes sizes, set fingerprints, registers and band keys.
-2. Documents with one set are a class; its smallest id stands for it from here on.
-3. Classes that share a band (`rows` registers) meet the smallest id of their bucket (a star, linear in
+2. Documents with one set are a class, whatever their ids; its number stands for it from here on.
+3. Classes that share a band (`rows` registers) meet the smallest class of their bucket (a star, linear in
    the bucket); pairs whose registers' joint likelihood rules the threshold out are dropped; the rest
    are verified on full sets, and links are joined to components.
 4. Buckets that still hold several components are resolved as units of at most two chunks of members:
@@ -17,7 +17,9 @@ A link is missed only where no band matches; the number of bands keeps that unde
 threshold (20 bands of 4 registers at 0.85).
 
 Nulls and texts without words have the empty set and link with nothing; one to four words are one
-shingle. Repeated ids count as one document each row but share a component. An empty table gives none.
+shingle. Each row is a document, also where its id is null or repeated: of a component one row is kept, a row
+of the smallest id (any of them where rows repeat that id; any row where all ids are null, and then
+component_id is null). An empty table gives none.
 """
 
 from __future__ import annotations
@@ -85,6 +87,13 @@ def registers(hashes: np.ndarray, offsets: np.ndarray, m: int) -> np.ndarray:
     return out
 
 
+def prints(own: np.ndarray) -> tuple[int, int, int]:
+    """The fingerprint of a set of distinct hashes: its size, sum and exclusive or."""
+    if not len(own):
+        return 0, 0, 0
+    return len(own), int(own.sum(dtype=U64).view(np.int64)), int(np.bitwise_xor.reduce(own).view(np.int64))
+
+
 def likelihood(n_a: np.ndarray, n_b: np.ndarray, above: np.ndarray, below: np.ndarray, equal: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Log-likelihood of similarity j, from how many registers of a are above, below and equal to b's."""
     u, v = n_a / (n_a + n_b), n_b / (n_a + n_b)
@@ -179,9 +188,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             sums = np.zeros((batch.num_rows, 2), np.int64)
             for i in range(batch.num_rows):
                 own = K.distinct(hashes[offsets[i] : offsets[i + 1]])
-                if len(own):
-                    n[i] = len(own)
-                    sums[i] = own.sum(dtype=U64).view(np.int64), np.bitwise_xor.reduce(own).view(np.int64)
+                n[i], sums[i, 0], sums[i, 1] = prints(own)
             regs = registers(hashes, offsets, m)
             keys = np.zeros((batch.num_rows, bands), U64)
             for b in range(bands):
@@ -203,9 +210,12 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             )
 
     schema = T.StructType([T.StructField("id", id_type), T.StructField("n", T.LongType()), T.StructField("s1", T.LongType()), T.StructField("s2", T.LongType()), T.StructField("regs", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
-    drawn = shared.keep(docs.mapInArrow(sketch, schema), "near-sketches")
-    some = drawn.where("n > 0 and id is not null")
-    classes = shared.keep(some.groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("regs").alias("regs"), F.first("bands").alias("bands")), "near-classes")
+    # rows and classes are numbered as they are written, so the numbers hold from then on
+    drawn = shared.keep(docs.mapInArrow(sketch, schema).withColumn("row", F.monotonically_increasing_id()), "near-sketches")
+    some = drawn.where("n > 0")
+    first = F.min(F.struct(F.col("id").isNull().alias("no"), "id", "row")).alias("first")
+    classes = some.groupBy("n", "s1", "s2").agg(first, F.first("regs").alias("regs"), F.first("bands").alias("bands"))
+    classes = shared.keep(classes.withColumn("rep", F.monotonically_increasing_id()), "near-classes")
 
     placed = classes.select("rep", F.explode("bands").alias("band"))
     pivots = placed.groupBy("band").agg(F.min("rep").alias("pivot"), F.count("*").alias("members")).where("members > 1").select("band", "pivot")
@@ -222,13 +232,15 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                 ok = plausible(x.column("na").to_numpy().astype(float), x.column("nb").to_numpy().astype(float), _matrix(x.column("ra"), m), _matrix(x.column("rb"), m), percent / 100)
                 yield x.select(["a", "b"]).filter(pa.array(ok))
 
-        return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "ra", "rb").mapInArrow(test, T.StructType([T.StructField("a", id_type), T.StructField("b", id_type)]))
+        return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "ra", "rb").mapInArrow(test, T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]))
 
     def sets_of(wanted: DataFrame, packed: bool = False) -> DataFrame:
-        """(id, words): the full sets of the wanted ids, as arrays or packed."""
-        wanted = shared.keep(wanted, "near-wanted")
-        few = wanted.count() <= SMALL_ROWS
-        chosen = docs.join(F.broadcast(wanted) if few else wanted, "id", "left_semi")
+        """(id, words): the full sets of the wanted classes, as arrays or packed."""
+        wanted = shared.keep(classes.join(wanted, F.col("rep") == wanted["id"], "left_semi").select("first.id", "n", "s1", "s2", "rep"), "near-wanted")
+        held = F.broadcast if wanted.count() <= SMALL_ROWS else lambda x: x
+        chosen = docs.join(held(wanted.where("id is not null").select("id").distinct()), "id", "left_semi")
+        if not wanted.where("id is null").isEmpty():
+            chosen = chosen.union(docs.where("id is null").dropDuplicates(["text"]))
 
         def sets(batches):
             for batch in K.pieces(batches, "text"):
@@ -240,10 +252,13 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                 else:
                     values = np.concatenate(own) if own else np.zeros(0, U64)
                     words = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, own)]), pa.int32()), pa.array(values.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column("id"), words], ["id", "words"])
+                sums = np.array([prints(x) for x in own], np.int64).reshape(-1, 3)
+                yield pa.RecordBatch.from_arrays([*map(pa.array, np.ascontiguousarray(sums.T)), words], ["n", "s1", "s2", "words"])
 
         kind = T.BinaryType() if packed else T.ArrayType(T.LongType())
-        return shared.keep(chosen.mapInArrow(sets, T.StructType([T.StructField("id", id_type), T.StructField("words", kind)])), "near-sets").dropDuplicates(["id"])
+        made = chosen.mapInArrow(sets, T.StructType([*(T.StructField(x, T.LongType()) for x in ("n", "s1", "s2")), T.StructField("words", kind)]))
+        made = made.join(held(wanted.drop("id")), ["n", "s1", "s2"]).select(F.col("rep").alias("id"), "words")
+        return shared.keep(made, "near-sets").dropDuplicates(["id"])
 
     def linked(pairs: DataFrame) -> DataFrame:
         """Of the pairs, those linked by their full sets."""
@@ -276,11 +291,14 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                 a, b = _across(unit, percent)
                 yield pa.RecordBatch.from_arrays([unit["rep"].combine_chunks().take(pa.array(x)) for x in (a, b)], ["a", "b"])
 
-        extra = carried.select("band", "c0", "c1", "rep", F.xxhash64("c").alias("c"), "words").mapInArrow(resolve, T.StructType([T.StructField("a", id_type), T.StructField("b", id_type)]))
+        extra = carried.select("band", "c0", "c1", "rep", F.xxhash64("c").alias("c"), "words").mapInArrow(resolve, T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]))
         extra = shared.keep(extra.distinct(), "near-extra")
         if not extra.isEmpty():
             labels = components(links.union(extra), shared.keep)
 
-    reps = classes.select("n", "s1", "s2", "rep").join(labels, F.col("rep") == labels["node"], "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("component_id"))
-    out = drawn.select("id", "n", "s1", "s2").join(reps, ["n", "s1", "s2"], "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True))).withColumnRenamed("id", id_col)
+    reps = classes.select("n", "s1", "s2", "first", "rep").join(labels, F.col("rep") == labels["node"], "left").select("n", "s1", "s2", "first", F.coalesce("component", "rep").alias("c"))
+    heads = reps.groupBy("c").agg(F.min("first").alias("head"))
+    reps = reps.join(heads, "c").select("n", "s1", "s2", "head")
+    out = drawn.select("id", "row", "n", "s1", "s2").join(reps, ["n", "s1", "s2"], "left")
+    alone = F.col("head").isNull()
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(alone, F.col("id")).otherwise(F.col("head.id")).alias("component_id"), F.coalesce(F.col("row") == F.col("head.row"), F.lit(True)).alias("kept"))
