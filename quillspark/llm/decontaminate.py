@@ -16,7 +16,7 @@ floor((1 - similarity) * n) word edits of it (words: lower-cased, ASCII punctuat
 
 So of items of `sure` words or more none is missed where n - 2 - 3t is over 0, as it is for all of them at
 the default similarity. Of shorter items untouched copies are never missed; edited ones may be (in a
-simulation with lengths 5 to 19 at the limit of edits, 300 passages each, none was).
+simulation of 7 lengths from 5 to 19 at the limit of edits, 300 passages each, none was).
 
 The benchmark is held in memory by parts of at most `part_bytes` bytes of text, one pass over the
 documents for each part; usually there is one part.
