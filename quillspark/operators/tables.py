@@ -1,20 +1,79 @@
-"""Written intermediate tables in the checkpoint folder, which all executors share."""
+"""Written intermediate tables in the folder that all executors share, and joins that split hot keys.
+
+A written table cuts lineage: a lost executor costs a re-read, not a recomputation. Folders are removed
+when the session's process ends.
+"""
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+_made: list[tuple[SparkSession, str]] = []
+
+
+def shared_root(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where it is unset, a temporary folder, on one machine only."""
+    sc = spark.sparkContext
+    found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not found:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="quillspark-"))
+        found = sc.getCheckpointDir()
+    return found.rstrip("/")
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path, removed when the process ends."""
+    path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    if not _made:
+        atexit.register(_sweep)
+    _made.append((spark, path))
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def _sweep() -> None:
+    for spark, path in _made:
+        try:
+            remove(spark, path)
+        except Exception:  # noqa: BLE001  the session may have ended
+            return
 
 
 def keep(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet and reads it back, so that a lost executor costs a re-read."""
-    spark = df.sparkSession
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not base:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quillspark-"))
-        base = spark.sparkContext.getCheckpointDir()
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    """Writes df as Parquet in the shared folder and reads it back."""
+    path = folder(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def hot_keys(rows: DataFrame, *key: str, least: int = 256) -> DataFrame | None:
+    """(key, __salts) of the keys with over max(least, a 100,000th of all) rows, so at most 100,000; None if there is none."""
+    total = rows.count()
+    each = max(least, -(-total // 100_000))
+    if total <= each:
+        return None
+    many = rows.groupBy(*key).agg(F.count("*").alias("__n")).where(F.col("__n") > each)
+    many = keep(many.select(*key, F.ceil(F.col("__n") / each).cast("int").alias("__salts")), "hot")
+    return None if many.isEmpty() else many
+
+
+def spread_join(many: DataFrame, one: DataFrame, key: list[str], hot: DataFrame | None, deal: list[str], how: str = "inner") -> DataFrame:
+    """many joined with one by key, hot keys dealt over several tasks by a hash of the `deal` columns."""
+    if hot is None:
+        return many.join(one, key, how)
+    hot = F.broadcast(hot)
+    salts = F.coalesce("__salts", F.lit(1))
+    many = many.join(hot, key, "left").withColumn("__salt", F.pmod(F.xxhash64(*deal), salts).cast("int")).drop("__salts")
+    one = one.join(hot, key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("__salts")
+    return many.join(one, [*key, "__salt"], how).drop("__salt")
