@@ -8,10 +8,13 @@ of two sketches is the sketch of the union, and equal registers are likelier the
 2. Documents with one set are a class, whatever their ids; its number stands for it from here on.
 3. Classes that share a band (`rows` registers) meet the smallest class of their bucket (a star, linear in
    the bucket); pairs whose registers' joint likelihood rules the threshold out are dropped; the rest
-   are verified on full sets, and links are joined to components.
-4. Buckets that still hold several components are resolved as units of at most two chunks of members:
-   an inverted index of the unit's full sets counts what each member outside the commonest component
-   shares with all others. Units give links, not pairs, and no link in a bucket is lost to the star.
+   are verified on full sets, and links are joined to components. A star with very many members is dealt
+   over several tasks.
+4. Where a bucket still holds several components, those outside its commonest one are its outsiders. While
+   comparing all of them would be much work and it helps, an outsider becomes the next star's centre.
+   Then each chunk of outsiders meets each chunk of its bucket's members: an inverted index of the full
+   sets counts what an outsider shares with members of other components. This gives links, not pairs,
+   grows with the outsiders alone, and no link in a bucket is lost to the stars.
 
 A link is missed only where no band matches; the number of bands keeps that under `miss` at the
 threshold (20 bands of 4 registers at 0.85).
@@ -147,21 +150,22 @@ def _units(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Ta
 
 
 def _across(unit: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows (i, j) of a unit that link two components; for each row and other component one link is enough."""
+    """Rows (i, j) of a unit, i an outsider, that link two components; one link for each outsider and component."""
     own = [K.unpack_sorted(x.as_py())[0] for x in unit["words"]]
     n = np.array([len(x) for x in own])
     c = np.unique(unit["c"].to_numpy(), return_inverse=True)[1]
-    if len(own) < 2 or c.max() == 0:
+    outside = np.array(unit["outside"].to_pylist(), bool)
+    queries, members = np.flatnonzero(outside), np.flatnonzero(~outside)
+    if not len(queries) or not len(members) or c.max() == 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    words, where = np.unique(np.concatenate(own), return_inverse=True)
-    row = np.repeat(np.arange(len(own)), n)
+    words, where = np.unique(np.concatenate([own[i] for i in members]), return_inverse=True)
     order = np.argsort(where, kind="stable")
-    posting, begin = row[order], np.searchsorted(where[order], np.arange(len(words) + 1))
-    ends = np.cumsum(n)
+    posting, begin = np.repeat(members, n[members])[order], np.searchsorted(where[order], np.arange(len(words) + 1))
     a, b = [], []
-    for i in np.flatnonzero(c != np.bincount(c).argmax()):
-        mine = where[ends[i] - n[i] : ends[i]]
-        both = np.bincount(posting[K.ranges(begin[mine], begin[mine + 1] - begin[mine])], minlength=len(own))
+    for i in queries:
+        at = np.minimum(np.searchsorted(words, own[i]), len(words) - 1)
+        at = at[words[at] == own[i]]
+        both = np.bincount(posting[K.ranges(begin[at], begin[at + 1] - begin[at])], minlength=len(own))
         hit = np.flatnonzero((c != c[i]) & (both * 100 >= percent * (n + n[i] - both)) & (both > 0))
         if len(hit):
             hit = hit[np.unique(c[hit], return_index=True)[1]]
@@ -178,7 +182,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     bands = math.ceil(math.log(miss) / math.log(1 - (percent / 100) ** rows))
     m = bands * rows
     id_type = docs.schema[id_col].dataType
-    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    docs = shared.numbered(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "row", "near-texts")
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in K.pieces(batches, "text"):
@@ -200,47 +204,37 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("id"),
+                    batch.column("row"),
                     pa.array(n),
                     pa.array(sums[:, 0]),
                     pa.array(sums[:, 1]),
                     pa.BinaryArray.from_buffers(pa.binary(), count, [None, pa.py_buffer((np.arange(count + 1) * 2 * m).astype(np.int32)), pa.py_buffer(regs.astype("<u2").tobytes())]),
                     pa.ListArray.from_arrays(pa.array(np.arange(count + 1) * bands, pa.int32()), pa.array(keys.ravel().view(np.int64))),
                 ],
-                ["id", "n", "s1", "s2", "regs", "bands"],
+                ["id", "row", "n", "s1", "s2", "regs", "bands"],
             )
 
-    schema = T.StructType([T.StructField("id", id_type), T.StructField("n", T.LongType()), T.StructField("s1", T.LongType()), T.StructField("s2", T.LongType()), T.StructField("regs", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
-    # rows and classes are numbered as they are written, so the numbers hold from then on
-    drawn = shared.keep(docs.mapInArrow(sketch, schema).withColumn("row", F.monotonically_increasing_id()), "near-sketches")
+    schema = T.StructType([T.StructField("id", id_type), docs.schema["row"], T.StructField("n", T.LongType()), T.StructField("s1", T.LongType()), T.StructField("s2", T.LongType()), T.StructField("regs", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+    same = ["n", "s1", "s2"]
+    drawn = shared.keep(docs.mapInArrow(sketch, schema), "near-sketches")
     some = drawn.where("n > 0")
     first = F.min(F.struct(F.col("id").isNull().alias("no"), "id", "row")).alias("first")
-    classes = some.groupBy("n", "s1", "s2").agg(first, F.first("regs").alias("regs"), F.first("bands").alias("bands"))
+    # classes are numbered as they are written, so the numbers hold from then on
+    classes = some.groupBy(*same).agg(first, F.first("regs").alias("regs"), F.first("bands").alias("bands"))
     classes = shared.keep(classes.withColumn("rep", F.monotonically_increasing_id()), "near-classes")
 
-    placed = classes.select("rep", F.explode("bands").alias("band"))
-    pivots = placed.groupBy("band").agg(F.min("rep").alias("pivot"), F.count("*").alias("members")).where("members > 1").select("band", "pivot")
-    members = shared.keep(placed.join(pivots, "band").select("band", "rep", "pivot"), "near-members")
+    placed = shared.keep(classes.select("rep", F.explode("bands").alias("band")), "near-placed")
+    hot_bands = shared.hot_keys(placed, "band")
+    pivots = placed.groupBy("band").agg(F.min("rep").alias("pivot"), F.count("*").alias("members")).where("members > 1")
+    members = shared.keep(shared.spread_join(placed, pivots, ["band"], hot_bands, ["rep"]), "near-members")
     slim = classes.select("rep", "n", "regs")
-
-    def likely(pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) that the registers' joint likelihood doesn't rule out."""
-        left = slim.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("regs").alias("ra"))
-        right = slim.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("regs").alias("rb"))
-
-        def test(batches):
-            for x in batches:
-                ok = plausible(x.column("na").to_numpy().astype(float), x.column("nb").to_numpy().astype(float), _matrix(x.column("ra"), m), _matrix(x.column("rb"), m), percent / 100)
-                yield x.select(["a", "b"]).filter(pa.array(ok))
-
-        return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "ra", "rb").mapInArrow(test, T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]))
+    pair_type = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
     def sets_of(wanted: DataFrame, packed: bool = False) -> DataFrame:
         """(id, words): the full sets of the wanted classes, as arrays or packed."""
-        wanted = shared.keep(classes.join(wanted, F.col("rep") == wanted["id"], "left_semi").select("first.id", "n", "s1", "s2", "rep"), "near-wanted")
-        held = F.broadcast if wanted.count() <= SMALL_ROWS else lambda x: x
-        chosen = docs.join(held(wanted.where("id is not null").select("id").distinct()), "id", "left_semi")
-        if not wanted.where("id is null").isEmpty():
-            chosen = chosen.union(docs.where("id is null").dropDuplicates(["text"]))
+        wanted = shared.keep(classes.join(wanted, F.col("rep") == wanted["id"], "left_semi").select("first.row", "rep"), "near-wanted")
+        few = wanted.count() <= SMALL_ROWS
+        chosen = docs.select("row", "text").join(F.broadcast(wanted) if few else wanted, "row").select("rep", "text")
 
         def sets(batches):
             for batch in K.pieces(batches, "text"):
@@ -252,53 +246,81 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                 else:
                     values = np.concatenate(own) if own else np.zeros(0, U64)
                     words = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, own)]), pa.int32()), pa.array(values.view(np.int64)))
-                sums = np.array([prints(x) for x in own], np.int64).reshape(-1, 3)
-                yield pa.RecordBatch.from_arrays([*map(pa.array, np.ascontiguousarray(sums.T)), words], ["n", "s1", "s2", "words"])
+                yield pa.RecordBatch.from_arrays([batch.column("rep"), words], ["id", "words"])
 
         kind = T.BinaryType() if packed else T.ArrayType(T.LongType())
-        made = chosen.mapInArrow(sets, T.StructType([*(T.StructField(x, T.LongType()) for x in ("n", "s1", "s2")), T.StructField("words", kind)]))
-        made = made.join(held(wanted.drop("id")), ["n", "s1", "s2"]).select(F.col("rep").alias("id"), "words")
-        return shared.keep(made, "near-sets").dropDuplicates(["id"])
+        return shared.keep(chosen.mapInArrow(sets, T.StructType([T.StructField("id", T.LongType()), T.StructField("words", kind)])), "near-sets")
 
     def linked(pairs: DataFrame) -> DataFrame:
-        """Of the pairs, those linked by their full sets."""
-        found = sets_of(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
-        both = pairs.join(found.select(F.col("id").alias("b"), F.col("words").alias("wb")), "b").join(found.select(F.col("id").alias("a"), F.col("words").alias("wa")), "a")
-        shared_n = F.size(F.array_intersect("wa", "wb"))
-        return both.select("a", "b", shared_n.alias("i"), (F.size("wa") + F.size("wb")).alias("t")).where(F.col("i") * 100 >= percent * (F.col("t") - F.col("i"))).select("a", "b")
+        """Of the pairs (a, b), a the centres of stars, those linked by their full sets; registers rule most others out."""
+        left = slim.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("regs").alias("ra"))
+        right = slim.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("regs").alias("rb"))
 
-    stars = shared.keep(likely(members.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()), "near-stars")
-    links = shared.keep(linked(stars), "near-links")
-    labels = components(links, shared.keep)
+        def test(batches):
+            for x in batches:
+                ok = plausible(x.column("na").to_numpy().astype(float), x.column("nb").to_numpy().astype(float), _matrix(x.column("ra"), m), _matrix(x.column("rb"), m), percent / 100)
+                yield x.select(["a", "b"]).filter(pa.array(ok))
 
-    # links between components that share a bucket, which the stars may have missed
-    tagged = members.join(labels, members["rep"] == labels["node"], "left").select("band", "rep", F.coalesce("component", "rep").alias("c"))
-    mixed = tagged.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.ceil(F.count("*") / chunk).cast("int").alias("chunks")).where("low < high").select("band", "chunks")
-    rest = shared.keep(
-        tagged.join(mixed, "band")
-        .withColumn("own", F.pmod(F.xxhash64("rep", "band"), F.col("chunks")).cast("int"))
-        .select("band", "rep", "c", "own", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
-        .select("band", "rep", "c", F.least("own", "other").alias("c0"), F.greatest("own", "other").alias("c1")),
-        "near-rest",
-    )
-    if not rest.isEmpty():
-        held = sets_of(rest.select(F.col("rep").alias("id")).distinct(), packed=True).withColumnRenamed("id", "rep")
-        parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), shared.buckets(rest, 1 << 18, 1))
-        carried = rest.join(held, "rep").repartition(parts, "band", "c0", "c1").sortWithinPartitions("band", "c0", "c1")
+        pairs = shared.keep(pairs.distinct(), "near-pairs")
+        met = shared.spread_join(pairs, left, ["a"], shared.hot_keys(pairs, "a"), ["b"]).join(right, "b")
+        likely = shared.keep(met.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(test, pair_type), "near-stars")
+        found = sets_of(likely.select(F.col("a").alias("id")).union(likely.select(F.col("b").alias("id"))).distinct())
+        both = shared.spread_join(likely, found.select(F.col("id").alias("a"), F.col("words").alias("wa")), ["a"], shared.hot_keys(likely, "a"), ["b"])
+        both = both.join(found.select(F.col("id").alias("b"), F.col("words").alias("wb")), "b")
+        shared_n = F.size(F.array_intersect("wa", "wb"))
+        both = both.select("a", "b", shared_n.alias("i"), (F.size("wa") + F.size("wb")).alias("t"))
+        return shared.keep(both.where(F.col("i") * 100 >= percent * (F.col("t") - F.col("i"))).select("a", "b"), "near-links")
+
+    def mixed_buckets(labels: DataFrame) -> tuple[DataFrame, DataFrame, tuple[int, int]]:
+        """Members with their components; buckets of several, with the commonest; (outsiders, units' rows)."""
+        tagged = members.select("band", "rep").join(labels, members["rep"] == labels["node"], "left").select("band", "rep", F.coalesce("component", "rep").alias("c"))
+        tagged = shared.keep(tagged, "near-tagged")
+        sizes = tagged.groupBy("band", "c").agg(F.count("*").alias("n"))
+        top = sizes.groupBy("band").agg(F.max(F.struct("n", "c")).alias("top"), F.sum("n").alias("members"), F.count("*").alias("parts")).where("parts > 1")
+        mixed = shared.keep(top.select("band", F.col("top.c").alias("common"), "members", (F.col("members") - F.col("top.n")).alias("outside")), "near-mixed")
+        least = mixed.agg(F.sum("outside").alias("u"), F.sum(F.ceil(F.col("outside") / chunk) * F.col("members") + F.ceil(F.col("members") / chunk) * F.col("outside")).alias("w")).first()
+        return tagged, mixed, (least.u or 0, least.w or 0)
+
+    links = linked(members.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")))
+    labels = components(links, shared.keep)
+    tagged, mixed, (outside, work) = mixed_buckets(labels)
+    many, turn = members.count(), 0
+    while work > 4 * many:
+        turn += 1
+        there = shared.spread_join(tagged, mixed, ["band"], hot_bands, ["rep"])
+        centres = there.where("c <> common").groupBy("band").agg(F.min_by(F.struct("rep", "c"), F.xxhash64("rep", F.lit(turn))).alias("p")).select("band", F.col("p.rep").alias("a"), F.col("p.c").alias("ac"))
+        pairs = shared.spread_join(tagged, centres, ["band"], hot_bands, ["rep"]).where("c <> ac").select("a", F.col("rep").alias("b"))
+        links = links.union(linked(pairs))
+        labels = components(links, shared.keep)
+        before = outside
+        tagged, mixed, (outside, work) = mixed_buckets(labels)
+        if outside * 4 > before * 3:
+            break
+    if work:
+        there = shared.spread_join(tagged, mixed, ["band"], hot_bands, ["rep"])
+        queries, parts = (F.ceil(F.col(x) / chunk).cast("int") for x in ("outside", "members"))
+        asks = there.where("c <> common").select("band", "rep", "c", F.lit(True).alias("outside"), F.pmod(F.xxhash64("rep", "band"), queries).cast("int").alias("q"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("p"))
+        held = there.select("band", "rep", "c", F.lit(False).alias("outside"), F.explode(F.sequence(F.lit(0), queries - 1)).alias("q"), F.pmod(F.xxhash64("rep", "band", F.lit(1)), parts).cast("int").alias("p"))
+        rest = shared.keep(asks.unionByName(held), "near-rest")
+        words = sets_of(rest.select(F.col("rep").alias("id")).distinct(), packed=True).withColumnRenamed("id", "rep")
+        count = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), shared.buckets(rest, 1 << 18, 1))
+        carried = shared.spread_join(rest, words, ["rep"], shared.hot_keys(rest, "rep"), ["band", "q", "p"])
+        carried = carried.repartition(count, "band", "q", "p").sortWithinPartitions("band", "q", "p")
 
         def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for unit in _units(batches, ["band", "c0", "c1"]):
+            for unit in _units(batches, ["band", "q", "p"]):
                 a, b = _across(unit, percent)
                 yield pa.RecordBatch.from_arrays([unit["rep"].combine_chunks().take(pa.array(x)) for x in (a, b)], ["a", "b"])
 
-        extra = carried.select("band", "c0", "c1", "rep", F.xxhash64("c").alias("c"), "words").mapInArrow(resolve, T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]))
-        extra = shared.keep(extra.distinct(), "near-extra")
+        extra = shared.keep(carried.select("band", "q", "p", "rep", "c", "outside", "words").mapInArrow(resolve, pair_type).distinct(), "near-extra")
         if not extra.isEmpty():
             labels = components(links.union(extra), shared.keep)
 
-    reps = classes.select("n", "s1", "s2", "first", "rep").join(labels, F.col("rep") == labels["node"], "left").select("n", "s1", "s2", "first", F.coalesce("component", "rep").alias("c"))
+    reps = classes.select(*same, "first", "rep").join(labels, F.col("rep") == labels["node"], "left").select(*same, "first", F.coalesce("component", "rep").alias("c"))
+    reps = shared.keep(reps, "near-reps")
     heads = reps.groupBy("c").agg(F.min("first").alias("head"))
-    reps = reps.join(heads, "c").select("n", "s1", "s2", "head")
-    out = drawn.select("id", "row", "n", "s1", "s2").join(reps, ["n", "s1", "s2"], "left")
+    reps = shared.spread_join(reps, heads, ["c"], shared.hot_keys(reps, "c"), same).select(*same, "head")
+    out = drawn.select("id", "row", *same)
+    out = shared.spread_join(out, reps, same, shared.hot_keys(some, *same), ["row"], "left")
     alone = F.col("head").isNull()
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(alone, F.col("id")).otherwise(F.col("head.id")).alias("component_id"), F.coalesce(F.col("row") == F.col("head.row"), F.lit(True)).alias("kept"))

@@ -1,57 +1,13 @@
 """Written intermediate tables, in the folder that all executors share.
 
-A written table cuts lineage: a lost executor costs a re-read, not a recomputation. Folders are
-removed when the session's process ends.
+Also keys for rows, the planner's estimates, and how files are cut.
 """
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pyspark.sql import DataFrame, SparkSession
-
-_made: list[tuple[object, str]] = []
-
-
-def root(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset (tests on one machine), a temporary folder."""
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not found:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="quillspark-"))
-        found = sc.getCheckpointDir()
-    return found.rstrip("/")
-
-
-def folder(spark: SparkSession, name: str) -> str:
-    path = f"{root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-    if not _made:
-        atexit.register(_sweep)
-    _made.append((spark, path))
-    return path
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def _sweep() -> None:
-    for spark, path in _made:
-        try:
-            remove(spark, path)
-        except Exception:  # noqa: BLE001  the session may have ended
-            return
-
-
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it back."""
-    path = folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from quillspark.operators.tables import folder, hot_keys, keep, remove, spread_join  # noqa: F401  the operators use them from here
 
 
 def scan_bytes(df: DataFrame) -> int:
@@ -67,3 +23,34 @@ def buckets(df: DataFrame, each: int, least: int = 8) -> int:
 def missing(spark: SparkSession, path: str) -> bool:
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
+def plain_scan(df: DataFrame) -> bool:
+    """Whether df only filters and projects the rows of one Parquet table, always alike."""
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.deterministic():
+        kind = plan.getClass().getSimpleName()
+        if kind == "LogicalRelation":
+            relation = plan.relation()
+            return relation.getClass().getSimpleName() == "HadoopFsRelation" and relation.fileFormat().getClass().getSimpleName() == "ParquetFileFormat"
+        if kind not in ("Project", "Filter", "SubqueryAlias"):
+            return False
+        plan = plan.children().apply(0)
+    return False
+
+
+def numbered(df: DataFrame, column: str, name: str) -> DataFrame:
+    """df with a key of its own for each row, the same at every reading, also where ids are null or repeat.
+
+    Rows of a Parquet table go by their file (a hash of its path; two of a million files share one with
+    a chance of 3e-8) and their place in it. Anything else is written first.
+    """
+    if plain_scan(df):
+        return df.withColumn(column, F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")))
+    return keep(df.withColumn(column, F.struct(F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("at"))), name)
+
+
+def same_splits(spark: SparkSession) -> None:
+    """From now on this session cuts files alike, whatever number of executors it has at a time."""
+    if not spark.conf.get("spark.sql.files.minPartitionNum", None):
+        spark.conf.set("spark.sql.files.minPartitionNum", str(max(1, spark.sparkContext.defaultParallelism)))
