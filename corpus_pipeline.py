@@ -6,7 +6,7 @@ assignment of each row to a shard. Texts are shuffled only where their place cha
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quillspark.llm import shared
 from quillspark.llm.curriculum import mix
@@ -17,17 +17,14 @@ from quillspark.llm.rules import quality_filter
 from quillspark.llm.setsketch import near_duplicates
 from quillspark.session import ship
 
-#: Ids that may be broadcast; beyond it the join shuffles.
+#: Row keys that may be broadcast; beyond it the join shuffles.
 FEW = 1_000_000
+#: Names that no table of documents has.
+ROW, PLACE = "__pipeline_row", "__pipeline_place"
 
 
-def _small(ids: DataFrame) -> DataFrame:
-    return F.broadcast(ids) if ids.count() <= FEW else ids
-
-
-def _keyed(docs: DataFrame) -> DataFrame:
-    """docs with __row: the id and the text's hash, so that null and repeated ids stand for their own texts."""
-    return docs.withColumn("__row", F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("h")))
+def _small(keys: DataFrame) -> DataFrame:
+    return F.broadcast(keys) if keys.count() <= FEW else keys
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,39 +33,38 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_filter(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), ~held_out(4, 2))
 
 
+def _without(docs: DataFrame, gone: DataFrame, columns: list[str]) -> DataFrame:
+    """docs but for the rows whose keys are in gone."""
+    return docs.join(_small(gone), ROW, "left_anti").select(*columns)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each near-duplicate group stays, whether its id is null or repeated; so do texts without words, one an id."""
+    """One row of each near-duplicate group stays, whether its id is null or repeated; so do texts without words."""
     ship(spark)
-    docs_keyed = _keyed(docs)
-    found = shared.keep(near_duplicates(docs_keyed, id_col="__row", percent=80).groupBy("__row").agg(F.max("kept").alias("kept"), F.count("*").alias("n")).where("not kept or n > 1"), "dedup")
-    kept = docs_keyed.join(_small(found.where("not kept").select("__row")), "__row", "left_anti")
-    again = found.where("kept").select("__row")
-    if not again.isEmpty():
-        again = _small(again)
-        kept = kept.join(again, "__row", "left_anti").unionByName(kept.join(again, "__row", "left_semi").dropDuplicates(["__row"]))
-    return kept.select(*docs.columns)
+    rows = shared.numbered(docs, ROW, "dedup-rows")
+    found = near_duplicates(rows, id_col=ROW, percent=80)
+    return _without(rows, shared.keep(found.where("not kept").select(ROW), "dedup"), docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item, up to a fifth of its words edited, go."""
+    """Rows that hold a benchmark item, up to a fifth of its words edited, go; ids play no part."""
     ship(spark)
-    docs_keyed = _keyed(docs)
-    found = contamination(docs_keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="__row")
-    dirty = shared.keep(found.where("contaminated").select("__row").distinct(), "decontaminate")
-    return docs_keyed.join(_small(dirty), "__row", "left_anti").select(*docs.columns)
+    rows = shared.numbered(docs, ROW, "decontaminate-rows")
+    found = contamination(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col=ROW)
+    return _without(rows, shared.keep(found.where("contaminated").select(ROW), "decontaminate"), docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each pass over a document, whole, range-sorted by training position; others go.
 
-    Rows of one id, text and source are numbered, so each has the passes of one of them.
+    A pass that the mix takes in part is one a source, at its target's end, and stays whole. Rows without
+    words take nothing and go.
     """
     ship(spark)
-    named = docs.withColumn("__row", F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("?")), F.hex(F.xxhash64("text")), F.hex(F.xxhash64("source"))))
-    copy = F.row_number().over(Window.partitionBy("__row").orderBy("__row"))
-    passes = mix(named, id_col="__row").select("__row", "positions").withColumn("__copy", copy).select("__row", "__copy", F.explode("positions").alias("__position"))
-    out = named.withColumn("__copy", copy).join(passes, ["__row", "__copy"]).drop("__row", "__copy")
-    return out.repartitionByRange("__position").sortWithinPartitions("__position").select(*docs.columns)
+    rows = shared.numbered(docs, ROW, "mixing-rows")
+    passes = mix(rows, id_col=ROW).select(ROW, F.explode("positions").alias(PLACE))
+    out = rows.join(passes, ROW).repartitionByRange(PLACE, ROW).sortWithinPartitions(PLACE, ROW)
+    return out.select(*docs.columns)
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
