@@ -4,6 +4,7 @@ Each vector o (unit length) is turned by seeded random rotations; the signs of t
 are its code, x = sign / sqrt(d), and the stored factor <x, o> makes <x, y> / <x, o> an unbiased
 estimate of <o, y> for any unit y, with standard error sqrt(1 / <x, o>^2 - 1) / sqrt((d - 1) * turns).
 
+0. Rows of one label and vector are a class with a count; a class counts for its members from here on.
 1. Bands of code bits (more bits as the table grows, and as many bands as the wanted recall needs)
    bring vectors of one label together.
 2. In a bucket, the estimate plus `sigmas` standard errors decides which pairs can reach the threshold;
@@ -12,7 +13,9 @@ estimate of <o, y> for any unit y, with standard error sqrt(1 / <x, o>^2 - 1) /
    work of its own; units emit a row for each vector, never pairs.
 
 Null labels, and vectors that are null, empty, zero or hold null or non-finite components, link with
-nothing. Ids are taken to be unique; rows that repeat one share its sums. An empty table gives none.
+nothing. Each row is a vector, also where its id is null or repeated: of a component one row is kept, a
+row of the smallest id (any of them where rows repeat that id; any row where all ids are null, and then
+component_id is null). Classes and labels go by hashes of 128 and 64 bits. An empty table gives none.
 """
 
 from __future__ import annotations
@@ -108,9 +111,17 @@ def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 def near_vectors(table: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = 0.98, miss: float = 1e-5, sigmas: float = 5.0, chunk: int = 1024) -> DataFrame:
     """Per vector: id, n_links, component_id (smallest id reachable over links) and kept."""
-    id_type = table.schema[id_col].dataType
-    every = table.select(F.col(id_col).alias("id"), F.when(F.col(label_col).isNotNull(), F.xxhash64(F.col(label_col).cast("string"))).alias("label"), F.col(vector_col).alias("v"))
-    usable = every.where("id is not null and label is not null and v is not null")
+    v, label = F.col(vector_col), F.col(label_col).cast("string")
+    wild = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    fit = F.coalesce(label.isNotNull() & ~wild & F.exists(v, lambda x: x != 0), F.lit(False))
+    table = shared.numbered(table.select(F.col(id_col).alias("id"), label.alias("label"), v.alias("v"), F.when(fit, F.xxhash64(label, v)).alias("h1"), F.when(fit, F.xxhash64(F.lit(1), v, label)).alias("h2")), "row", "vec-rows")
+    same = ["h1", "h2"]
+    first = F.min(F.struct(F.col("id").isNull().alias("no"), "id", "row")).alias("first")
+    classes = table.where("h1 is not null").groupBy(*same).agg(first, F.count("*").alias("m"), F.first("label").alias("label"), F.first("v").alias("v"))
+    # classes are numbered as they are written, so the numbers hold from then on
+    classes = shared.keep(classes.withColumn("label", F.xxhash64("label")).withColumn("id", F.monotonically_increasing_id()), "vec-classes")
+    usable = classes.select("id", "label", "v", "m")
+    id_type = T.LongType()
     width, bands = shape_for(usable.count(), threshold, miss)
 
     def turns_for(d: int) -> int:
@@ -130,25 +141,25 @@ def near_vectors(table: DataFrame, *, id_col: str = "vec_id", vector_col: str =
                     yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(part)), pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * bands, pa.int32()), pa.array(keys.ravel().view(np.int64)))], ["id", "bands"])
 
     coded = usable.mapInArrow(code, T.StructType([T.StructField("id", id_type), T.StructField("bands", T.ArrayType(T.LongType()))]))
-    placed = coded.select("id", F.posexplode("bands").alias("band", "bucket"))
+    placed = shared.keep(coded.select("id", F.posexplode("bands").alias("band", "bucket")), "vec-placed")
     sizes = placed.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
     # a vector goes to a unit for each chunk of its bucket, its own included
     chunks = F.ceil(F.col("members") / chunk).cast("int")
     spread = (
-        placed.join(sizes, "bucket")
+        shared.spread_join(placed, sizes, ["bucket"], shared.hot_keys(placed, "bucket"), ["id"])
         .select("id", "bucket", "band", chunks.alias("chunks"), F.pmod(F.xxhash64("id", "bucket"), chunks).cast("int").alias("own"))
         .select("id", "bucket", "band", "own", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
         .select("id", "bucket", "band", "own", F.least("own", "other").alias("c0"), F.greatest("own", "other").alias("c1"))
     )
     units = shared.keep(spread, "vec-units")
     parts = max(int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")), shared.buckets(units, 1 << 20, 1))
-    carried = units.join(usable.select("id", "v", "label"), "id").repartition(parts, "bucket", "c0", "c1").sortWithinPartitions("bucket", "c0", "c1")
+    carried = units.join(usable, "id").repartition(parts, "bucket", "c0", "c1").sortWithinPartitions("bucket", "c0", "c1")
 
     def judge(part: pa.Table) -> pa.RecordBatch | None:
         """Links within the units of a sorted table, counted by vector."""
         found = _unit_vectors(part["v"].combine_chunks())
         outs = []
-        labels = part["label"].to_numpy()
+        labels, copies = part["label"].to_numpy(), part["m"].to_numpy()
         for d, rows, unit in found:
             turns = turns_for(d)
             rotated = turned(unit, turns)
@@ -196,7 +207,8 @@ def near_vectors(table: DataFrame, *, id_col: str = "vec_id", vector_col: str =
                         linked.append(test(i[k : k + (1 << 14)], j[k : k + (1 << 14)]))
             i = np.concatenate([x[0] for x in linked]) if linked else np.zeros(0, np.int64)
             j = np.concatenate([x[1] for x in linked]) if linked else np.zeros(0, np.int64)
-            counts = np.bincount(i, minlength=len(rows)) + np.bincount(j, minlength=len(rows))
+            m = copies[rows]
+            counts = (np.bincount(i, m[j], len(rows)) + np.bincount(j, m[i], len(rows))).astype(np.int64)
             root = _roots(len(rows), i, j)
             some = np.flatnonzero(counts)
             ids = part["id"].combine_chunks()
@@ -223,9 +235,14 @@ def near_vectors(table: DataFrame, *, id_col: str = "vec_id", vector_col: str =
             if out is not None:
                 yield from out.to_batches()
 
-    links = shared.keep(carried.select("id", "v", "label", "bucket", "band", "own", "c0", "c1").mapInArrow(work, T.StructType([T.StructField("id", id_type), T.StructField("links", T.LongType()), T.StructField("root", id_type)])), "vec-links")
+    links = shared.keep(carried.select("id", "v", "label", "m", "bucket", "band", "own", "c0", "c1").mapInArrow(work, T.StructType([T.StructField("id", id_type), T.StructField("links", T.LongType()), T.StructField("root", id_type)])), "vec-links")
     labels = components(links.select(F.col("id").alias("a"), F.col("root").alias("b")), shared.keep)
-    counts = links.groupBy("id").agg(F.sum("links").alias("n_links"))
-    out = every.select("id").join(counts, "id", "left").join(labels.withColumnRenamed("node", "id"), "id", "left")
-    out = out.select("id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True))).withColumnRenamed("id", id_col)
+    counts = links.groupBy("id").agg(F.sum("links").alias("others"))
+    reps = classes.select("id", *same, "first", "m").join(counts, "id", "left").join(labels.withColumnRenamed("node", "id"), "id", "left")
+    reps = shared.keep(reps.select(*same, "first", (F.col("m") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("c")), "vec-reps")
+    heads = reps.groupBy("c").agg(F.min("first").alias("head"))
+    reps = shared.spread_join(reps, heads, ["c"], shared.hot_keys(reps, "c"), same).select(*same, "n_links", "head")
+    rows = table.select("id", "row", *same)
+    out = shared.spread_join(rows, reps, same, shared.hot_keys(rows.where("h1 is not null"), *same), ["row"], "left")
+    alone = F.col("head").isNull()
+    return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.when(alone, F.col("id")).otherwise(F.col("head.id")).alias("component_id"), F.coalesce(F.col("row") == F.col("head.row"), F.lit(True)).alias("kept"))
