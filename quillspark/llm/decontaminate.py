@@ -18,11 +18,11 @@ So of items of `sure` words or more none is missed where n - 2 - 3t is over 0, a
 the default similarity. Of shorter items untouched copies are never missed; edited ones may be (in a
 simulation of 7 lengths from 5 to 19 at the limit of edits, 300 passages each, none was).
 
-The benchmark is held in memory by parts of at most `part_bytes` bytes of text, one pass over the
-documents for each part; usually there is one part.
+The benchmark is held in memory by parts of about `part_bytes` bytes of text, one after the other, each
+with a pass over the documents; usually there is one part. Several parts' finds meet by row, not by id.
 
-Null and empty texts, and items without words, match nothing. Repeated items match alike. Ids that
-repeat are separate documents unless there are several parts, which are added up by id.
+Null and empty texts, and items without words, match nothing. Repeated items match alike. Each row is
+a document, also where its id is null or repeated. An empty benchmark contaminates nothing.
 """
 
 from __future__ import annotations
@@ -33,10 +33,12 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
 from quillspark.llm import kernel as K
+from quillspark.llm import shared
 
 U64 = np.uint64
 
@@ -246,15 +248,17 @@ class Finder:
 def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", similarity: float = 0.8, repeats: int = 24, samples: int = 2, sure: int = 20, part_bytes: int = 32 << 20) -> DataFrame:
     """Per document: id, contaminated, n_items, and of the closest item best_item, best_edits and best_end (word)."""
     spark = docs.sparkSession
-    id_type, item_type = docs.schema[id_col].dataType, benchmark.schema[item_col].dataType
+    item_type = benchmark.schema[item_col].dataType
     items = benchmark.select(F.col(item_col).alias("item"), F.col("text")).where(F.col("text").isNotNull())
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-size // part_bytes))
-    schema = T.StructType([T.StructField("id", id_type), T.StructField("n_items", T.IntegerType()), T.StructField("best_item", item_type), T.StructField("best_edits", T.IntegerType()), T.StructField("best_end", T.LongType())])
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    if parts > 1:
+        rows = shared.numbered(rows, "row", "decontaminate-rows")
 
-    def against(part: int) -> DataFrame:
-        rows = items.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == part).orderBy("item", "text").collect() if parts > 1 else items.orderBy("item", "text").collect()
-        held = spark.sparkContext.broadcast(Finder([r.item for r in rows], [r.text for r in rows], similarity, repeats, samples, sure))
+    def against(part: int, key: str) -> tuple[DataFrame, Broadcast]:
+        mine = items.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == part).orderBy("item", "text").collect()
+        held = spark.sparkContext.broadcast(Finder([r.item for r in mine], [r.text for r in mine], similarity, repeats, samples, sure))
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             finder = held.value
@@ -267,14 +271,23 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
                     n[row] = len(some)
                     edits[row], item, ends[row] = min(some)
                     best[row] = finder.ids[item]
-                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n), pa.array(best, item_arrow), pa.array(edits, pa.int32()), pa.array(ends, pa.int64())], ["id", "n_items", "best_item", "best_edits", "best_end"])
+                yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(n), pa.array(best, item_arrow), pa.array(edits, pa.int32()), pa.array(ends, pa.int64())], [key, "n_items", "best_item", "best_edits", "best_end"])
 
-        return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(work, schema)
+        made = T.StructType([T.StructField(key, rows.schema[key].dataType), T.StructField("n_items", T.IntegerType()), T.StructField("best_item", item_type), T.StructField("best_edits", T.IntegerType()), T.StructField("best_end", T.LongType())])
+        return rows.select(key, "text").mapInArrow(work, made), held
 
     from pyspark.sql.pandas.types import to_arrow_type
 
     item_arrow = to_arrow_type(item_type)
-    out = reduce(DataFrame.union, [against(p) for p in range(parts)])
-    if parts > 1:
-        out = out.groupBy("id").agg(F.sum("n_items").cast("int").alias("n_items"), F.min_by(F.struct("best_item", "best_edits", "best_end"), F.coalesce("best_edits", F.lit(1 << 30))).alias("b")).select("id", "n_items", "b.*")
+    if parts == 1:
+        out = against(0, "id")[0]
+    else:
+        found = []
+        for part in range(parts):
+            some, held = against(part, "row")
+            found.append(shared.keep(some.where("n_items > 0"), "decontaminate-part"))
+            held.destroy()  # its part is written, so only one is in memory
+        best = F.min(F.struct("best_edits", "best_item", "best_end")).alias("b")
+        sums = reduce(DataFrame.union, found).groupBy("row").agg(F.sum("n_items").cast("int").alias("n_items"), best)
+        out = rows.select("id", "row").join(sums, "row", "left").select("id", F.coalesce("n_items", F.lit(0)).alias("n_items"), "b.best_item", "b.best_edits", "b.best_end")
     return out.withColumn("contaminated", F.col("n_items") > 0).withColumnRenamed("id", id_col)
