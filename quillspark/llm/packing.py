@@ -4,11 +4,11 @@ Equal texts are a group and stay together. Groups with more than 1/`bundles` of
 themselves (at most 3 * bundles of them); all others are dealt by their hash into `bundles` items. The
 items, a bounded number at every size, are placed in falling order, each in the shard where the dot
 product of its sizes with the residual capacities is highest. Only a group larger than a shard's
-capacity is cut, by a hash of the id. Slots are counted in cells of about `cell_rows` rows, so no task
-gathers a shard.
+capacity is cut, its rows dealt in turn. Slots and turns are counted in cells of about `cell_rows` rows,
+so no task gathers a shard or a group.
 
-Null texts are a group of their own, with size 1, no words and checksum 0. Rows that repeat get slots of
-their own. An empty table gives no rows.
+Null texts are a group of their own, with size 1, no words and checksum 0. Each row gets a slot of
+its own, also where its id is null or repeated. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -38,7 +38,8 @@ def shard(docs: DataFrame, shards: int = 8, *, id_col: str = "doc_id", text_col:
     """Per row: id, size, text_crc32, law, shard, slot (gapless from 0 in each shard) and grown_shard (null)."""
     spark = docs.sparkSession
     text = F.col(text_col)
-    table = docs.select(
+    table = shared.numbered(docs, "__row", "pack-texts").select(
+        F.col("__row").alias("row"),
         F.col(id_col).alias("id"),
         (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
         F.coalesce(F.crc32(text.cast("binary")), F.lit(0)).cast("long").alias("text_crc32"),
@@ -70,16 +71,19 @@ def shard(docs: DataFrame, shards: int = 8, *, id_col: str = "doc_id", text_col:
     whole = spark.createDataFrame([(g, pieces) for g, is_heavy, p, pieces in items if is_heavy and p == 0], "g long, pieces int")
     chosen = spark.createDataFrame([(g, h, p, int(s)) for (g, h, p, _), s in zip(items, where, strict=True)], "key long, heavy boolean, piece int, shard int")
     # both hold at most a few rows a bundle
-    placed = (
-        table.join(F.broadcast(whole), "g", "left")
-        .withColumn("heavy", F.col("pieces").isNotNull())
-        .withColumn("key", F.when(F.col("heavy"), F.col("g")).otherwise(F.pmod("g", F.lit(bundles))))
-        .withColumn("piece", F.when(F.coalesce("pieces", F.lit(1)) > 1, F.pmod(F.xxhash64("id", F.lit(8)), F.col("pieces"))).otherwise(0).cast("int"))
-        .join(F.broadcast(chosen), ["key", "heavy", "piece"])
-        .select("id", "size", "text_crc32", "shard", F.pmod(F.xxhash64("id", "text_crc32"), F.lit(max(16, n_rows // (shards * cell_rows) + 1))).alias("cell"))
-    )
-    counts = placed.groupBy("shard", "cell").agg(F.count("*").alias("n"))
-    before = counts.select("shard", "cell", (F.sum("n").over(Window.partitionBy("shard").orderBy("cell")) - F.col("n")).alias("before"))
-    rank = F.row_number().over(Window.partitionBy("shard", "cell").orderBy("id", "text_crc32", "size"))
-    ranked = placed.withColumn("rank", rank).join(before, ["shard", "cell"])
-    return ranked.select(F.col("id").alias(id_col), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("before") + F.col("rank") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    told = table.join(F.broadcast(whole), "g", "left").withColumn("pieces", F.coalesce("pieces", F.lit(0)))
+    cell = F.pmod(F.xxhash64("row"), F.lit(max(16, n_rows // cell_rows + 1)))
+
+    def turns(rows: DataFrame, *key: str) -> DataFrame:
+        """rows with `turn`, their number from 0 among those of a key, counted in cells."""
+        rows = rows.withColumn("cell", cell)
+        sums = rows.groupBy(*key, "cell").agg(F.count("*").alias("n"))
+        before = sums.select(*key, "cell", (F.sum("n").over(Window.partitionBy(*key).orderBy("cell")) - F.col("n")).alias("before"))
+        rank = F.row_number().over(Window.partitionBy(*key, "cell").orderBy("row"))
+        return rows.withColumn("rank", rank).join(before, [*key, "cell"]).withColumn("turn", F.col("before") + F.col("rank") - 1).drop("cell", "rank", "before")
+
+    dealt = turns(told.where("pieces > 1"), "g").withColumn("piece", (F.col("turn") % F.col("pieces")).cast("int")).drop("turn")
+    told = told.where("pieces <= 1").withColumn("piece", F.lit(0)).unionByName(dealt)
+    told = told.withColumn("heavy", F.col("pieces") > 0).withColumn("key", F.when(F.col("pieces") > 0, F.col("g")).otherwise(F.pmod("g", F.lit(bundles))))
+    placed = told.join(F.broadcast(chosen), ["key", "heavy", "piece"]).select("row", "id", "size", "text_crc32", "shard")
+    return turns(placed, "shard").select(F.col("id").alias(id_col), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("turn").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
