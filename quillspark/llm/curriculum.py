@@ -9,11 +9,12 @@ as the target needs, cover that demand end to end, and inverting the demand at a
 its training position. Documents are range-sorted by position. The document at a target's end is taken
 in part, so each source's taken words equal its target rounded.
 
-Cumulative sizes come from cells of about `cell_rows` documents, so a source is never one task. One row
-for each source is held by the driver.
+Cumulative sizes come from cells of about `cell_rows` documents, so a source is never one task. The
+driver holds one row for each source, to share the words out; a schedule travels with its source's rows.
 
 A null text has size 0, a null source is a source of its own, last in order. Documents of size 0 take
-nothing and have no position. Rows that repeat are separate documents. Reruns agree.
+nothing and have no position. Rows are separate documents, also where ids are null or repeat (rows with
+one id and text are in one cell). Reruns over the same files agree.
 """
 
 from __future__ import annotations
@@ -74,21 +75,21 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     spark = docs.sparkSession
     carry = carry or []
     key = F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("z"))
-    table = docs.select(F.col(id_col).alias("__id"), key.alias("__key"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)).alias("__h"), *carry)
+    spot = F.when(F.col(id_col).isNull(), F.col("__spot"))
+    table = shared.numbered(docs, "__spot", "mix-texts").select("__spot", F.col(id_col).alias("__id"), key.alias("__key"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64(F.col(id_col).cast("string"), F.col(text_col), spot).alias("__h"), *carry)
     table = shared.keep(table, "mix-rows")
     # "s" sorts before "z", and Python compares by code point
     found = sorted((r["__key"], r.n, r.s) for r in table.groupBy("__key").agg(F.count("*").alias("n"), F.sum("size").alias("s")).collect())
     goal = targets([s for _, _, s in found], [1 + i % 3 for i in range(len(found))], most)
-    plan = [(k, i, -(-n // cell_rows), s, g, int(g + 0.5)) for i, ((k, n, s), g) in enumerate(zip(found, goal, strict=True))]
-    facts = spark.createDataFrame(plan, "__key string, __rank int, __cells int, source_size long, target double, __goal long")
+    plan = [(k, i, -(-n // cell_rows), s, g, int(g + 0.5), *zip(*schedule(i), strict=True)) for i, ((k, n, s), g) in enumerate(zip(found, goal, strict=True))]
+    facts = spark.createDataFrame(plan, "__key string, __rank int, __cells int, source_size long, target double, __goal long, __t array<double>, __w array<double>")
     facts = F.broadcast(facts) if len(plan) <= 100_000 else facts
     unit = F.shiftrightunsigned("__h", 11) / float(1 << 53)
     cells = table.join(facts, "__key").withColumn("__cell", F.floor(unit * F.col("__cells")).cast("int"))
     sums = cells.groupBy("__key", "__cell").agg(F.sum("size").alias("__sum"))
     before = sums.select("__key", "__cell", (F.sum("__sum").over(Window.partitionBy("__key").orderBy("__cell")) - F.col("__sum")).alias("__before"))
-    inside = F.sum("size").over(Window.partitionBy("__key", "__cell").orderBy("__h", "__id", "size").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
+    inside = F.sum("size").over(Window.partitionBy("__key", "__cell").orderBy("__h", "__spot").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
     placed = cells.withColumn("__inside", inside).join(before, ["__key", "__cell"]).withColumn("__start", F.col("__before") + F.col("__inside"))
-    knots = {i: schedule(i) for _, i, *_ in plan}
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
@@ -96,15 +97,16 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
             at = start[:, None] + whole[:, None] * np.arange(most)
             taken = np.clip(goal[:, None] - at, 0, size[:, None])
             position = np.zeros(at.shape)
-            for r in np.unique(rank):
+            for r, example in zip(*np.unique(rank, return_index=True), strict=True):
                 mine = rank == r
-                position[mine] = invert(knots[int(r)], at[mine] / np.maximum(goal[mine], 1)[:, None])
+                knots = list(zip(x.column("__t")[example].as_py(), x.column("__w")[example].as_py(), strict=True))
+                position[mine] = invert(knots, at[mine] / np.maximum(goal[mine], 1)[:, None])
             begun = (taken > 0).sum(axis=1)
             passes = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(begun)]), pa.int32()), pa.array(position[taken > 0]))
             yield pa.RecordBatch.from_arrays([x.column("__id"), *(x.column(c) for c in carry), x.column("size"), x.column("source_size"), x.column("target"), pa.array(taken.sum(axis=1)), passes], [id_col, *carry, "size", "source_size", "target", "taken", "positions"])
 
     schema = T.StructType([docs.schema[id_col], *(docs.schema[c] for c in carry), T.StructField("size", T.LongType()), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType()), T.StructField("taken", T.LongType()), T.StructField("positions", T.ArrayType(T.DoubleType()))])
-    return placed.select("__id", *carry, "size", "source_size", "target", "__start", "__goal", "__rank").mapInArrow(assign, schema)
+    return placed.select("__id", *carry, "size", "source_size", "target", "__start", "__goal", "__rank", "__t", "__w").mapInArrow(assign, schema)
 
 
 def ordered(mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -66,7 +66,8 @@ def op9_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mix(_table(spark, sf_dir, "documents")).withColumn("position", F.get("positions", F.lit(0))).drop("positions")
+    """Documents by the position of their first pass; positions holds those of all passes."""
+    mixed = mix(_table(spark, sf_dir, "documents")).withColumn("position", F.get("positions", F.lit(0)))
     return mixed.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
 
 
