@@ -39,11 +39,12 @@ def _without(docs: DataFrame, gone: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each near-duplicate group stays, whether its id is null or repeated; so do texts without words."""
+    """One row of each near-duplicate group stays, one of its smallest id, nulls last; so do texts without words."""
     ship(spark)
     rows = shared.numbered(docs, ROW, "dedup-rows")
-    found = near_duplicates(rows, id_col=ROW, percent=80)
-    return _without(rows, shared.keep(found.where("not kept").select(ROW), "dedup"), docs.columns)
+    named = rows.withColumn(PLACE, F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("id"), F.col(ROW).alias("row")))
+    found = near_duplicates(named, id_col=PLACE, percent=80)
+    return _without(rows, shared.keep(found.where("not kept").select(F.col(f"{PLACE}.row").alias(ROW)), "dedup"), docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
