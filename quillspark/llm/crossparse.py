@@ -4,7 +4,8 @@ For each language a suffix automaton of a bounded reference (`reference` bytes o
 built and flattened to a table. A text is parsed against each: a phrase is the longest match with the
 reference from where the last one ended; few phrases mean likeness (cross-parsing entropy). The score
 weighs languages by 2 ** (-sharpness * phrases per byte); fewest phrases win, ties go to the smaller
-code. Texts are read whole, as lanes of at most `LANE` bytes that begin a phrase of their own.
+code. Texts are read whole: lanes of `LANE` bytes are parsed at once as if each began a phrase, and then
+the parse of the lane before is carried on until it meets the lane's own, so counts are the whole text's.
 
 A reference holds excerpts of distinct texts (copies count once, however many there are), each of at most
 `excerpt` bytes from anywhere in its text, until `reference` bytes are full. Only a language with less
@@ -98,18 +99,20 @@ class Parser:
         self.weights = bits / bits.max(initial=1.0)
 
     def phrases(self, column: pa.Array) -> np.ndarray:
-        """(rows, languages) phrase counts."""
+        """(rows, languages) phrase counts of the whole texts."""
         data, offsets = K.buffers(column)
         rows, size = len(offsets) - 1, np.diff(offsets)
         out = np.zeros((rows, len(self.langs)), np.int64)
         lanes = -(-size // LANE)
         row = np.repeat(np.arange(rows), lanes)
-        start = np.repeat(offsets[:-1], lanes) + K.ranges(np.zeros(rows, np.int64), lanes) * LANE
+        begin = K.ranges(np.zeros(rows, np.int64), lanes) * LANE
+        start = np.repeat(offsets[:-1], lanes) + begin
         length = np.minimum(LANE, offsets[1:][row] - start)
+        counts = np.zeros((len(self.tables), len(row)), np.int32)
+        finals = np.zeros((len(self.tables), len(row)), np.int32)
         for at in range(0, len(row), 8192):
-            s, n, r = start[at : at + 8192], length[at : at + 8192], row[at : at + 8192]
-            order = np.argsort(-n, kind="stable")
-            s, n, r = s[order], n[order], r[order]
+            order = at + np.argsort(-length[at : at + 8192], kind="stable")
+            s, n = start[order], length[order]
             # one column of symbols a step, lanes that have ended cut off the end
             live = np.searchsorted(-n, -np.arange(LANE), "left")
             symbols = self.classes[data[np.minimum(s[None, :] + np.arange(int(n[0]))[:, None], len(data) - 1)]]
@@ -120,9 +123,42 @@ class Parser:
                     to = table[state[:m] + symbols[i, :m]]
                     count[:m] += to & 1
                     state[:m] = to >> 1
-                out[:, k] += np.bincount(r, count, rows).astype(np.int64)
+                counts[k, order], finals[k, order] = count, state
+        later = np.flatnonzero(begin > 0)
+        for k, table in enumerate(self.tables):
+            extra = self._carried(table, data, start, length, later, finals[k]) if len(later) else 0
+            out[:, k] = np.bincount(row, counts[k] + extra, rows).astype(np.int64)
         return out
 
+    def _carried(self, table: np.ndarray, data: np.ndarray, start: np.ndarray, length: np.ndarray, later: np.ndarray, final: np.ndarray) -> np.ndarray:
+        """What each lane's count gains where the parse of the lane before goes on into it; `later` lanes follow one."""
+        extra = np.zeros(len(start), np.int64)
+        ends = final.copy()  # a lane's last state, once what comes before is known
+        is_later = np.zeros(len(start) + 1, bool)
+        is_later[later] = True
+        todo = later
+        while len(todo):
+            old = ends[todo]
+            own, carry, gain = np.zeros(len(todo), np.int32), ends[todo - 1], np.zeros(len(todo), np.int64)
+            ends[todo] = final[todo]
+            active, i = np.arange(len(todo)), 0
+            while len(active):
+                over = length[todo[active]] <= i
+                if over.any():  # the parses never met here
+                    ends[todo[active[over]]] = carry[active[over]]
+                    active = active[~over]
+                    continue
+                symbol = self.classes[data[start[todo[active]] + i]]
+                a, b = table[own[active] + symbol], table[carry[active] + symbol]
+                gain[active] += (b & 1) - (a & 1)
+                own[active], carry[active] = a >> 1, b >> 1
+                active = active[(a >> 1) != (b >> 1)]
+                i += 1
+            extra[todo] = gain
+            changed = todo[ends[todo] != old]
+            todo = changed[is_later[changed + 1]] + 1
+        return extra
+
 
 _parsers: dict[int, Parser] = {}
 
