@@ -2,7 +2,9 @@
 
 The reader checks every member (its checksum, the record's syntax, length and block digest). After a
 failed check it searches for the next valid member or version line, goes on there, and logs the byte
-gap; so damage costs the records it touches and no more.
+gap. Of a member that is damaged or cut off it keeps the records that passed before the damage, and inside
+a member it searches the inflated bytes for the next version line; so damage costs the records it touches
+and, in a member whose compressed bytes are damaged, those behind it.
 
 Records with equal payloads: that of the largest page id is a response, the others are revisits of it.
 A null html is an empty payload; a null url is left out; a record without a page id revisits if another
@@ -28,7 +30,9 @@ from quillspark.llm import shared
 VERSION = b"WARC/1.1\r\n"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 FEW = 100_000
+_LINE = re.compile(rb"WARC/1\.[01]\r\n")
 _START = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
+STEP = 1 << 16
 
 
 def digest(data: bytes) -> str:
@@ -89,7 +93,7 @@ class Gap(NamedTuple):
 
 def _parse(data: bytes, at: int) -> tuple[Record, int] | str:
     """The plain record at `at` and where it ends, or what is wrong with it."""
-    if not re.compile(rb"WARC/1\.[01]\r\n").match(data, at):
+    if not _LINE.match(data, at):
         return "no version line"
     end = data.find(b"\r\n\r\n", at)
     if end < 0:
@@ -117,61 +121,91 @@ def _parse(data: bytes, at: int) -> tuple[Record, int] | str:
     return found, stop + 4
 
 
-def _take(data: bytes, at: int) -> tuple[list[Record], int] | str:
-    """The records of the member or plain record at `at` and where it ends, or what is wrong."""
-    if data[at : at + 2] != b"\x1f\x8b":
-        got = _parse(data, at)
-        return got if isinstance(got, str) else ([got[0]], got[1])
-    inflate = zlib.decompressobj(31)
-    plain = []
-    try:
-        for i in range(at, len(data), 1 << 16):
-            plain.append(inflate.decompress(data[i : i + (1 << 16)]))
-            if inflate.eof:
-                end = min(i + (1 << 16), len(data)) - len(inflate.unused_data)
-                break
-        else:
-            return "the member is cut off"
-    except zlib.error as e:
-        return f"the member is damaged ({e})"
-    text, pos, out = b"".join(plain), 0, []
+def _inflate(data: bytes, at: int) -> tuple[bytes, int | None, str]:
+    """What the member at `at` holds, where it ends (None if it is damaged or cut off), and what is wrong."""
+    inflate, plain = zlib.decompressobj(31), []
+    for i in range(at, len(data), STEP):
+        before = inflate.copy()
+        try:
+            plain.append(inflate.decompress(data[i : i + STEP]))
+        except zlib.error as e:
+            # byte by byte up to the damage
+            try:
+                for j in range(i, min(i + STEP, len(data))):
+                    plain.append(before.decompress(data[j : j + 1]))
+            except zlib.error:
+                pass
+            return b"".join(plain), None, f"the member is damaged ({e})"
+        if inflate.eof:
+            return b"".join(plain), min(i + STEP, len(data)) - len(inflate.unused_data), ""
+    return b"".join(plain), None, "the member is cut off"
+
+
+def _records(text: bytes, start: int) -> tuple[list[Record], list[tuple[int, int, str]]]:
+    """The records in a member's inflated bytes, and the stretches between version lines that hold none."""
+    out, gaps, pos, lost, reason = [], [], 0, None, ""
     while pos < len(text):
         got = _parse(text, pos)
         if isinstance(got, str):
-            return got
-        out.append(got[0]._replace(start=at))
+            if lost is None:
+                lost, reason = pos, got
+            line = _LINE.search(text, pos + 1)
+            pos = line.start() if line else len(text)
+            continue
+        if lost is not None:
+            gaps.append((lost, pos, reason))
+            lost = None
+        out.append(got[0]._replace(start=start))
         pos = got[1]
-    return out, end
+    if lost is not None:
+        gaps.append((lost, len(text), reason))
+    return out, gaps
 
 
 def salvage(data: bytes) -> tuple[list[Record], list[Gap]]:
-    """Every record that passes its checks, and the byte ranges that hold none."""
+    """Every record that passes its checks, and the byte ranges that lost something.
+
+    A gap inside a sound member spans the member; its reason names the inflated bytes.
+    """
     records: list[Record] = []
     gaps: list[Gap] = []
     at, lost, reason = 0, None, ""
     while at < len(data):
-        got = _take(data, at)
-        if isinstance(got, str):
+        inner: list[tuple[int, int, str]] = []
+        if data[at : at + 2] == b"\x1f\x8b":
+            text, end, wrong = _inflate(data, at)
+            found, inner = _records(text, at)
+            if end is None and found:
+                wrong = f"{wrong}, after {len(found)} records"
+        else:
+            got = _parse(data, at)
+            found, end, wrong = ([], None, got) if isinstance(got, str) else ([got[0]], got[1], "")
+        if end is None:
+            records += found
             if lost is None:
-                lost, reason = at, got
+                lost, reason = at, wrong
+            elif found:
+                gaps.append(Gap(lost, at, reason))
+                lost, reason = at, wrong
             nxt = _START.search(data, at + 1)
             at = nxt.start() if nxt else len(data)
             continue
         if lost is not None:
             gaps.append(Gap(lost, at, reason))
             lost = None
-        records += got[0]
-        at = got[1]
+        records += found
+        gaps += [Gap(at, end, f"{why} (bytes {i} to {j} of the member)") for i, j, why in inner]
+        at = end
     if lost is not None:
         gaps.append(Gap(lost, len(data), reason))
     return records, gaps
 
 
 def write(pages: DataFrame, folder: str, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", archive_bytes: int = 8 << 20, level: int = 1) -> DataFrame:
-    """Writes one record for each page into archives of about archive_bytes; returns (path, records, bytes).
+    """Writes one record for each page into archives of about archive_bytes; returns their manifest (path, records, bytes).
 
-    An archive is written under a hidden name and then renamed, and a task's archives depend on its
-    rows alone, so tasks may be run again.
+    Archives are named after the task's attempt, and the manifest holds those of the attempt that won, so
+    tasks may be run again; `read_listed` reads no others.
     """
     html = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("page"), F.col(url_col).cast("string").alias("url"), html.alias("html"), F.sha1(html.cast("binary")).alias("sha"))
@@ -189,12 +223,10 @@ def write(pages: DataFrame, folder: str, *, id_col: str = "page_id", url_col: st
 
         def close() -> None:
             nonlocal seq, held, n, size
-            name = f"pages-{task.partitionId():06d}-{seq:04d}.warc.gz"
-            hidden = f"{base}/.{name}.{task.taskAttemptId()}"
-            with store.open_output_stream(hidden) as f:
+            name = f"pages-{task.partitionId():06d}-{task.taskAttemptId()}-{seq:04d}.warc.gz"
+            with store.open_output_stream(f"{base}/{name}", compression=None) as f:  # members are compressed already
                 for x in held:
                     f.write(x)
-            store.move(hidden, f"{base}/{name}")
             made.append((name, n, size))
             seq, held, n, size = seq + 1, [], 0, 0
 
@@ -213,33 +245,64 @@ def write(pages: DataFrame, folder: str, *, id_col: str = "page_id", url_col: st
     return shared.keep(rows.select("page", "url", "html", "winner").mapInArrow(put, "path string, records long, bytes long"), "warc-manifest")
 
 
+FOUND = "path string, start long, kind string, end long, reason string, page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
+
+
+def _rows(name: str, data: bytes) -> Iterator[pa.RecordBatch]:
+    """The records and gaps of one archive, as FOUND has them."""
+    names = [x.split()[0] for x in FOUND.split(", ")]
+    kinds = [{"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}[x.split()[1]] for x in FOUND.split(", ")]
+    number = lambda h, k: int(h[k]) if re.fullmatch(r"-?\d+", h.get(k, "")) else None
+    records, gaps = salvage(data)
+    rows = []
+    for r in records:
+        h, body = r.headers, r.payload
+        rows.append((name, r.start, "record", None, None, number(h, "x-page-id"), h.get("warc-target-uri"), h["warc-type"], number(h, "x-payload-length") if body is None else len(body), h.get("warc-payload-digest", "sha1:").removeprefix("sha1:"), number(h, "x-refers-to-page"), body))
+    rows += [(name, g.start, "gap", g.end, g.reason, *[None] * 7) for g in gaps]
+    for i in range(0, len(rows), 500):
+        part = list(zip(*rows[i : i + 500], strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(part, kinds, strict=True)], names)
+
+
 def read(spark: SparkSession, path: str, pattern: str = "*.warc.gz") -> DataFrame:
-    """The archives' records and gaps: path, start, kind (record or gap), end, reason, and the record's fields."""
+    """The records and gaps of a folder's archives (each below 2 GB): path, start, kind (record or gap), end, reason, and the record's fields."""
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["path", "start", "kind", "end", "reason", "page_id", "url", "record_type", "payload_bytes", "payload_digest", "refers_to", "payload"]
-        kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
-        number = lambda h, k: int(h[k]) if re.fullmatch(r"-?\d+", h.get(k, "")) else None
         for batch in batches:
             for name, content in zip(batch.column("path"), batch.column("content"), strict=True):
-                records, gaps = salvage(content.as_py())
-                rows = []
-                for r in records:
-                    h, body = r.headers, r.payload
-                    rows.append((name.as_py(), r.start, "record", None, None, number(h, "x-page-id"), h.get("warc-target-uri"), h["warc-type"], number(h, "x-payload-length") if body is None else len(body), h.get("warc-payload-digest", "sha1:").removeprefix("sha1:"), number(h, "x-refers-to-page"), body))
-                rows += [(name.as_py(), g.start, "gap", g.end, g.reason, *[None] * 7) for g in gaps]
-                for i in range(0, len(rows), 500):
-                    part = list(zip(*rows[i : i + 500], strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(part, kinds, strict=True)], names)
+                yield from _rows(name.as_py(), content.as_py())
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
-    return files.select("path", "content").mapInArrow(take, "path string, start long, kind string, end long, reason string, page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary")
+    return files.select("path", "content").mapInArrow(take, FOUND)
+
+
+def read_listed(manifest: DataFrame, folder: str, *, whole: bool = True) -> DataFrame:
+    """The records and gaps of the archives that a manifest lists; with `whole` a gap or a missing record is an error."""
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for name, records in zip(batch.column("path").to_pylist(), batch.column("records").to_pylist(), strict=True):
+                with store.open_input_file(f"{base}/{name}") as f:
+                    data = f.read()
+                seen = 0
+                for rows in _rows(name, data):
+                    seen += rows.num_rows - (lost := rows.column("end").is_valid().to_pylist().count(True))
+                    if whole and lost:
+                        raise ValueError(f"{name} is damaged: {rows.column('reason').drop_null()[0]}")
+                    yield rows
+                if whole and seen != records:
+                    raise ValueError(f"{name} holds {seen} records of {records}")
+
+    listed = manifest.count()
+    parts = max(1, min(listed, 100_000))
+    return manifest.select("path", "records").repartition(parts).mapInArrow(take, FOUND)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
-    """Writes the pages' archives in the shared folder and reads them back, without payloads."""
-    spark = pages.sparkSession
-    folder = shared.folder(spark, "warc")
-    if write(pages, folder).isEmpty() or shared.missing(spark, folder):
-        return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
-    return read(spark, folder).where("kind = 'record'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    """Writes the pages' archives in the shared folder and reads them back, without payloads; damage is an error."""
+    folder = shared.folder(pages.sparkSession, "warc")
+    manifest = write(pages, folder)
+    return read_listed(manifest, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
