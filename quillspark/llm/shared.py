@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quillspark.operators.tables import folder, hot_keys, keep, remove, spread_join  # noqa: F401  the operators use them from here
+from quillspark.operators.tables import folder, hot_keys, keep, spread_join  # noqa: F401  the operators use them from here
 
 
 def scan_bytes(df: DataFrame) -> int:
@@ -20,11 +20,6 @@ def buckets(df: DataFrame, each: int, least: int = 8) -> int:
     return max(least, min(-(-scan_bytes(df) // each), 1 << 20))
 
 
-def missing(spark: SparkSession, path: str) -> bool:
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
-
-
 def plain_scan(df: DataFrame) -> bool:
     """Whether df only filters and projects the rows of one Parquet table, always alike."""
     plan = df._jdf.queryExecution().analyzed()
