@@ -115,17 +115,26 @@ def test_automaton_counts_phrases_like_a_greedy_parse():
     r = random.Random(3)
     reference = bytes(r.choice(b"abc ") for _ in range(300))
     parser = Parser({"x": reference})
-    for _ in range(100):
-        text = "".join(r.choice("abc d") for _ in range(r.randint(0, 1200)))
-        want = 0
-        for lane in range(0, len(text), LANE):
-            part, at = text[lane : lane + LANE], 0
-            while at < len(part):
-                n = 1
-                while at + n < len(part) and part[at : at + n + 1].encode() in reference:
-                    n += 1
-                want, at = want + 1, at + n
+    texts = ["".join(r.choice("abc d") for _ in range(r.randint(0, 5 * LANE))) for _ in range(100)]
+    # phrases as long as lanes, which the parses of lanes cross
+    texts += [reference.decode()[r.randint(0, 9) :] * r.randint(1, 12) for _ in range(40)] + ["", "d" * 3000, "a" * 2000]
+    for text in texts:
+        want, at = 0, 0
+        while at < len(text):
+            n = 1
+            while at + n < len(text) and text[at : at + n + 1].encode() in reference:
+                n += 1
+            want, at = want + 1, at + n
         assert parser.phrases(pa.array([text]))[0, 0] == want
+    long = bytes(r.choice(b"abc ") for _ in range(4000))
+    parser, text = Parser({"x": long}), (long[7:] + b"d" + long[100:3000] + long).decode()
+    want, at = 0, 0
+    while at < len(text):
+        n = 1
+        while at + n < len(text) and text[at : at + n + 1].encode() in long:
+            n += 1
+        want, at = want + 1, at + n
+    assert parser.phrases(pa.array(["b", text, "a c"]))[1, 0] == want
     assert len(Automaton(b"").next) == 1
 
 
@@ -152,7 +161,7 @@ def test_token_counts_equal_the_library(spark):
     path = str(P.path("piece_bpe_32k.model"))
     model, library = PieceModel.load(path), sentencepiece.SentencePieceProcessor(model_file=path)
     r = random.Random(6)
-    odd = ["", None, " ", "  ", "\n", " \n ", "▁", "▁▁a", "<s> </s> <0x41>", "日本語テキスト", "🎉🎉 x", "\x00a", "the" * 1000, "ab" * 3000, " " * 40 + "x", "x" + " " * 33, "a\r\nb", "ﬁ ①"]
+    odd = ["", None, " ", "  ", "\n", " \n ", "▁", "▁▁a", "<s> </s> <0x41>", "日本語テキスト", "🎉🎉 x", "\x00a", "the" * 1000, "ab" * 3000, "".join(r.choice("theandiwsom") for _ in range(5000)), "ананасы" * 700, "ha" * 50 + "=" * 2000 + "x" * 999, " " * 40 + "x", "x" + " " * 33, "a\r\nb", "ﬁ ①"]
     odd += ["".join(r.choice("ab eé▁ \n\t日x.,-_1🎉\r{}") for _ in range(r.randint(0, 60))) for _ in range(2000)]
     want = [len(library.encode(x or "")) for x in odd]
     assert Merger(model).counts(pa.array(odd, pa.string())).tolist() == want

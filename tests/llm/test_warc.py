@@ -46,6 +46,47 @@ def test_salvage_recovers_what_is_whole(squeeze):
     assert salvage(b"") == ([], []) and salvage(b"nothing here")[1][0][:2] == (0, 12)
 
 
+def test_salvage_inside_members():
+    plain = archive(5, squeeze=False)
+    hurt = bytearray(plain[2])
+    hurt[-10] ^= 255
+    ids = lambda records: [int(x.headers["x-page-id"]) for x in records]
+    # the third of five records in one member fails its digest
+    data = member(b"".join([*plain[:2], bytes(hurt), *plain[3:]]))
+    records, gaps = salvage(data)
+    assert ids(records) == [0, 1, 3, 4] and [(g.start, g.end) for g in gaps] == [(0, len(data))] and "digest" in gaps[0].reason
+    # a member cut before its end keeps what was inflated; the next member is read
+    whole, after = member(b"".join(plain)), member(record(9, "u", b"x", None))
+    for cut, kept in ((8, 5), (10, 4), (300, 3)):
+        records, gaps = salvage(whole[:-cut] + after)
+        assert set(ids(records)) >= {*range(kept), 9} and [(g.start, g.end) for g in gaps] == [(0, len(whole) - cut)]
+        records, gaps = salvage(whole[:-cut])
+        assert set(ids(records)) >= set(range(kept)) and len(gaps) == 1
+    # damage in the middle of the compressed bytes
+    broken = bytearray(whole)
+    broken[len(whole) * 3 // 4] ^= 255
+    records, gaps = salvage(bytes(broken) + after)
+    assert ids(records)[:2] == [0, 1] and ids(records)[-1] == 9 and gaps
+
+
+def test_damage_is_an_error_when_archives_are_whole(spark):
+    from pathlib import Path
+
+    from quillspark.llm.warc import read_listed
+
+    folder = shared.folder(spark, "warc-listed")
+    manifest = write(spark.createDataFrame([(i, "u", f"text {i} " * 50) for i in range(40)], "page_id long, url string, html string").coalesce(1), folder)
+    # an archive of an attempt that lost isn't listed
+    (path,) = Path(folder.removeprefix("file:")).glob("*.warc.gz")
+    path.with_name("pages-000000-99-0000.warc.gz").write_bytes(path.read_bytes())
+    assert read_listed(manifest, folder).count() == 40
+    data = path.read_bytes()
+    path.write_bytes(data[: len(data) // 2])
+    with pytest.raises(Exception, match="is damaged"):
+        read_listed(manifest, folder).count()
+    assert read_listed(manifest, folder, whole=False).where("kind = 'gap'").count() == 1
+
+
 def test_round_trip(spark):
     pages = [(i, f"http://x/{i % 7}\r\nEvil: 1", f"page {i % 11} é") for i in range(60)] + [(60, None, None), (61, "u", ""), (62, "u", "alone"), (None, "u", "page 3 é"), (70, "u", "b" * 300000)]
     df = spark.createDataFrame([(*p, "x") for p in pages], "page_id long, url string, html string, winner string").repartition(3)
