@@ -29,6 +29,17 @@ def strip_accents(x: Column) -> Column:
     return F.regexp_replace(F.translate(x, _FROM, _TO), "\\p{Mn}", "")
 
 
+def flat(x: Column) -> Column:
+    """Lower case, no accents, blanks collapsed; symbols stay."""
+    return F.trim(F.regexp_replace(strip_accents(F.lower(x)), r"\s+", " "))
+
+
+def plain(x: Column) -> Column:
+    """ASCII alone: lower case, letters without marks, other symbols dropped, blanks collapsed."""
+    folded = F.replace(strip_accents(F.lower(x)), F.lit("ß"), F.lit("ss"))
+    return F.trim(F.regexp_replace(F.regexp_replace(folded, r"[^\x00-\x7F]", ""), r"\s+", " "))
+
+
 def normalize_text(x: Column) -> Column:
     """Lower case, no accents, runs of anything but a-z and 0-9 as one blank, trimmed. Symbols vanish."""
     return F.trim(F.regexp_replace(strip_accents(F.lower(x)), "[^a-z0-9]+", " "))

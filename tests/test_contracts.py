@@ -37,7 +37,15 @@ CASES = {
     "twice": (contract(goal(facts=[fact("color", "eq", "red"), fact("color", "eq", "red", "soft")])), {"duplicate_fact"}),
     "two_models": (contract(goal(facts=[fact("model", "eq", "A"), fact("model", "eq", "B")])), {"conflicting_hard_equality"}),
     "same_model": (contract(goal(facts=[fact("model", "eq", "A", unit="u"), fact("model", "eq", " a ")])), set()),
-    "unknown": (contract(goal(depends_on=["g9"])), {"unknown_dependency"}),
+    "unknown": (contract(goal(depends_on=["g9"]), version="1.2"), {"unknown_dependency"}),
+    "unknown_13": (contract(goal(depends_on=["g9"])), {"non_prior_dependency"}),
+    "quoted_number": (contract(goal(facts=[fact("rating", "gt", "5")])), {"numeric_operator_type", "numeric_field_type"}),
+    "unknown_source": (contract(goal(1, facts=[fact("price", "lt", None, value_ref={"goal": "g7", "field": "price"})]), version="1.2"), {"unknown_reference"}),
+    "late_source": (contract(goal(1), goal(2, facts=[fact("price", "lt", None, value_ref={"goal": "g1", "field": "price"})]), version="1.2"), {"reference_without_prior_dependency"}),
+    "condition_fact": (contract(goal(1), goal(2, depends_on=["g1"], condition={"goal": "g1", "test": {"field": "price", "op": "lt", "value": 3}}), version="1.2"), {"currency_missing"}),
+    "context_ref": ({**contract(goal(1), version="1.2"), "context": [{"field": "has_car", "op": "eq", "value_ref": {"goal": "g1", "field": "x"}}]}, {"context_result_ref"}),
+    "old": (contract(goal(), version="1.1"), set()),
+    "table": (contract(goal(action="book", kind="place")), set()),
     "later": (contract(goal(1, depends_on=["g2"]), goal(2)), {"non_prior_dependency"}),
     "type": (contract(goal(kind="spaceship")), {"unsupported_target_type"}),
     "family": (contract(goal(kind="flower")), set()),
@@ -45,7 +53,8 @@ CASES = {
     "role": (contract(goal(temporal=[{"role": "action_date", "op": "eq", "value": "x", "strength": "hard"}])), {"temporal_role_action_mismatch"}),
     "missing": (contract(goal(facts=[fact("color", "eq", "red")], missing=[{"field": "color", "blocks": "search", "reason": "r"}])), {"missing_but_present"}),
     "phase": (contract(goal(missing=[{"field": "color", "blocks": "action", "reason": "r"}])), {"wrong_block_phase"}),
-    "policy": (contract(goal(action="book", policy={"forbid": ["book"], "confirm_before": ["book"]})), {"contradictory_policy", "forbidden_requested_action"}),
+    "policy": (contract(goal(action="book", policy={"forbid": ["book"], "confirm_before": ["book"]}), version="1.2"), {"contradictory_policy", "forbidden_requested_action"}),
+    "policy_13": (contract(goal(action="book", policy={"forbid": ["book"], "confirm_before": ["book"]})), {"policy_conflict"}),
     "confirm": (contract(goal(action="buy", policy={"confirm_before": ["book"]})), {"policy_action_mismatch"}),
     "contact": (contract(goal(action="contact", kind="person")), {"missing_required_information"}),
     "notify": (contract(goal(action="notify", kind="product", facts=[fact("message", "eq", "m")])), {"notify_target_mismatch"}),
@@ -57,11 +66,14 @@ CASES = {
 }
 
 
+LENGTHS = [*range(2, 12), 16, 17, 20, 40]
+
+
 @pytest.fixture(scope="module")
 def found(spark):
     rows = [(k, json.dumps(c) if isinstance(c, dict) else c) for k, (c, _) in CASES.items()]
-    for n in range(2, 12):
-        chain = contract(*(goal(i, depends_on=[f"g{i - 1}"] if i else []) for i in range(n)))
+    for n in LENGTHS:
+        chain = contract(*(goal(i, depends_on=[f"g{i - 1}"] if i else []) for i in range(n)), version="1.2")
         rows.append((f"chain{n}", json.dumps(chain)))
         chain["goals"][0]["depends_on"] = [f"g{n - 1}"]
         rows.append((f"cycle{n}", json.dumps(chain)))
@@ -77,7 +89,7 @@ def test_rules(found, case):
     assert found[0].get(case, set()) == CASES[case][1]
 
 
-@pytest.mark.parametrize("n", range(2, 12))
+@pytest.mark.parametrize("n", LENGTHS)
 def test_cycles(found, n):
     assert f"chain{n}" not in found[0]
     assert "dependency_cycle" in found[0][f"cycle{n}"] and found[1][f"cycle{n}"].status == "REJECT"
