@@ -448,8 +448,9 @@ def _read(cases: DataFrame) -> DataFrame:
     return x.withColumn("__broken", F.when(json.isNull(), "invalid_json").when(~F.schema_of_variant(json).startswith("OBJECT"), "not_object")).withColumn("__version", F.coalesce(F.col("__c.schema_version"), F.lit("")))
 
 
-def _drop(df: DataFrame) -> DataFrame:
-    return df.drop(*(c for c in df.columns if c.startswith("__")))
+def _out(x: DataFrame, cases: DataFrame) -> DataFrame:
+    """The columns of cases, then status and codes (which replace columns of those names)."""
+    return x.select(*(c for c in cases.columns if c not in ("status", "codes")), F.col("__status").alias("status"), F.col("__codes").alias("codes"))
 
 
 def _codes(issues: Column) -> Column:
@@ -473,7 +474,7 @@ def guard_12(cases: DataFrame, *, routing: bool = False) -> DataFrame:
     if routing:
         x = x.withColumn("__codes", F.when(F.col("__status") == ACCEPT, F.array_sort(routing_12(c, text))).otherwise(F.col("__codes")))
         x = x.withColumn("__status", F.when((F.col("__status") == ACCEPT) & (F.size("__codes") > 0), REVIEW).otherwise(F.col("__status")))
-    return _drop(x.withColumn("status", F.col("__status")).withColumn("codes", F.col("__codes")))
+    return _out(x, cases)
 
 
 def guard_13(cases: DataFrame, *, layers: int = 5) -> DataFrame:
@@ -505,4 +506,4 @@ def guard_13(cases: DataFrame, *, layers: int = 5) -> DataFrame:
         asked = (F.col("__status") != INVALID) & (F.col("__version") == "1.3")
         x = x.withColumn("__own", F.when(asked, layer(c, F.col("__plain"))).otherwise(F.array().cast(_CODES)))
         x = x.withColumn("__status", F.when((F.col("__status") == ACCEPT) & (F.size("__own") > 0), status_of(F.array_union("__codes", "__own"), order)).otherwise(F.col("__status"))).withColumn("__codes", F.array_sort(F.array_union("__codes", "__own")))
-    return _drop(x.withColumn("status", F.col("__status")).withColumn("codes", F.col("__codes")))
+    return _out(x, cases)
