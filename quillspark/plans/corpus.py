@@ -103,12 +103,8 @@ def _(t):
 
 @query("within_panel_max", f"WITH {TOKENS}, p AS (SELECT a.id AS a, b.id AS b, a.n AS na, b.n AS nb, count(*) AS shared FROM bsets a JOIN bsets b ON a.token = b.token AND a.id <> b.id GROUP BY 1, 2, 3, 4), r AS (SELECT a AS item_id, b AS other_id, shared, na + nb - shared AS total, row_number() OVER (PARTITION BY a ORDER BY shared::DOUBLE / (na + nb - shared)::DOUBLE DESC, b) AS rn FROM p) SELECT item_id, other_id, shared, total FROM r WHERE rn = 1")
 def _(t):
-    from quillspark.operators.similarity import overlaps
-
     panel = token_sets(t("benchmark"), "item_id")
-    scored = overlaps(panel, panel).where("a <> b").withColumn("total", (F.col("na") + F.col("nb") - F.col("shared")).cast("long"))
-    best = F.max_by(F.struct("b", "shared", "total"), F.struct(F.col("shared") / F.col("total"), -F.col("b")))
-    return scored.groupBy(F.col("a").alias("item_id")).agg(best.alias("x")).select("item_id", F.col("x.b").alias("other_id"), "x.shared", "x.total")
+    return nearest(panel, panel, others=True).select(F.col("a").alias("item_id"), F.col("b").alias("other_id"), "shared", "total")
 
 
 def _splits(t):
