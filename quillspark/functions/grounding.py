@@ -77,7 +77,7 @@ def _said(part: Column, words: Column, numbers: Column) -> Column:
 def value_is_grounded(value: Column, text: Column) -> Column:
     """Whether a value (as text; lists as a|b|c) is said in the text; null values are."""
     words, numbers = words_of(text), numbers_of(text)
-    parts = F.filter(F.transform(F.split(value, r"\|"), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(value, r"\|"), lambda p: F.trim(p)), lambda p: p != "")
     return F.when(value.isNull(), True).otherwise(F.forall(parts, lambda p: _said(p, words, numbers)))
 
 

@@ -126,27 +126,33 @@ def _codes(issues: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(issues, lambda i: i["code"])))
 
 
+def _upgraded_of(x: DataFrame, raw: str, ok: Column, columns: list[str]) -> DataFrame:
+    """x with __up and __hold: where ok, the contract 1.2 as 1.3, or why it has no such form."""
+    x = x.withColumn("__ok", ok)
+    x = x.withColumn("__u", F.when(F.col("__ok"), _upgraded(F.when(F.col("__ok"), F.col(raw)).otherwise(F.lit(_EMPTY)))))
+    x = checked(x.withColumn("__made", F.col("__u.contract")), "__made", "__new", "1.3")
+    hold = F.when(~F.col("__ok"), "source is not a valid contract 1.2").when(F.col("__made").isNull(), F.col("__u.hold")).when(F.size("__new_codes") > 0, F.concat(F.lit("projection held: "), F.array_join("__new_codes", ", ")))
+    return x.select(*columns, F.when(hold.isNull(), F.col("__made")).alias("__up"), hold.alias("__hold"))
+
+
 def upgrade(cases: DataFrame, raw: str = "raw") -> DataFrame:
     """cases with contract (1.3) or hold, for contracts 1.2; what doesn't hold as 1.3 is held with its codes."""
-    x = checked(cases, raw, "__old", "1.2")
-    ok = F.size("__old_codes") == 0
-    x = x.withColumn("__u", F.when(ok, _upgraded(F.when(ok, F.col(raw)).otherwise(F.lit(_EMPTY)))))
-    x = checked(x.withColumn("__up", F.col("__u.contract")), "__up", "__new", "1.3")
-    hold = F.when(~ok, "source is not a valid contract 1.2").when(F.col("__up").isNull(), F.col("__u.hold")).when(F.size("__new_codes") > 0, F.concat(F.lit("projection held: "), F.array_join("__new_codes", ", ")))
-    return x.select(*cases.columns, F.when(hold.isNull(), F.col("__up")).alias("contract"), hold.alias("hold"))
+    x = _upgraded_of(checked(cases, raw, "__old", "1.2"), raw, F.size("__old_codes") == 0, cases.columns)
+    return x.withColumnsRenamed({"__up": "contract", "__hold": "hold"})
 
 
 def project(cases: DataFrame, raw: str = "raw") -> DataFrame:
     """cases with contract (as 1.3) and hold: 1.3 where it is valid, 1.2 upgraded, nothing else."""
-    x = upgrade(checked(cases, raw, "__own", "1.2", "1.3"), raw)
+    x = checked(cases, raw, "__own", "1.2", "1.3")
     version, codes = F.col("__own_version"), F.col("__own_codes")
+    x = _upgraded_of(x, raw, (version == "1.2") & (F.size(codes) == 0), x.columns)
     hold = (
         F.when(F.array_contains(codes, "not_object"), "not_object")
         .when(F.array_contains(codes, "unsupported_version"), "unsupported_version")
-        .when(version == "1.2", F.concat(F.lit("v12_projection_hold:"), F.col("hold")))
+        .when(version == "1.2", F.concat(F.lit("v12_projection_hold:"), F.col("__hold")))
         .when(F.size(codes) > 0, F.concat(F.lit("v13_invalid:"), F.array_join(codes, ",")))
     )
-    kept = F.when(version == "1.2", F.col("contract")).otherwise(F.col(raw))
+    kept = F.when(version == "1.2", F.col("__up")).otherwise(F.col(raw))
     return x.select(*cases.columns, F.when(hold.isNull(), kept).alias("contract"), hold.alias("hold"))
 
 
