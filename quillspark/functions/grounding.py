@@ -6,8 +6,6 @@ higher-order functions, so nothing leaves the JVM.
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, functions as F
 
 from quillspark.functions.text import normalize_text, strip_accents
@@ -23,6 +21,15 @@ NUMBER_WORDS = {
 }
 #: What in a text allows a currency.
 CURRENCY_ANCHORS = {"EUR": ["€", "euro", "eur", "euri"], "USD": ["$", "dollar", "usd"], "GBP": ["£", "sterlin", "gbp", "pound"], "CHF": ["chf", "franch"]}
+#: Other words that mean a value.
+ALIASES = {
+    "female": ["femmina", "femminile", "f", "female"], "male": ["maschio", "maschile", "m", "male"],
+    "new": ["nuovo", "nuova", "new"], "used": ["usato", "usata", "used", "second hand", "seconda mano"],
+    "refurbished": ["ricondizionato", "ricondizionata", "refurbished"],
+    "direct": ["diretto", "diretta", "senza scalo", "senza scali", "direct", "nonstop", "non stop"],
+    "diretto": ["diretto", "diretta", "senza scalo", "senza scali", "direct", "nonstop", "non stop", "no stopover"],
+    "eur": ["euro", "eur", "€", "euri"], "usd": ["dollari", "dollaro", "usd", "$"], "gbp": ["sterline", "gbp", "£"],
+}
 #: Operators and properties that decide a bucket.
 NEGATIVE = ["neq", "excludes", "not_in"]
 ORDERING = ["lt", "lte", "gt", "gte", "between", "within", "before", "after"]
@@ -61,24 +68,26 @@ def _inflects(word: Column, other: Column) -> Column:
     return (word == other) | ((F.length(word) >= 4) & near & (F.startswith(other, stem) | F.startswith(word, tail)))
 
 
-def _said(part: Column, words: Column, numbers: Column) -> Column:
+def _said(part: Column, words: Column, numbers: Column, flat: Column) -> Column:
     """Whether one scalar, as text, is said."""
     as_number = F.replace(part, F.lit(","), F.lit(".")).try_cast("double")
     hour = F.regexp_extract(part, r"^(\d{1,2})[:.]\d{2}$", 1).try_cast("double")
     tokens = F.filter(F.regexp_extract_all(folded(part), F.lit("([a-z0-9]+)"), F.lit(1)), lambda t: F.length(t) > 1)
+    other = F.try_element_at(F.create_map(*(x for k, v in ALIASES.items() for x in (F.lit(k), F.array(*map(F.lit, v))))), folded(part))
     return (
         F.when(part == "", True)
         .when(part.rlike(r"^-?\d+(?:[.,]\d+)?$"), F.array_contains(numbers, as_number))
         .when(part.rlike(r"^\d{1,2}[:.]\d{2}$"), F.array_contains(numbers, hour))
+        .when(F.coalesce(F.exists(other, lambda a: F.contains(flat, a)), F.lit(False)), True)
         .otherwise(F.forall(tokens, lambda t: F.exists(words, lambda w: _inflects(t, w))))
     )
 
 
 def value_is_grounded(value: Column, text: Column) -> Column:
-    """Whether a value (as text; lists as a|b|c) is said in the text; null values are."""
+    """Whether a value (as text; lists as a|b|c) is said in the text; null values are, and so are booleans, which callers know by their kind."""
     words, numbers = words_of(text), numbers_of(text)
     parts = F.filter(F.transform(F.split(value, r"\|"), lambda p: F.trim(p)), lambda p: p != "")
-    return F.when(value.isNull(), True).otherwise(F.forall(parts, lambda p: _said(p, words, numbers)))
+    return F.when(value.isNull(), True).otherwise(F.forall(parts, lambda p: _said(p, words, numbers, folded(text))))
 
 
 def currency_is_grounded(currency: Column, text: Column) -> Column:
@@ -114,19 +123,3 @@ def literal_span(value: Column, text: Column) -> Column:
 def bucket(property_name: Column, operator: Column) -> Column:
     """The bucket that operator and property alone decide."""
     return F.when(operator.isin(NEGATIVE) | property_name.isin(SELECTION) | operator.isin(ORDERING), "constraints").otherwise("attributes")
-
-
-def strictness(text: Column) -> Column:
-    """The comparison that the markers around a text's numbers agree on; null where they don't, or there is none."""
-    flat = folded(text)
-    found = F.array_compact(F.array(*(F.when(flat.rlike(rf"\b(?:{'|'.join(map(re.escape, m))})\s+(?:\w+\s+)?[€$£]?\d"), F.lit(op)) for op, m in THRESHOLDS.items())))
-    return F.when(F.size(F.array_distinct(found)) == 1, found[0])
-
-
-#: Markers before a number, and the comparison they mean.
-THRESHOLDS = {
-    "lte": ["massimo", "al massimo", "fino a", "non oltre", "non piu di", "entro", "at most", "up to"],
-    "lt": ["meno di", "sotto", "sotto i", "inferiore a", "under", "less than", "below"],
-    "gte": ["almeno", "minimo", "non meno di", "at least"],
-    "gt": ["piu di", "oltre", "sopra", "superiore a", "more than", "over", "above"],
-}

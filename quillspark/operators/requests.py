@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from quillspark.functions import convert as C
 from quillspark.functions import guard as G
+from quillspark.functions import mentions as M
 from quillspark.functions import requests as R
 from quillspark.functions.rowwise import dumped, loaded, rowwise
 from quillspark.operators.scoring import rates
@@ -89,6 +90,13 @@ guard_11 = rowwise(_VERDICT, lambda raw, text: _verdict(G.guard(raw, text or "")
 #: The contract that asks the user instead: (text, reason, candidate).
 question = rowwise("string", lambda text, reason, candidate: dumped(G.question(text or "", reason, [], loaded(candidate))))
 
+#: What a text says of a JSON number or text: the comparison, the role, and whether it is negated: (text, value).
+strictness = rowwise("string", lambda text, value: M.strictness(text or "", loaded(value)))
+number_role = rowwise("string", lambda text, value: M.number_role(text or "", loaded(value)))
+negated = rowwise("boolean", lambda text, value: M.negated(text or "", loaded(value)))
+#: "kind: words" of what a text asks for and its contract (JSON) leaves out.
+left_out = rowwise("array<string>", lambda raw, text: [f"{k}: {w}" for k, w in M.left_out(loaded(raw) or {}, text or "")])
+
 # ---------------------------------------------------------------- conversions
 
 

@@ -33,5 +33,13 @@ def test_spans_buckets_and_thresholds(spark):
     assert got == [(at[0], at[0] + 6), None, (at[1], at[1] + 7), None, None, (6, 9)]
     df = spark.createDataFrame([("color", "neq"), ("price", "eq"), ("rating", "gte"), ("color", "eq")], "p string, o string")
     assert [r[0] for r in df.select(G.bucket(F.col("p"), F.col("o"))).collect()] == ["constraints"] * 3 + ["attributes"]
-    df = spark.createDataFrame([("massimo 12 euro",), ("almeno 3 stelle",), ("meno di 5",), ("oltre 10 e sotto 20",), ("nessuno",)], "t string")
-    assert [r[0] for r in df.select(G.strictness(F.col("t"))).collect()] == ["lte", "gte", "lt", None, None]
+    from quillspark.operators import requests as Q
+
+    df = spark.createDataFrame([("massimo 12 euro", "12"), ("almeno 3 stelle", "3"), ("meno di 5", "5"), ("oltre 10 e sotto 20", "10"), ("oltre 10 e sotto 20", "20"), ("nessuno", "1")], "t string, v string")
+    assert [r[0] for r in df.select(Q.strictness(F.col("t"), F.col("v"))).collect()] == ["lte", "gte", "lt", "gt", "lt", None]
+
+
+def test_aliases_and_padded_numbers(spark):
+    rows = [("female", "una gatta femmina", True), ("direct", "un volo senza scali", True), ("used", "una bici", False), ("4700", "compra 47 cose", False), (" 47 | 3", "47 o 3", True)]
+    df = spark.createDataFrame(rows, "v string, t string, w boolean")
+    assert [r[0] for r in df.select(G.value_is_grounded(F.col("v"), F.col("t"))).collect()] == [w for *_, w in rows]
