@@ -1,8 +1,9 @@
 """Quality scores by a sparse rule ensemble over text statistics.
 
-1. One pass over the texts makes a row of statistics for each (a kernel over the Arrow buffers).
-2. On a bounded sample of labelled rows (`sample`, chosen by a hash of the id), boosted trees of depth
-   `depth` are grown; each path from a root is a rule, a conjunction of comparisons of statistics.
+1. A kernel over the Arrow buffers makes a row of statistics of each text: first of a bounded sample of
+   labelled rows (`sample`, chosen by a hash of the id; their labels are broadcast), then of all.
+2. On the sample boosted trees of depth `depth` are grown; each path from a root is a rule, a conjunction
+   of comparisons of statistics.
 3. A lasso-penalised logistic regression over the rules keeps few of them; the penalty is the one of
    least loss on a fifth of the sample.
 4. The kept rules are compiled into a Spark column expression over the statistics.
@@ -235,14 +236,15 @@ class RuleModel:
         return 1 / (1 + F.exp(-total))
 
 
-def learned(table: DataFrame, labels: DataFrame, learn: Column, id_col: str, label_col: str, sample: int) -> RuleModel:
-    """A model of the labelled rows of a table of statistics where `learn` (over the id) holds."""
+def learned(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str, text_col: str, label_col: str, sample: int) -> RuleModel:
+    """A model of the labelled documents where `learn` (over the id) holds; of more than `sample` labels a hash draws about that many."""
     marked = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min(label_col).alias("__y"))
-    marked = marked.where(learn)
+    marked = shared.keep(marked.where(learn), "rule-labels")
     n = marked.count()
     if n > sample:
         marked = marked.where(F.pmod(F.xxhash64(id_col, F.lit(4)), F.lit(1 << 40)) < int((1 << 40) * sample / n))
-    rows = table.join(marked, id_col).orderBy(id_col, *STATISTICS).select("__y", *STATISTICS).toPandas().to_numpy(dtype=float)
+    chosen = docs.select(id_col, F.col(text_col).alias("__words")).join(F.broadcast(marked), id_col)
+    rows = with_statistics(chosen, "__words", [id_col, "__y"]).orderBy(id_col, *STATISTICS).select("__y", *STATISTICS).toPandas().to_numpy(dtype=float)
     return RuleModel(*fit(rows[:, 1:], (rows[:, 0] > 0).astype(float)))
 
 
@@ -251,16 +253,15 @@ def quality_scores(docs: DataFrame, labels: DataFrame, learn: Column, *, id_col:
 
     `learn` (over the id) tells which rows labels are learned from; `sample` bounds, up to chance, how many.
     """
-    table = shared.keep(with_statistics(docs, text_col, [id_col]), "rule-statistics")
-    model = learned(table, labels, learn, id_col, label_col, sample)
+    model = learned(docs, labels, learn, id_col, text_col, label_col, sample)
     held = F.coalesce(~learn, F.lit(False))
+    table = with_statistics(docs, text_col, [id_col])
     return table.select(id_col, held.alias("held_out"), model.score().alias("score")).withColumn("predicted", (F.col("score") >= cut).cast("int"))
 
 
 def quality_filter(docs: DataFrame, labels: DataFrame, learn: Column, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = 20_000, cut: float = 0.7) -> DataFrame:
     """The documents that score at least cut, all columns, without a shuffle of the texts."""
-    table = shared.keep(with_statistics(docs, text_col, [id_col]), "rule-statistics")
-    model = learned(table, labels, learn, id_col, label_col, sample)
+    model = learned(docs, labels, learn, id_col, text_col, label_col, sample)
     # columns travel under names of their own, so that none clashes with a statistic
     names = {c: f"__c{i}" for i, c in enumerate(docs.columns)}
     scored = with_statistics(docs.withColumnsRenamed(names), names[text_col], list(names.values()))
