@@ -3,7 +3,7 @@
 Equal texts are a group and stay together. Groups with more than 1/`bundles` of any total are items by
 themselves (at most 3 * bundles of them); all others are dealt by their hash into `bundles` items. The
 items, a bounded number at every size, are placed in falling order, each in the shard where the dot
-product of its sizes with the residual capacities is highest. Only a group larger than a shard's
+product of its sizes with the residual capacities is highest, among those with bytes left for it. Only a group larger than a shard's
 capacity is cut, its rows dealt in turn. Slots and turns are counted in cells of about `cell_rows` rows,
 so no task gathers a shard or a group.
 
@@ -22,13 +22,15 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def place(items: np.ndarray, shards: int) -> np.ndarray:
-    """A shard for each item (rows) of sizes (columns), by the largest dot product with what is left."""
+    """A shard for each item (rows) of sizes (columns): of those with bytes (the first column) left for it, that of
+    the largest dot product with what is left; where none has, that with the most bytes left."""
     total = np.maximum(items.sum(axis=0), 1e-12)
     share = items / total
     left = np.full((shards, items.shape[1]), 1.0 / shards)
     out = np.zeros(len(items), np.int64)
     for i in np.lexsort((np.arange(len(items)), -share.sum(axis=1), -share.max(axis=1))):
-        s = int(np.argmax(left @ share[i]))
+        fits = left[:, 0] >= share[i, 0] - 1e-12
+        s = int(np.argmax(np.where(fits, left @ share[i], -np.inf))) if fits.any() else int(np.argmax(left[:, 0]))
         out[i] = s
         left[s] -= share[i]
     return out
