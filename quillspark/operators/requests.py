@@ -87,6 +87,8 @@ def _verdict(v: G.Verdict) -> tuple:
 
 #: STRUCT<status, codes, warnings, repairs, contract> of a raw output and the user's text.
 guard_11 = rowwise(_VERDICT, lambda raw, text: _verdict(G.guard(raw, text or "")))
+#: How many pairs of a JSON list of predicates contradict each other.
+contradictions = rowwise("bigint", lambda raw: sum(G.conflict(a, b) for i, a in enumerate(p) for b in p[i + 1 :]) if (p := [R.Predicate.of(x) for x in loaded(raw) or [] if isinstance(x, dict)]) else 0)
 #: The contract that asks the user instead: (text, reason, candidate).
 question = rowwise("string", lambda text, reason, candidate: dumped(G.question(text or "", reason, [], loaded(candidate))))
 

@@ -30,11 +30,11 @@ def taxonomy(cases: DataFrame, errors: str) -> DataFrame:
     return cases.select(F.explode(F.array_distinct(errors)).alias("error")).groupBy("error").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "error")
 
 
-def paired(before: DataFrame, after: DataFrame, key: str, flag: str) -> DataFrame:
+def paired(before: DataFrame, after: DataFrame, key: list[str], flag: str) -> DataFrame:
     """(key, change): cases whose flag differs between two runs; null differs from both values."""
-    both = before.select(key, F.col(flag).alias("a")).join(after.select(key, F.col(flag).alias("b")), key)
+    both = before.select(*key, F.col(flag).alias("a")).join(after.select(*key, F.col(flag).alias("b")), key)
     change = F.when(F.coalesce("b", F.lit(False)), "gain").otherwise("loss")
-    return both.where(~F.col("a").eqNullSafe(F.col("b"))).select(key, change.alias("change"))
+    return both.where(~F.col("a").eqNullSafe(F.col("b"))).select(*key, change.alias("change"))
 
 
 def complete_pairs(left: DataFrame, right: DataFrame, key: str) -> DataFrame:

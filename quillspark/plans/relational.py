@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import Column, Window, functions as F
 
+from quillspark.operators import planner, requests, scoring, validate
 from quillspark.operators.matching import multiset_counts, rank_join, ratio, two_pass
 from quillspark.plans.base import query
 
@@ -11,6 +12,12 @@ from quillspark.plans.base import query
 SIDES = "e AS (SELECT l_orderkey AS c, l_returnflag AS p, CAST(l_quantity AS INT) % 7 AS v, l_linenumber AS pos FROM lineitem WHERE l_linenumber % 2 = 1), g AS (SELECT l_orderkey AS c, l_returnflag AS p, CAST(l_quantity AS INT) % 7 AS v, l_linenumber AS pos FROM lineitem WHERE l_linenumber % 2 = 0)"
 
 
+def _fact(field: Column, op: Column, value: Column) -> Column:
+    """A hard fact with a number, as parsed contracts hold it."""
+    none = F.lit(None).cast("string")
+    return F.struct(field.alias("field"), op.alias("op"), value.cast("string").alias("value"), F.lit("n").alias("value_kind"), none.alias("value_to"), none.alias("value_to_kind"), none.alias("unit"), none.alias("currency"), F.lit("hard").alias("strength"))
+
+
 def _sides(t):
     x = t("lineitem").select(F.col("l_orderkey").alias("c"), F.col("l_returnflag").alias("p"), (F.col("l_quantity").cast("int") % 7).alias("v"), F.col("l_linenumber").alias("pos"))
     return x.where("pos % 2 = 1"), x.where("pos % 2 = 0")
@@ -56,9 +63,9 @@ def _(t):
     return d.agg(F.count_if(F.col("l").isNull()).alias("unlabelled"), F.count_if(F.col("d").isNull()).alias("unknown"), F.count_if(F.col("d").isNotNull() & F.col("l").isNotNull()).alias("matched"))
 
 
-@query("failure_taxonomy", "SELECT event_type, count(*) AS n FROM events GROUP BY 1 ORDER BY n DESC, event_type")
+@query("failure_taxonomy", "SELECT event_type AS error, count(*) AS n FROM events GROUP BY 1 UNION ALL SELECT 'low', count(*) FROM events WHERE value < 10 HAVING count(*) > 0")
 def _(t):
-    return t("events").groupBy("event_type").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "event_type")
+    return scoring.taxonomy(t("events").select(F.array_compact(F.array("event_type", F.when(F.col("value") < 10, "low"))).alias("errors")), "errors")
 
 
 @query("reason_counts", "SELECT reason, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN value < 10 THEN 'low' END, CASE WHEN event_type = 'error' THEN 'error' END, CASE WHEN user_id % 7 = 0 THEN 'held' END], lambda x: x IS NOT NULL)) AS reason FROM events) GROUP BY 1")
@@ -97,17 +104,17 @@ def _(t):
     return t("lineitem").groupBy("l_orderkey").agg(F.max("l_linenumber").alias("facts")).groupBy("facts").agg(F.count("*").alias("n")).orderBy("facts")
 
 
-@query("regression_vs_previous", "WITH r AS (SELECT o_orderpriority AS tag, year(o_orderdate) * 12 + month(o_orderdate) AS report, count(*) FILTER (WHERE o_orderstatus = 'F') * 1000 // count(*) AS rate FROM orders GROUP BY 1, 2), l AS (SELECT *, lag(rate) OVER (PARTITION BY tag ORDER BY report) AS before FROM r) SELECT tag, report, rate, before, rate - before < -10 AS regressed FROM l WHERE before IS NOT NULL")
+@query("regression_vs_previous", "WITH r AS (SELECT o_orderpriority AS tag, year(o_orderdate) * 12 + month(o_orderdate) AS report, count(*) FILTER (WHERE o_orderstatus = 'F') * 1000 // count(*) AS rate FROM orders GROUP BY 1, 2), l AS (SELECT *, lag(rate) OVER (PARTITION BY tag ORDER BY report) AS before, lead(report) OVER (PARTITION BY tag ORDER BY report) AS next FROM r) SELECT tag, before, rate FROM l WHERE next IS NULL AND rate - before < -10")
 def _(t):
     r = t("orders").groupBy(F.col("o_orderpriority").alias("tag"), (F.year("o_orderdate") * 12 + F.month("o_orderdate")).cast("long").alias("report")).agg(F.floor(F.count_if(F.col("o_orderstatus") == "F") * 1000 / F.count("*")).alias("rate"))
-    return r.withColumn("before", F.lag("rate").over(Window.partitionBy("tag").orderBy("report"))).where("before is not null").withColumn("regressed", F.expr("rate - before < -10"))
+    return scoring.regressions(r, "tag", "report", "rate", 10)
 
 
-@query("best_report", "WITH r AS (SELECT o_orderpriority AS tag, count(*) FILTER (WHERE o_orderstatus = 'F') AS good, count(*) FILTER (WHERE o_orderstatus = 'P') AS bad, count(*) AS n FROM orders GROUP BY 1) SELECT tag, good, bad, n FROM r ORDER BY good DESC, bad, n DESC, tag LIMIT 1")
+@query("best_report", "WITH r AS (SELECT o_orderpriority AS tag, count(*) FILTER (WHERE o_orderstatus = 'F') AS good, count(*) FILTER (WHERE o_orderstatus = 'P') AS bad FROM orders GROUP BY 1) SELECT tag, good, bad FROM r ORDER BY good DESC, bad, tag LIMIT 1")
 def _(t):
     s = F.col("o_orderstatus")
-    r = t("orders").groupBy(F.col("o_orderpriority").alias("tag")).agg(F.count_if(s == "F").alias("good"), F.count_if(s == "P").alias("bad"), F.count("*").alias("n"))
-    return r.orderBy(F.desc("good"), "bad", F.desc("n"), "tag").limit(1)
+    r = t("orders").groupBy(F.col("o_orderpriority").alias("tag")).agg(F.count_if(s == "F").alias("good"), F.count_if(s == "P").alias("bad"))
+    return scoring.best(r, ["good"], ["bad"], "tag")
 
 
 HASHED = "md5(CAST({} AS VARCHAR))"
@@ -164,9 +171,8 @@ def _(t):
 
 @query("per_tag_rates", "WITH x AS (SELECT unnest([lang, source, CASE WHEN length(text) > 1000 THEN 'long' ELSE 'short' END]) AS tag, quality, toxic FROM labels JOIN documents USING (doc_id)) SELECT tag, count(*) AS n, sum(quality)::BIGINT AS good, round(sum(quality)::DOUBLE / count(*), 6) AS rate, count(*) FILTER (WHERE toxic = 1 AND quality = 1) AS accepted_toxic FROM x GROUP BY 1")
 def _(t):
-    tags = F.array("lang", "source", F.when(F.length("text") > 1000, "long").otherwise("short"))
-    x = t("labels").join(t("documents"), "doc_id").select(F.explode(tags).alias("tag"), "quality", "toxic")
-    return x.groupBy("tag").agg(F.count("*").alias("n"), F.sum("quality").alias("good"), F.round(F.sum("quality") / F.count("*"), 6).alias("rate"), F.count_if((F.col("toxic") == 1) & (F.col("quality") == 1)).alias("accepted_toxic"))
+    x = t("labels").join(t("documents"), "doc_id").withColumn("tags", F.array("lang", "source", F.when(F.length("text") > 1000, "long").otherwise("short")))
+    return scoring.by_tag(x, "tags", F.sum("quality").alias("good"), F.round(F.sum("quality") / F.count("*"), 6).alias("rate"), F.count_if((F.col("toxic") == 1) & (F.col("quality") == 1)).alias("accepted_toxic"))
 
 
 @query("accepted_precision", "SELECT lang, count(*) FILTER (WHERE n_chars > 500) AS accepted, CASE WHEN count(*) FILTER (WHERE n_chars > 500) = 0 THEN 0 ELSE round(1 - count(*) FILTER (WHERE n_chars > 500 AND quality = 0)::DOUBLE / count(*) FILTER (WHERE n_chars > 500), 6) END AS prec FROM labels JOIN documents USING (doc_id) GROUP BY 1")
@@ -179,9 +185,7 @@ def _(t):
 @query("release_gates", "WITH m AS (SELECT count(*) FILTER (WHERE quality = 0) AS bad, count(*) FILTER (WHERE toxic = 1) AS toxic, count(*) AS n FROM labels) SELECT gate, CASE WHEN value IS NULL THEN 'absent' WHEN value = want THEN 'pass' ELSE 'fail' END AS verdict FROM (SELECT unnest(['bad', 'toxic', 'n', 'other']) AS gate, unnest([bad, toxic, n, NULL]) AS value, unnest([0, 0, 399, 1]) AS want FROM m)")
 def _(t):
     m = t("labels").agg(F.count_if(F.col("quality") == 0).alias("bad"), F.count_if(F.col("toxic") == 1).alias("toxic"), F.count("*").alias("n"))
-    gates = F.array(*(F.struct(F.lit(g).alias("gate"), v.cast("long").alias("value"), F.lit(w).alias("want")) for g, v, w in (("bad", F.col("bad"), 0), ("toxic", F.col("toxic"), 0), ("n", F.col("n"), 399), ("other", F.lit(None), 1))))
-    verdict = F.when(F.col("g.value").isNull(), "absent").when(F.col("g.value") == F.col("g.want"), "pass").otherwise("fail")
-    return m.select(F.explode(gates).alias("g")).select("g.gate", verdict.alias("verdict"))
+    return scoring.gates(m, {"bad": 0, "toxic": 0, "n": 399, "other": 1})
 
 
 @query("acceptance", "SELECT source, bool_and(length(text) > 20) AS all_long, bool_or(contains(text, chr(10))) AS any_lines, count(*) AS n FROM documents GROUP BY 1")
@@ -191,43 +195,44 @@ def _(t):
 
 @query("paired_changes", "WITH a AS (SELECT user_id, event_type, arg_min(value, (ts, event_id)) >= 50 AS ok FROM events GROUP BY 1, 2), b AS (SELECT user_id, event_type, arg_max(value, (ts, event_id)) >= 50 AS ok FROM events GROUP BY 1, 2) SELECT user_id, event_type, CASE WHEN b.ok THEN 'gain' ELSE 'loss' END AS change FROM a JOIN b USING (user_id, event_type) WHERE a.ok IS DISTINCT FROM b.ok")
 def _(t):
-    x = t("events").groupBy("user_id", "event_type").agg((F.min_by("value", F.struct("ts", "event_id")) >= 50).alias("a"), (F.max_by("value", F.struct("ts", "event_id")) >= 50).alias("b"))
-    return x.where(~F.col("a").eqNullSafe(F.col("b"))).select("user_id", "event_type", F.when(F.col("b"), "gain").otherwise("loss").alias("change"))
+    at = F.struct("ts", "event_id")
+    run = lambda first: t("events").groupBy("user_id", "event_type").agg((first("value", at) >= 50).alias("ok"))
+    return scoring.paired(run(F.min_by), run(F.max_by), ["user_id", "event_type"], "ok")
 
 
-#: The capabilities that parts are resolved against: name, kind prefix ('*' takes any).
-CAPABILITIES = [("econ", "ECONOMY"), ("promo", "PROMO"), ("std", "STANDARD"), ("std_plated", "STANDARD PLATED"), ("any_brass", "*")]
+#: The capabilities that parts are resolved against.
+CAPABILITIES = [(name, action, types, names, [], [], [], [], False) for name, action, types, names in (("econ", "find", ["ECONOMY"], []), ("promo", "find", ["PROMO"], []), ("std", "find", ["STANDARD"], []), ("std_two", "find", ["STANDARD"], []), ("widget", "find", ["none"], ["red widget"]), ("buy_promo", "buy", ["PROMO"], []), ("rent_any", "rent", ["*"], []))]
 
 
-@query("capability_resolve", "WITH cap(capability, kind) AS (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in CAPABILITIES) + "), m AS (SELECT p_partkey, capability, CASE WHEN kind = '*' THEN 1 ELSE 0 END AS tier FROM part JOIN cap ON starts_with(p_type, kind) OR (kind = '*' AND p_size % 2 = 0)), b AS (SELECT p_partkey, min(tier) AS tier FROM m GROUP BY 1), r AS (SELECT p_partkey, count(*) AS n, min(capability) AS c FROM m JOIN b USING (p_partkey, tier) GROUP BY 1) SELECT p_partkey, CASE WHEN n IS NULL THEN 'NO_CAPABILITY' WHEN n > 1 THEN 'AMBIGUOUS' ELSE 'RESOLVED' END AS status, CASE WHEN n = 1 THEN c END AS capability FROM part LEFT JOIN r USING (p_partkey)")
+@query("capability_resolve", "SELECT p_partkey, CASE WHEN a = 'rent' OR (a = 'find' AND (w OR p_type IN ('ECONOMY', 'PROMO'))) OR (a = 'buy' AND p_type = 'PROMO') THEN 'RESOLVED' WHEN a = 'find' AND p_type = 'STANDARD' THEN 'AMBIGUOUS_CAPABILITY' ELSE 'NO_CAPABILITY' END AS resolution, CASE WHEN a = 'rent' THEN 'rent_any' WHEN a = 'find' AND w THEN 'widget' WHEN a = 'find' AND p_type = 'ECONOMY' THEN 'econ' WHEN a = 'find' AND p_type = 'PROMO' THEN 'promo' WHEN a = 'buy' AND p_type = 'PROMO' THEN 'buy_promo' END AS capability FROM (SELECT *, CASE p_size % 3 WHEN 0 THEN 'find' WHEN 1 THEN 'buy' ELSE 'rent' END AS a, p_name = 'red widget' AS w FROM part)")
 def _(t):
-    part = t("part")
-    cap = F.broadcast(part.sparkSession.createDataFrame(CAPABILITIES, "capability string, kind string"))
-    fits = F.expr("startswith(p_type, kind) OR (kind = '*' AND p_size % 2 = 0)")
-    tier = (F.col("kind") == "*").cast("int")
-    m = part.join(cap, fits).groupBy("p_partkey", tier.alias("tier")).agg(F.count("*").alias("n"), F.min("capability").alias("c"))
-    best = m.groupBy("p_partkey").agg(F.min(F.struct("tier", "n", "c")).alias("x"))
-    n = F.col("x.n")
-    return part.select("p_partkey").join(best, "p_partkey", "left").select("p_partkey", F.when(n.isNull(), "NO_CAPABILITY").when(n > 1, "AMBIGUOUS").otherwise("RESOLVED").alias("status"), F.when(n == 1, F.col("x.c")).alias("capability"))
+    action = F.when(F.col("p_size") % 3 == 0, "find").when(F.col("p_size") % 3 == 1, "buy").otherwise("rent")
+    goals = t("part").select(F.col("p_partkey").alias("case"), F.lit(0).alias("at"), action.alias("action"), F.struct(F.initcap("p_name").alias("name"), F.col("p_type").alias("type")).alias("target"))
+    return planner.resolved(goals, planner.registry(goals.sparkSession, CAPABILITIES)).select(F.col("case").alias("p_partkey"), "resolution", "capability")
 
 
-@query("interval_conflict", "WITH b AS (SELECT l_partkey, max(l_quantity) FILTER (WHERE l_returnflag = 'A') AS low, min(l_quantity) FILTER (WHERE l_returnflag = 'N') AS high, bool_or(l_returnflag = 'R') AS strict FROM lineitem GROUP BY 1) SELECT l_partkey, low, high, low > high OR (low = high AND strict) AS conflict FROM b WHERE low IS NOT NULL AND high IS NOT NULL")
+@query("interval_conflict", "WITH b AS (SELECT l_orderkey, l_returnflag AS f, max({'v': l_quantity, 's': l_linenumber % 4 = 0}) FILTER (WHERE l_linenumber % 4 < 2) AS lo, min({'v': l_quantity, 'o': l_linenumber % 4 = 3}) FILTER (WHERE l_linenumber % 4 >= 2) AS hi FROM lineitem GROUP BY 1, 2) SELECT l_orderkey, list_sort(list(f)) AS fields FROM b WHERE lo.v > hi.v OR (lo.v = hi.v AND (lo.s OR NOT hi.o)) GROUP BY 1")
 def _(t):
-    f = F.col("l_returnflag")
-    b = t("lineitem").groupBy("l_partkey").agg(F.max(F.when(f == "A", F.col("l_quantity"))).alias("low"), F.min(F.when(f == "N", F.col("l_quantity"))).alias("high"), F.bool_or(f == "R").alias("strict"))
-    return b.where("low is not null and high is not null").select("l_partkey", "low", "high", F.expr("low > high OR (low = high AND strict)").alias("conflict"))
+    """Orders whose line items, as hard bounds on their flag's quantity, leave no value."""
+    ops = F.element_at(F.array(*map(F.lit, ["gt", "gte", "lt", "lte"])), (F.col("l_linenumber") % 4 + 1).cast("int"))
+    x = t("lineitem").groupBy("l_orderkey").agg(F.collect_list(_fact(F.col("l_returnflag"), ops, F.col("l_quantity"))).alias("facts"))
+    return x.select("l_orderkey", F.array_sort(validate.interval_conflicts(F.col("facts"))).alias("fields")).where("size(fields) > 0")
 
 
-@query("hard_equality_conflict", "SELECT l_orderkey, l_returnflag AS slot, count(DISTINCT l_suppkey) AS n_values FROM lineitem GROUP BY 1, 2 HAVING count(DISTINCT l_suppkey) > 1")
+@query("hard_equality_conflict", "WITH s AS (SELECT l_orderkey, CASE l_returnflag WHEN 'A' THEN 'model' ELSE 'origin' END AS slot FROM lineitem WHERE l_returnflag IN ('A', 'R') GROUP BY 1, 2 HAVING count(DISTINCT l_suppkey) > 1) SELECT l_orderkey, list_sort(list(slot)) AS slots FROM s GROUP BY 1")
 def _(t):
-    return t("lineitem").groupBy("l_orderkey", F.col("l_returnflag").alias("slot")).agg(F.countDistinct("l_suppkey").alias("n_values")).where("n_values > 1")
+    field = F.when(F.col("l_returnflag") == "A", "model").when(F.col("l_returnflag") == "R", "origin").otherwise("color")
+    x = t("lineitem").groupBy("l_orderkey").agg(F.collect_list(_fact(field, F.lit("eq"), F.col("l_suppkey"))).alias("facts"))
+    return x.select("l_orderkey", F.array_sort(validate.unequal_slots(F.col("facts"), "field")).alias("slots")).where("size(slots) > 0")
 
 
-@query("pairwise_contradiction", "SELECT a.l_orderkey, a.l_linenumber AS first_at, b.l_linenumber AS second_at FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey % 5 = b.l_suppkey % 5 AND a.l_linenumber < b.l_linenumber AND a.l_returnflag <> b.l_returnflag")
+@query("pairwise_contradiction", "WITH l AS (SELECT l_orderkey AS o, l_linenumber AS ln, l_linenumber % 3 AS k, max(CAST(l_quantity AS INT)) AS v, min(l_suppkey) % 2 AS s FROM lineitem GROUP BY 1, 2) SELECT a.o, count(*) AS n FROM l a JOIN l b ON a.o = b.o AND a.ln < b.ln AND a.s = b.s WHERE (a.k = 0 AND b.k = 1 AND a.v <= b.v) OR (a.k = 1 AND b.k = 0 AND b.v <= a.v) OR (a.k = 2 AND b.k = 0 AND a.v > b.v) OR (a.k = 2 AND b.k = 1 AND a.v < b.v) OR (a.k = 2 AND b.k = 2 AND a.v <> b.v) GROUP BY 1")
 def _(t):
-    x = t("lineitem").select("l_orderkey", (F.col("l_suppkey") % 5).alias("slot"), "l_linenumber", "l_returnflag")
-    a, b = (x.select("l_orderkey", "slot", F.col("l_linenumber").alias(f"{n}_at"), F.col("l_returnflag").alias(f"{n}_flag")) for n in ("first", "second"))
-    return a.join(b, ["l_orderkey", "slot"]).where("first_at < second_at AND first_flag <> second_flag").select("l_orderkey", "first_at", "second_at")
+    """How many pairs of an order's line items contradict each other as predicates: lt, gt or eq of a quantity."""
+    x = t("lineitem").groupBy(F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("ln")).agg(F.max(F.col("l_quantity").cast("int")).alias("value"), (F.min("l_suppkey") % 2).cast("string").alias("property"))
+    op = F.element_at(F.array(*map(F.lit, ["lt", "gt", "eq"])), (F.col("ln") % 3 + 1).cast("int"))
+    per = x.groupBy("o").agg(F.array_sort(F.collect_list(F.struct("ln", F.struct("property", op.alias("operator"), "value").alias("p")))).alias("f"))
+    return per.select("o", requests.contradictions(F.to_json(F.transform("f", lambda f: f["p"]))).alias("n")).where("n > 0")
 
 
 @query("o_d_self_join", "WITH e AS (SELECT user_id, event_id, event_type, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos FROM events), m AS (SELECT a.event_id AS origin, b.event_id AS destination, row_number() OVER (PARTITION BY a.event_id ORDER BY b.pos) AS k FROM e a JOIN e b ON a.user_id = b.user_id AND b.pos > a.pos AND b.ts >= a.ts WHERE a.event_type = 'click' AND b.event_type = 'purchase') SELECT origin, destination FROM m WHERE k = 1")

@@ -17,7 +17,7 @@ def test_rates_and_tags(spark):
 def test_comparisons_and_gates(spark):
     a = spark.createDataFrame([(1, True), (2, False), (3, None), (4, True)], "id int, ok boolean")
     b = spark.createDataFrame([(1, False), (2, True), (3, None), (4, None)], "id int, ok boolean")
-    assert {tuple(r) for r in S.paired(a, b, "id", "ok").collect()} == {(1, "loss"), (2, "gain"), (4, "loss")}
+    assert {tuple(r) for r in S.paired(a, b, ["id"], "ok").collect()} == {(1, "loss"), (2, "gain"), (4, "loss")}
     assert S.complete_pairs(a.select("id"), b, "id").count() == 4
     with pytest.raises(ValueError, match="one side"):
         S.complete_pairs(a.where("id < 4"), b, "id")
