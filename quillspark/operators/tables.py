@@ -10,7 +10,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 _made: list[tuple[SparkSession, str]] = []
 
@@ -77,3 +77,17 @@ def spread_join(many: DataFrame, one: DataFrame, key: list[str], hot: DataFrame
     many = many.join(hot, key, "left").withColumn("__salt", F.pmod(F.xxhash64(*deal), salts).cast("int")).drop("__salts")
     one = one.join(hot, key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("__salts")
     return many.join(one, [*key, "__salt"], how).drop("__salt")
+
+
+def ranked(df: DataFrame, keys: list, column: str) -> DataFrame:
+    """df in the order of its keys with each row's number from 1, without one task for all rows.
+
+    Sorted ranges are written with each row's place in its range; the rows before a range are added up from
+    one row a range.
+    """
+    placed = keep(df.orderBy(*keys).withColumn("__place", F.monotonically_increasing_id()), "ranked")
+    part, inside = F.shiftright("__place", 33), F.col("__place").bitwiseAND((1 << 33) - 1)
+    counts = placed.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
+    before = counts.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
+    out = placed.withColumn("__part", part).join(F.broadcast(before), "__part")
+    return out.withColumn(column, F.col("__before") + inside + 1).orderBy(column).drop("__place", "__part", "__before")

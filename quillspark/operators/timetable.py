@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quillspark.functions.text import service_seconds
+from quillspark.operators.tables import ranked
 from quillspark.sources.gtfs import Feed
 
 RAIL = "2"
@@ -60,7 +61,7 @@ def connections(feed: Feed, origins: DataFrame, destinations: DataFrame, date: s
     """Direct connections on a date; of a trip's qualifying destinations the first after each origin.
 
     Sorted by departure, arrival or duration, ties by trip, origin and destination; descending turns the
-    ties as well. References number a limited result; without a limit they are null. An arrival bound leaves out arrivals after the date.
+    ties as well. An arrival bound leaves out arrivals after the date.
     """
     day = F.to_date(F.lit(date))
     near = calls(feed).where(F.col("service_day").between(F.date_sub(day, 1), day))
@@ -78,8 +79,6 @@ def connections(feed: Feed, origins: DataFrame, destinations: DataFrame, date: s
     key = {"departure": "departs", "arrival": "arrives", "duration": "duration"}[sort]
     keys = [F.desc(c) if descending else F.asc(c) for c in (key, "trip_id", "origin", "destination", "departs")]
     out = ["trip_id", "route_short_name", "origin", "destination", "departs", "arrives", "duration"]
-    found = found.orderBy(*keys)
-    if limit is None:  # a result without an end has no numbers, which one task would have to give
-        return found.select(F.lit(None).cast("string").alias("ref"), *out)
-    ref = F.row_number().over(Window.orderBy(*keys))
-    return found.limit(limit).select(F.format_string("R%04d", ref).alias("ref"), *out)
+    if limit is not None:
+        found = found.orderBy(*keys).limit(limit)
+    return ranked(found, keys, "rank").select(F.format_string("R%04d", "rank").alias("ref"), "trip_id", "route_short_name", "origin", "destination", "departs", "arrives", "duration")
