@@ -39,16 +39,20 @@ def _items(cases: Column, item: Column) -> Column:
 
 # ---------------------------------------------------------------- scores
 
-PREDICTED = F.col("q") + F.when(F.col("ln") % 4 == 2, 1).otherwise(0)
-KEPT = F.col("ln") % 4 != 0
+
+
+def _predicted() -> tuple[Column, Column]:
+    """The predicted value of a line, and whether it is predicted at all."""
+    return F.col("q") + F.when(F.col("ln") % 4 == 2, 1).otherwise(0), F.col("ln") % 4 != 0
 
 
 def old_pairs(t) -> DataFrame:
     """(o, expected, got): contracts 1.1; of every four facts one has another value and one is lost, every third line adds one."""
+    predicted, kept = _predicted()
     want = obj(property=_name("p"), operator="eq", value=F.col("q"))
-    has = obj(property=_name("p"), operator=F.when(F.col("d") > 0.05, "lte").otherwise("eq"), value=PREDICTED)
+    has = obj(property=_name("p"), operator=F.when(F.col("d") > 0.05, "lte").otherwise("eq"), value=predicted)
     more = obj(property=_name("x"), operator="eq", value=F.col("q"))
-    per = lines(t).groupBy("o").agg(_items(F.lit(True), want).alias("want"), F.concat(_items(KEPT, has), _items(F.col("ln") % 3 == 0, more)).alias("has"))
+    per = lines(t).groupBy("o").agg(_items(F.lit(True), want).alias("want"), F.concat(_items(kept, has), _items(F.col("ln") % 3 == 0, more)).alias("has"))
 
     def contract(facts: str) -> Column:
         empty = F.array().cast("array<string>")
@@ -89,9 +93,10 @@ def _(t):
 def new_pairs(t, version: str) -> DataFrame:
     """(o, expected, got, text): contracts 1.2 or 1.3 with the same changes, and a hard strength where the tax is high."""
     strength = F.when(F.col("s") == 0, "hard").otherwise("soft")
+    predicted, kept = _predicted()
     want = obj(field=_name("f"), op="eq", value=F.col("q"), strength=strength)
-    has = obj(field=_name("f"), op="eq", value=PREDICTED, strength=F.when(F.col("t") > 0.04, "hard").otherwise(strength))
-    per = lines(t).groupBy("o").agg(_items(F.lit(True), want).alias("want"), _items(KEPT, has).alias("has"))
+    has = obj(field=_name("f"), op="eq", value=predicted, strength=F.when(F.col("t") > 0.04, "hard").otherwise(strength))
+    per = lines(t).groupBy("o").agg(_items(F.lit(True), want).alias("want"), _items(kept, has).alias("has"))
 
     def contract(facts: str) -> Column:
         goal = obj(id="g1", action="find", target=obj(name="order", type="product"), facts=F.col(facts))
