@@ -10,6 +10,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from quillspark.operators.planner import FEW
 from quillspark.sources.contracts import Contracts
 
 INTERFACE = "capability STRING, action STRING, type STRING, names ARRAY<STRING>, facts ARRAY<STRING>, temporal ARRAY<STRING>, modifiers ARRAY<STRING>, sort_fields ARRAY<STRING>, policies ARRAY<STRING>, results ARRAY<STRING>, conditions ARRAY<STRING>, required ARRAY<STRING>, references BOOLEAN, ordinals BOOLEAN, dependencies BOOLEAN"
@@ -18,12 +19,13 @@ INTERFACE = "capability STRING, action STRING, type STRING, names ARRAY<STRING>,
 def handoff(cases: DataFrame, interfaces: DataFrame, context: list[str] = ()) -> DataFrame:
     """Per contract (case, c): status, detail of the first failure, and execution_permitted (never).
 
-    `interfaces` is a small table of INTERFACE rows (null names take any target); `context` lists the
+    `interfaces` is a table of INTERFACE rows (null names take any target), broadcast up to FEW; `context` lists the
     context fields that have a parameter.
     """
     t = Contracts(cases)
     goals = t.goals
-    spec = F.broadcast(interfaces.select("capability", F.col("action").alias("s_action"), "type", "names", F.col("facts").alias("s_facts"), F.col("temporal").alias("s_temporal"), F.col("modifiers").alias("s_modifiers"), "sort_fields", "policies", "results", "conditions", "required", "references", "ordinals", "dependencies"))
+    spec = interfaces.select("capability", F.col("action").alias("s_action"), "type", "names", F.col("facts").alias("s_facts"), F.col("temporal").alias("s_temporal"), F.col("modifiers").alias("s_modifiers"), "sort_fields", "policies", "results", "conditions", "required", "references", "ordinals", "dependencies")
+    spec = F.broadcast(spec) if spec.count() <= FEW else spec
     fits = (F.col("action") == F.col("s_action")) & (F.col("target.type") == F.col("type")) & (F.col("names").isNull() | F.array_contains("names", F.lower("target.name")))
     matched = goals.join(spec, fits, "left")
     n = matched.groupBy("case", "at").agg(F.count("capability").alias("n"))

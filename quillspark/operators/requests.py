@@ -316,6 +316,40 @@ def compared(cases: DataFrame) -> DataFrame:
     return x.select(*cases.columns, (F.size("__got_codes") == 0).alias("valid"), literal.alias("literal_equal"), same(narrow).alias("canonical_equal"), same(lambda v: present(narrow(v))).alias("presence_equal"))
 
 
+_DELIVERED = "json_valid boolean, schema_valid boolean, guard string, error string, exact boolean, accepted_but_wrong boolean, asked_rightly boolean, needless_question boolean"
+
+
+def _evaluate(raw, expected, text):
+    """Flags of a model's raw output against the expected contract 1.1; those that need one are null without it."""
+    from quillspark.functions.strictjson import extract
+
+    json_valid = isinstance(loaded(raw), dict)
+    found, code = extract(raw)
+    if code:
+        return json_valid, False, None, code, *[None] * 4
+    c, e = loaded(found), loaded(expected)
+    v = G.check(c, text or "")
+    schema_valid = all(f.code != "schema_violation" for f in v.findings)
+    accepted = v.status in ("ACCEPT", "REPAIRED")
+    if e is None or not schema_valid:
+        return json_valid, schema_valid, v.status, None if schema_valid else "schema", *[None] * 4
+    exact = accepted and R.contract_form(e) == R.contract_form(v.contract)
+    wanted = bool((e.get("clarification") or {}).get("required"))
+    asks = not accepted or bool((c.get("clarification") or {}).get("required"))
+    return json_valid, True, v.status, None, exact, accepted and not exact, wanted == asks, asks and not wanted
+
+
+#: STRUCT of flags: (raw output, expected contract or null, text).
+evaluate = rowwise(_DELIVERED, _evaluate)
+
+
+def static_evaluation(gold: DataFrame, predictions: DataFrame, key: str = "id") -> DataFrame:
+    """The rates 1.2 of predictions (id, got) against gold (id, expected); stops where the ids differ."""
+    from quillspark.operators.scoring import complete_pairs
+
+    return rates_12(score_12(complete_pairs(gold.select(key, "expected"), predictions.select(key, "got"), key)))
+
+
 def guard_false_alarms(cases: DataFrame) -> DataFrame:
     """The expected contracts 1.1 (raw, text) that the guard doesn't accept as they are, with its codes."""
     x = cases.withColumn("v", guard_11(F.col("raw"), F.col("text")))

@@ -57,15 +57,19 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def hot_keys(rows: DataFrame, *key: str, least: int = 256) -> DataFrame | None:
-    """(key, __salts) of the keys with over max(least, a 100,000th of all) rows, so at most 100,000; None if there is none."""
-    total = rows.count()
+def hot_of(counts: DataFrame, key: list[str], n: str, total: int, least: int = 256) -> DataFrame | None:
+    """(key, __salts) of the counted keys with over max(least, a 100,000th of total) rows, so at most 100,000; None if there is none."""
     each = max(least, -(-total // 100_000))
     if total <= each:
         return None
-    many = rows.groupBy(*key).agg(F.count("*").alias("__n")).where(F.col("__n") > each)
-    many = keep(many.select(*key, F.ceil(F.col("__n") / each).cast("int").alias("__salts")), "hot")
-    return None if many.isEmpty() else many
+    many = counts.where(F.col(n) > each).select(*key, F.ceil(F.col(n) / each).cast("int").alias("__salts"))
+    found = many.collect()  # bounded as said
+    return counts.sparkSession.createDataFrame(found, many.schema) if found else None
+
+
+def hot_keys(rows: DataFrame, *key: str, least: int = 256) -> DataFrame | None:
+    """The same for the keys of rows, which are counted here."""
+    return hot_of(rows.groupBy(*key).agg(F.count("*").alias("__n")), list(key), "__n", rows.count(), least)
 
 
 def spread_join(many: DataFrame, one: DataFrame, key: list[str], hot: DataFrame | None, deal: list[str], how: str = "inner") -> DataFrame:
@@ -91,3 +95,12 @@ def ranked(df: DataFrame, keys: list, column: str) -> DataFrame:
     before = counts.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
     out = placed.withColumn("__part", part).join(F.broadcast(before), "__part")
     return out.withColumn(column, F.col("__before") + inside + 1).orderBy(column).drop("__place", "__part", "__before")
+
+
+def ranked_within(df: DataFrame, group: str, keys: list, column: str, few: int = 1_000_000) -> DataFrame:
+    """df with each row's number from 1 within its group, in the order of the keys; a group of any size is many tasks' work."""
+    every = ranked(df, [group, *keys], "__rank")
+    first = every.groupBy(group).agg(F.min("__rank").alias("__first"))
+    first = keep(first, "group-starts")
+    first = F.broadcast(first) if first.count() <= few else first
+    return every.join(first, F.col(group).eqNullSafe(first[group])).select(*(every[c] for c in df.columns), (F.col("__rank") - F.col("__first") + 1).alias(column))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, Window, functions as F
 
 from quillspark.operators import planner, requests, scoring, validate
 from quillspark.operators.matching import multiset_counts, rank_join, ratio, two_pass
+from quillspark.operators.tables import ranked_within
 from quillspark.plans.base import query
 
 # lineitem in two halves, as expected and predicted facts of an order
@@ -129,13 +130,13 @@ def _(t):
 @query("round_robin_draw", f"SELECT o_orderkey, k, o_orderpriority FROM (SELECT o_orderkey, o_orderpriority, row_number() OVER (PARTITION BY o_orderpriority ORDER BY {HASHED.format('o_orderkey')}, o_orderkey) AS k FROM orders) ORDER BY k, o_orderpriority LIMIT 33")
 def _(t):
     w = Window.partitionBy("o_orderpriority").orderBy(F.md5(F.col("o_orderkey").cast("string").cast("binary")), "o_orderkey")
-    return t("orders").select("o_orderkey", F.row_number().over(w).cast("long").alias("k"), "o_orderpriority").orderBy("k", "o_orderpriority").limit(33)
+    return t("orders").select("o_orderkey", F.row_number().over(w).cast("long").alias("k"), "o_orderpriority").where("k <= 33").orderBy("k", "o_orderpriority").limit(33)
 
 
 @query("seeded_shuffle", "SELECT p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY sha256(CAST(p_partkey AS VARCHAR) || ':7')) AS place FROM part")
 def _(t):
     key = F.sha2(F.concat(F.col("p_partkey").cast("string"), F.lit(":7")), 256)
-    return t("part").select("p_partkey", F.row_number().over(Window.partitionBy("p_brand").orderBy(key)).cast("long").alias("place"))
+    return ranked_within(t("part").select("p_partkey", "p_brand", key.alias("key")), "p_brand", ["key"], "place").select("p_partkey", "place")
 
 
 @query("family_split", "WITH f AS (SELECT p_brand, row_number() OVER (ORDER BY md5(p_brand), p_brand) AS k, count(*) OVER () AS n FROM (SELECT DISTINCT p_brand FROM part)) SELECT p_partkey, CASE WHEN k * 10 <= n * 2 THEN 'valid' ELSE 'train' END AS split FROM part JOIN f USING (p_brand)")

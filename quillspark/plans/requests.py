@@ -9,6 +9,7 @@ from quillspark.operators import guards as G
 from quillspark.operators import reports as P
 from quillspark.operators import requests as Q
 from quillspark.operators.handoff import INTERFACE, handoff
+from quillspark.operators.planner import resolve_references
 from quillspark.operators.scoring import taxonomy
 from quillspark.operators.tables import keep
 from quillspark.plans.base import query
@@ -187,6 +188,31 @@ def _(t):
     return x.select("o", "ln", "v.status", "v.codes", F.size("v.repairs").alias("repairs"))
 
 
+@query("output_flags", f"WITH {LINES}, g AS (SELECT ln, {_G11} AS status FROM l) SELECT CASE WHEN ln = 7 THEN NULL ELSE status END AS guard, CASE WHEN ln = 7 THEN 'trailing_text' END AS error, CASE WHEN ln <> 7 THEN status <> 'CLARIFY' AND ln % 3 <> 2 END AS exact, CASE WHEN ln <> 7 THEN status = 'CLARIFY' END AS needless, count(*) AS n FROM g GROUP BY ALL")
+def _(t):
+    """Outputs that repeat the expected contract, some with other text behind; a moved fact is no exact contract."""
+    x = old_requests(t).withColumn("out", F.when(F.col("ln") == 7, F.concat("raw", F.lit(" ok"))).otherwise(F.col("raw")))
+    x = x.select(Q.evaluate(F.col("out"), F.col("raw"), F.col("text")).alias("v")).select("v.*")
+    return x.groupBy("guard", "error", "exact", F.col("needless_question").alias("needless")).agg(F.count("*").alias("n"))
+
+
+@query("static_evaluation", f"WITH {LINES}, {_N12} SELECT count(*) AS n, 1.0::DOUBLE AS schema_valid_rate, round_even(sum(tp)::DOUBLE / sum(tp + fn)::DOUBLE, 6) AS facts_recall FROM n")
+def _(t):
+    x = keep(new_pairs(t, "1.2"), "static")
+    return Q.static_evaluation(x.select("o", "expected"), x.select("o", "got"), "o").select("n", "schema_valid_rate", "facts_recall")
+
+
+@query("reference_resolution", """WITH r AS (SELECT l_orderkey AS o, l_linenumber AS ln, max(CAST(l_quantity AS INT)) AS q, bool_and(l_tax < 0.08) AS ok FROM lineitem GROUP BY 1, 2), p AS (SELECT o, q, count(*) AS ties, min(ln) AS ln, bool_and(ok) AS ok FROM r GROUP BY 1, 2), c AS (SELECT o, arg_min(ties, q) AS ties, arg_min(ln, q) AS ln, arg_min(ok, q) AS ok FROM p GROUP BY 1),
+f AS (SELECT o_orderkey AS o, o_orderkey % 3 AS k FROM orders) SELECT f.o, CASE WHEN k = 0 AND s.ok THEN f.o || '/' || s.ln WHEN k = 1 AND c.ties = 1 AND c.ok THEN f.o || '/' || c.ln END AS result_id, CASE WHEN k = 2 THEN 'reference_without_dependency' WHEN c.o IS NULL THEN 'result_set_unavailable' WHEN k = 0 AND s.ln IS NULL THEN 'ordinal_out_of_range' WHEN k = 1 AND c.ties > 1 THEN 'cheapest_result_ambiguous' WHEN (k = 0 AND NOT s.ok) OR (k = 1 AND NOT c.ok) THEN 'result_not_trusted_or_identified' END AS why FROM f LEFT JOIN c USING (o) LEFT JOIN (SELECT * FROM r WHERE ln = 3) s USING (o)""")
+def _(t):
+    """References of orders to their line items: the third, or the only cheapest."""
+    x = t("lineitem").groupBy(F.col("l_orderkey").alias("case"), F.col("l_linenumber").alias("ordinal")).agg(F.max(F.col("l_quantity").cast("int")).alias("price"), F.bool_and(F.col("l_tax") < 0.08).alias("trusted"))
+    results = x.select("case", F.lit("g1").alias("goal"), "ordinal", F.concat_ws("/", F.col("case").cast("string"), F.col("ordinal").cast("string")).alias("id"), "price", "trusted")
+    kind = F.col("o_orderkey") % 3
+    refs = t("orders").select(F.col("o_orderkey").alias("case"), F.lit(0).alias("at"), F.lit("fact.selection").alias("slot"), F.lit("g1").alias("source"), F.when(kind == 1, "cheapest").otherwise("result").alias("field"), F.lit(3).alias("ordinal"), F.when(kind < 2, F.array(F.lit("g1"))).otherwise(F.array().cast("array<string>")).alias("deps"))
+    return resolve_references(refs, results).select(F.col("case").alias("o"), "result_id", "why")
+
+
 @query("guard_false_alarms", f"WITH {LINES}, g AS (SELECT {_G11} AS status FROM l) SELECT status, count(*) AS n FROM g WHERE status <> 'ACCEPT' GROUP BY 1")
 def _(t):
     return Q.guard_false_alarms(old_requests(t)).groupBy("status").agg(F.count("*").alias("n"))
