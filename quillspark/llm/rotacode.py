@@ -142,11 +142,12 @@ def near_vectors(table: DataFrame, *, id_col: str = "vec_id", vector_col: str =
 
     coded = usable.mapInArrow(code, T.StructType([T.StructField("id", id_type), T.StructField("bands", T.ArrayType(T.LongType()))]))
     placed = shared.keep(coded.select("id", F.posexplode("bands").alias("band", "bucket")), "vec-placed")
-    sizes = placed.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
+    sizes = shared.keep(placed.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1"), "vec-sizes")
+    hot = shared.hot_of(sizes, ["bucket"], "members", classes.count() * bands)
     # a vector goes to a unit for each chunk of its bucket, its own included
     chunks = F.ceil(F.col("members") / chunk).cast("int")
     spread = (
-        shared.spread_join(placed, sizes, ["bucket"], shared.hot_keys(placed, "bucket"), ["id"])
+        shared.spread_join(placed, sizes, ["bucket"], hot, ["id"])
         .select("id", "bucket", "band", chunks.alias("chunks"), F.pmod(F.xxhash64("id", "bucket"), chunks).cast("int").alias("own"))
         .select("id", "bucket", "band", "own", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
         .select("id", "bucket", "band", "own", F.least("own", "other").alias("c0"), F.greatest("own", "other").alias("c1"))

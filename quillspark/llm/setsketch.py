@@ -223,9 +223,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     classes = some.groupBy(*same).agg(first, F.first("regs").alias("regs"), F.first("bands").alias("bands"))
     classes = shared.keep(classes.withColumn("rep", F.monotonically_increasing_id()), "near-classes")
 
-    placed = shared.keep(classes.select("rep", F.explode("bands").alias("band")), "near-placed")
-    hot_bands = shared.hot_keys(placed, "band")
+    placed = classes.select("rep", F.explode("bands").alias("band"))
     pivots = placed.groupBy("band").agg(F.min("rep").alias("pivot"), F.count("*").alias("members")).where("members > 1")
+    pivots = shared.keep(pivots, "near-pivots")
+    hot_bands = shared.hot_of(pivots, ["band"], "members", classes.count() * bands)
     members = shared.keep(shared.spread_join(placed, pivots, ["band"], hot_bands, ["rep"]), "near-members")
     slim = classes.select("rep", "n", "regs")
     pair_type = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])

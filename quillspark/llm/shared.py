@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quillspark.operators.tables import folder, hot_keys, keep, spread_join  # noqa: F401  the operators use them from here
+from quillspark.operators.tables import folder, hot_keys, hot_of, keep, spread_join  # noqa: F401  the operators use them from here
 
 
 def scan_bytes(df: DataFrame) -> int:
