@@ -100,7 +100,7 @@ def ranked(df: DataFrame, keys: list, column: str) -> DataFrame:
 def ranked_within(df: DataFrame, group: str, keys: list, column: str, few: int = 1_000_000) -> DataFrame:
     """df with each row's number from 1 within its group, in the order of the keys; a group of any size is many tasks' work."""
     every = ranked(df, [group, *keys], "__rank")
-    first = every.groupBy(group).agg(F.min("__rank").alias("__first"))
+    first = every.groupBy(F.col(group).alias("__group")).agg(F.min("__rank").alias("__first"))
     first = keep(first, "group-starts")
     first = F.broadcast(first) if first.count() <= few else first
-    return every.join(first, F.col(group).eqNullSafe(first[group])).select(*(every[c] for c in df.columns), (F.col("__rank") - F.col("__first") + 1).alias(column))
+    return every.join(first, F.col(group).eqNullSafe(F.col("__group"))).select(*df.columns, (F.col("__rank") - F.col("__first") + 1).alias(column))
