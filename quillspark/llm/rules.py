@@ -244,7 +244,9 @@ def learned(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str, text
     if n > sample:
         marked = marked.where(F.pmod(F.xxhash64(id_col, F.lit(4)), F.lit(1 << 40)) < int((1 << 40) * sample / n))
     chosen = docs.select(id_col, F.col(text_col).alias("__words")).join(F.broadcast(marked), id_col)
-    rows = with_statistics(chosen, "__words", [id_col, "__y"]).orderBy(id_col, *STATISTICS).select("__y", *STATISTICS).toPandas().to_numpy(dtype=float)
+    # about `sample` rows, put in one order here: a sort by the executors would make the statistics twice
+    found = with_statistics(chosen, "__words", [id_col, "__y"]).toPandas().sort_values([id_col, *STATISTICS], kind="stable")
+    rows = found[["__y", *STATISTICS]].to_numpy(dtype=float)
     return RuleModel(*fit(rows[:, 1:], (rows[:, 0] > 0).astype(float)))
 
 
