@@ -20,7 +20,7 @@ from quillspark.operators.timetable import DAY, calls
 from quillspark.sources.gtfs import Feed
 
 #: Cities whose name stands for all their stations.
-CITIES = ["milano", "bergamo", "brescia", "como", "lecco"]
+CITIES = ["milano", "como", "varese", "brescia", "novara"]
 _BOUNDS = "array<struct<role:string,op:string,at:int,to:int,inclusive:boolean>>"
 _REQUEST = f"origin string, destination string, day date, bounds {_BOUNDS}, direct boolean, longest int, wanted int, sort string, down boolean, codes array<string>"
 
