@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from quillspark.llm.align import aligned
 from quillspark.llm.crossparse import languages
 from quillspark.llm.curriculum import mix
 from quillspark.llm.decontaminate import contamination
+from quillspark.llm.divergence import divergence
 from quillspark.llm.katz import katz_scores
 from quillspark.llm.packing import shard
 from quillspark.llm.piecebpe import PieceModel, token_counts
@@ -71,6 +75,18 @@ def op10_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
 
 
+def op12_suffix_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    a = Path(public_tokenizers.path("byte_bpe_50k.json")).read_text(encoding="utf-8")
+    b = Path(public_tokenizers.path("piece_bpe_32k.model")).read_bytes()
+    return aligned(_table(spark, sf_dir, "documents"), a, b)
+
+
+def op13_support_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_katz_backoff": op1_katz_backoff,
     "op2_setsketch": op2_setsketch,
@@ -82,6 +98,8 @@ QUERIES = {
     "op8_vector_packing": op8_vector_packing,
     "op9_warc_salvage": op9_warc_salvage,
     "op10_curriculum": op10_curriculum,
+    "op12_suffix_transducer": op12_suffix_transducer,
+    "op13_support_divergence": op13_support_divergence,
 }
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
 _REACH = "e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l), r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b), c AS (SELECT a, min(least(a, b)) AS c FROM r GROUP BY 1)"
@@ -99,4 +117,15 @@ SELECT vec_id, coalesce(k.n, 0) AS n_links, coalesce(c.c, vec_id) AS component_i
 q AS (SELECT *, list_transform(range(0, 8), lambda i: ('0x' || substr(x, (i * 5 + 1)::INT, 5))::BIGINT) AS y FROM d)
 SELECT page_id, n AS payload_bytes, array_to_string(list_transform(y, lambda v: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v >> 15) & 31)::INT + 1, 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v >> 10) & 31)::INT + 1, 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v >> 5) & 31)::INT + 1, 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (v & 31)::INT + 1, 1)), '') AS payload_digest,
 CASE WHEN page_id = w THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> w THEN w END AS refers_to FROM q""",
+    "op13_support_divergence": r"""WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+t AS (SELECT r, lang, source, term, count(*) AS n FROM (SELECT r, lang, source, unnest(w) AS term FROM d) GROUP BY ALL),
+k AS (SELECT lang, term, sum(n)::BIGINT AS n FROM t GROUP BY 1, 2 HAVING count(*) >= 30), v AS (SELECT lang, count(*) AS v, sum(n)::BIGINT AS total FROM k GROUP BY 1),
+c AS (SELECT t.lang, source, term, sum(t.n)::BIGINT AS n FROM t JOIN k USING (lang, term) GROUP BY ALL),
+g AS (SELECT lang, source, coalesce(total, 0) AS total FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN (SELECT lang, source, sum(n)::BIGINT AS total FROM c GROUP BY 1, 2) USING (lang, source)),
+p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000 * (coalesce(c.n, 0) + 5)::HUGEINT) // (g.total + 5 * v.v) AS p, 1 + (1000000000 * (k.n + 5)::HUGEINT) // (v.total + 5 * v.v) AS q
+ FROM g JOIN v USING (lang) JOIN k USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+s AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+o AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+ UNION ALL SELECT lang, source, 'term', term, (p - q)::BIGINT FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, rank FROM (SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)))::INT AS rank FROM o) WHERE part = 'pair' OR rank <= 50""",
 }
