@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quillspark.llm.align import aligned
 from quillspark.llm.crossparse import languages
+from quillspark.llm.crosspoly import nearest
 from quillspark.llm.curriculum import mix
 from quillspark.llm.decontaminate import contamination
 from quillspark.llm.divergence import divergence
@@ -75,6 +76,10 @@ def op10_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
 
 
+def op11_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op12_suffix_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -98,6 +103,7 @@ QUERIES = {
     "op8_vector_packing": op8_vector_packing,
     "op9_warc_salvage": op9_warc_salvage,
     "op10_curriculum": op10_curriculum,
+    "op11_cross_polytope": op11_cross_polytope,
     "op12_suffix_transducer": op12_suffix_transducer,
     "op13_support_divergence": op13_support_divergence,
 }
