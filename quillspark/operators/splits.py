@@ -28,5 +28,6 @@ def grouped_split(rows: DataFrame, family: str, stratum: str, percent: int) -> D
 def panel(rows: DataFrame, key: str, tags: str, each: int) -> DataFrame:
     """(tag, key): for each tag the first `each` rows in hashed order."""
     flat = rows.select(key, F.explode(F.array_distinct(tags)).alias("tag"))
-    w = Window.partitionBy("tag").orderBy(hash_order(F.col(key)), key)
-    return flat.withColumn("k", F.row_number().over(w)).where(F.col("k") <= each).select("tag", key)
+    from quillspark.operators.draws import first_of_groups
+
+    return first_of_groups(flat.withColumn("place", hash_order(F.col(key))), ["tag"], ["place", key], each).select("tag", key)

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, Window, functions as F
 
 from quillspark.operators import planner, requests, scoring, validate
+from quillspark.operators.draws import first_of_groups, round_robin
 from quillspark.operators.matching import multiset_counts, rank_join, ratio, two_pass
-from quillspark.operators.tables import ranked_within
+from quillspark.operators.splits import hash_order
+from quillspark.operators.tables import ranked, ranked_within
 from quillspark.plans.base import query
 
 # lineitem in two halves, as expected and predicted facts of an order
@@ -123,14 +125,13 @@ HASHED = "md5(CAST({} AS VARCHAR))"
 
 @query("quota_sample", f"SELECT o_orderkey, o_orderpriority FROM (SELECT o_orderkey, o_orderpriority, row_number() OVER (PARTITION BY o_orderpriority ORDER BY {HASHED.format('o_orderkey')}, o_orderkey) AS k FROM orders) WHERE k <= 20")
 def _(t):
-    w = Window.partitionBy("o_orderpriority").orderBy(F.md5(F.col("o_orderkey").cast("string").cast("binary")), "o_orderkey")
-    return t("orders").select("o_orderkey", "o_orderpriority", F.row_number().over(w).alias("k")).where("k <= 20").drop("k")
+    x = t("orders").select("o_orderkey", "o_orderpriority", hash_order(F.col("o_orderkey")).alias("place"))
+    return first_of_groups(x, ["o_orderpriority"], ["place", "o_orderkey"], 20).drop("place")
 
 
 @query("round_robin_draw", f"SELECT o_orderkey, k, o_orderpriority FROM (SELECT o_orderkey, o_orderpriority, row_number() OVER (PARTITION BY o_orderpriority ORDER BY {HASHED.format('o_orderkey')}, o_orderkey) AS k FROM orders) ORDER BY k, o_orderpriority LIMIT 33")
 def _(t):
-    w = Window.partitionBy("o_orderpriority").orderBy(F.md5(F.col("o_orderkey").cast("string").cast("binary")), "o_orderkey")
-    return t("orders").select("o_orderkey", F.row_number().over(w).cast("long").alias("k"), "o_orderpriority").where("k <= 33").orderBy("k", "o_orderpriority").limit(33)
+    return round_robin(t("orders").select("o_orderkey", "o_orderpriority"), "o_orderpriority", "o_orderkey", 33).withColumnRenamed("turn", "k")
 
 
 @query("seeded_shuffle", "SELECT p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY sha256(CAST(p_partkey AS VARCHAR) || ':7')) AS place FROM part")
@@ -141,11 +142,10 @@ def _(t):
 
 @query("family_split", "WITH f AS (SELECT p_brand, row_number() OVER (ORDER BY md5(p_brand), p_brand) AS k, count(*) OVER () AS n FROM (SELECT DISTINCT p_brand FROM part)) SELECT p_partkey, CASE WHEN k * 10 <= n * 2 THEN 'valid' ELSE 'train' END AS split FROM part JOIN f USING (p_brand)")
 def _(t):
-    # families are few, so their order is one small window
     f = t("part").select("p_brand").distinct()
     n = f.agg(F.count("*").alias("n"))
-    f = f.withColumn("k", F.row_number().over(Window.orderBy(F.md5(F.col("p_brand").cast("binary")), "p_brand"))).join(F.broadcast(n))
-    return t("part").join(F.broadcast(f), "p_brand").select("p_partkey", F.when(F.col("k") * 10 <= F.col("n") * 2, "valid").otherwise("train").alias("split"))
+    f = ranked(f, [F.md5(F.col("p_brand").cast("binary")), "p_brand"], "k").join(F.broadcast(n))
+    return t("part").join(f, "p_brand").select("p_partkey", F.when(F.col("k") * 10 <= F.col("n") * 2, "valid").otherwise("train").alias("split"))
 
 
 @query("longest_first", "WITH r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY length(text) DESC, doc_id) AS k FROM documents) SELECT doc_id, source FROM r WHERE k = 1")
@@ -315,8 +315,8 @@ def _(t):
 def _(t):
     # smallest exponential keys of rate p_size: a weighted draw without replacement
     u = (F.conv(F.substring(F.md5(F.col("p_partkey").cast("string").cast("binary")), 1, 8), 16, 10).cast("long") + 1) / F.lit(4294967297.0)
-    w = Window.partitionBy("p_brand").orderBy(-F.log(u) / F.col("p_size"), "p_partkey")
-    return t("part").select("p_brand", "p_partkey", F.row_number().over(w).alias("k")).where("k <= 3").drop("k")
+    x = t("part").select("p_brand", "p_partkey", (-F.log(u) / F.col("p_size")).alias("age"))
+    return first_of_groups(x, ["p_brand"], ["age", "p_partkey"], 3).drop("age")
 
 
 @query("completion_mask", "SELECT p_partkey, list_concat(list_transform(range(p_size % 4), lambda i: -100::BIGINT), range(p_size % 4, 6)) AS labels FROM part")
