@@ -468,7 +468,7 @@ def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(*added())
 
 
-def aligned(table: DataFrame, a_json: str, b_model: bytes, *, id_col: str = "doc_id", text_col: str = "text", remembered: int = 1_000_000, held: int = 1 << 20, hashed: bool = True) -> DataFrame:
+def aligned(table: DataFrame, a_json: str, b_model: bytes, *, id_col: str = "doc_id", text_col: str = "text", remembered: int = 600_000, held: int = 1 << 20, hashed: bool = True) -> DataFrame:
     """Per row: id, n_a, n_b, n_groups, n_links, n_best, count_sum, and groups_sha256 (hashed) or groups."""
     check_a(json.loads(a_json))
     shift = check_b(b_model)
