@@ -85,9 +85,13 @@ def _said(part: Column, words: Column, numbers: Column, flat: Column) -> Column:
 
 def value_is_grounded(value: Column, text: Column) -> Column:
     """Whether a value (as text; lists as a|b|c) is said in the text; null values are, and so are booleans, which callers know by their kind."""
-    words, numbers = words_of(text), numbers_of(text)
+    return said_in(value, words_of(text), numbers_of(text), folded(text))
+
+
+def said_in(value: Column, words: Column, numbers: Column, flat: Column) -> Column:
+    """The same over a text's words, numbers and folded form, made once for many values."""
     parts = F.filter(F.transform(F.split(value, r"\|"), lambda p: F.trim(p)), lambda p: p != "")
-    return F.when(value.isNull(), True).otherwise(F.forall(parts, lambda p: _said(p, words, numbers, folded(text))))
+    return F.when(value.isNull(), True).otherwise(F.forall(parts, lambda p: _said(p, words, numbers, flat)))
 
 
 def currency_is_grounded(currency: Column, text: Column) -> Column:

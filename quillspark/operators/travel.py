@@ -15,6 +15,7 @@ from quillspark.functions import travel as R
 from quillspark.functions.rowwise import loaded, rowwise
 from quillspark.functions.text import plain
 from quillspark.operators.guards import guard_13
+from quillspark.operators.intervals import interval_join
 from quillspark.operators.tables import keep
 from quillspark.operators.timetable import DAY, calls
 from quillspark.sources.gtfs import Feed
@@ -52,10 +53,90 @@ def stations(feed: Feed, cities: list[str] = CITIES) -> DataFrame:
     return s.select("stop_id", F.explode(F.array_union(F.array("name"), city)).alias("name")).distinct()
 
 
-def _holds(at: Column, b: Column) -> Column:
-    """Whether a minute of the day is within a bound."""
+def _minutes_of(b: Column) -> Column:
+    """A bound as the minutes of the day from `low` to `high` within it."""
     edge = F.when(b["inclusive"], 0).otherwise(1)
-    return F.when(b["op"] == "after", at >= b["at"] + edge).when(b["op"] == "before", at <= b["at"] - edge).when(b["op"] == "eq", at == b["at"]).otherwise((at >= b["at"] + edge) & (at <= b["to"] - edge))
+    low = F.when(b["op"] == "after", b["at"] + edge).when(b["op"] == "before", 0).when(b["op"] == "eq", b["at"]).otherwise(b["at"] + edge)
+    high = F.when(b["op"] == "after", DAY // 60 - 1).when(b["op"] == "before", b["at"] - edge).when(b["op"] == "eq", b["at"]).otherwise(b["to"] - edge)
+    return F.struct(b["role"].alias("role"), low.alias("low"), high.alias("high"))
+
+
+def search_requests(requests: DataFrame, feed: Feed, *, width: int = 60) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(starts, ends, results): the stops of each request's stations, and the direct connections that answer it.
+
+    A request has case, origin and destination (station names as `plain` folds them), day, the minutes of the
+    day between which it may leave and come (null: any; a bound on coming leaves out arrivals after the day),
+    the longest minutes, how many are wanted, the sort field and whether it falls. It meets only the departures
+    of its stop, service day and hours: both sides are joined by stop, day and bucket of `width` minutes, so
+    work follows the departures within bounds. Then trips meet their later calls at the destination.
+    """
+    names = stations(feed)
+    at = lambda name, stop: requests.select("case", F.col(name).alias("name")).join(names, "name").select("case", F.col("stop_id").alias(stop))
+    starts, ends = at("origin", "from_stop"), at("destination", "to_stop")
+    days = F.explode(F.array(F.struct(F.date_sub("day", 1).alias("service_day"), F.lit(-DAY).alias("shift")), F.struct(F.col("day").alias("service_day"), F.lit(0).alias("shift")))).alias("d")
+    every = keep(calls(feed), "calls")
+    span = lambda x: F.col(x).cast("int")
+    low = F.greatest(F.coalesce(span("leave_from"), F.lit(0)), F.lit(0)) * 60
+    high = F.least(F.coalesce(span("leave_to"), F.lit(DAY // 60 - 1)), F.lit(DAY // 60 - 1)) * 60 + 59
+    wanted = requests.select("*", low.alias("low"), high.alias("high")).select("*", days).select("*", "d.*").drop("d").withColumns({"low": F.col("low") - F.col("shift"), "high": F.col("high") - F.col("shift")}).join(starts, "case")
+    a = every.select("service_day", "trip_id", F.col("stop_id").alias("from_stop"), "dep", F.col("seq").alias("from_seq"))
+    met = interval_join(wanted, a, ["service_day", "from_stop"], "low", "high", "dep", width * 60)
+    b = every.select("service_day", "trip_id", F.col("stop_id").alias("to_stop"), "arr", F.col("seq").alias("to_seq"))
+    rides = met.join(ends, "case").join(b, ["service_day", "trip_id", "to_stop"]).where("to_seq > from_seq AND arr >= dep")
+    rides = rides.withColumns({"departs": F.col("dep") + F.col("shift"), "arrives": F.col("arr") + F.col("shift")}).withColumn("duration", F.floor((F.col("arrives") - F.col("departs")) / 60).cast("int"))
+    comes = F.floor(F.col("arrives") / 60)
+    bound = F.col("come_from").isNotNull() | F.col("come_to").isNotNull()
+    in_time = ~bound | ((F.col("arrives") < DAY) & comes.between(F.coalesce("come_from", F.lit(0)), F.coalesce("come_to", F.lit(DAY // 60))))
+    rides = rides.where(in_time & F.coalesce(F.col("duration") <= F.col("longest"), F.lit(True)))
+    # of a trip's qualifying calls at the destination the first after each origin
+    origin = ["case", "service_day", "trip_id", "from_stop", "from_seq"]
+    rides = rides.groupBy(*origin).agg(F.min_by(F.struct("to_stop", "departs", "arrives", "duration", "wanted", "sort", "down"), "to_seq").alias("x")).select(*origin, "x.*")
+    key = F.when(F.col("sort") == "arrival_time", F.col("arrives")).when(F.col("sort") == "duration", F.col("duration")).otherwise(F.col("departs"))
+    ties = ("trip_id", "from_stop", "to_stop", "departs")
+    rank = lambda turn: F.row_number().over(Window.partitionBy("case").orderBy(*(turn(c) for c in ("sort_key", *ties))))
+    rides = rides.withColumn("sort_key", key).withColumn("rank", F.when(F.col("down"), rank(F.desc)).otherwise(rank(F.asc))).where("rank <= wanted")
+    results = rides.select("case", F.format_string("R%04d", "rank").alias("ref"), "trip_id", F.col("from_stop").alias("origin"), F.col("to_stop").alias("destination"), "departs", "arrives", "duration")
+    return starts, ends, keep(results, "rides")
+
+
+#: What a system may be expected to do instead of reading a timetable, and the parts of a request.
+NO_CALL = ["NO_PROVIDER_CALL", "NO_WRITE", "HOLD_MISSING_INFORMATION", "HOLD_UNRESOLVED_REFERENCE", "HOLD_TEMPORAL_CONFLICT", "HOLD_MULTI_GOAL_UNSUPPORTED", "HOLD_IF_UNSUPPORTED", "HOLD_IF_PRICE_UNAVAILABLE"]
+PARTS = ["origin", "destination", "travel_date", "time_constraints", "direct_only", "train_category", "max_duration_minutes", "limit", "sort"]
+
+
+def replay_flags(cases: DataFrame) -> DataFrame:
+    """Cases with `flags`: why a read of the timetable needs a reviewer.
+
+    A case has `expected` (what the system should do), and of the candidate's and the gold contract's search
+    `called`, `gold_called`, `request` and `gold_request` (structs of the parts of a request, null where held).
+    """
+    called, gold = F.coalesce(F.col("called"), F.lit(False)), F.coalesce(F.col("gold_called"), F.lit(False))
+    held = F.coalesce(F.col("expected").isin(NO_CALL), F.lit(False))
+    have = [p for p in PARTS if p in cases.schema["request"].dataType.names]
+    differ = F.array_compact(F.array(*(F.when(called & gold & ~F.col(f"request.{p}").eqNullSafe(F.col(f"gold_request.{p}")), f"provider_request_diff:{p}") for p in have)))
+    first = F.array_compact(F.array(F.when(called & held, "provider_called_for_expected_hold_or_no_action")))
+    flags = F.concat(first, differ)
+    alone = called & ~gold & (F.size(flags) == 0)
+    return cases.withColumn("flags", F.when(alone, F.array(F.lit("gold_holds_candidate_reads_needs_case_review"))).otherwise(flags))
+
+
+def slice_counters(cases: DataFrame) -> DataFrame:
+    """One row of counters over flagged cases, which also have status, json_valid, schema_valid, equal (canonical), equal_without_empty and permitted."""
+    n = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
+    named = {
+        "provider_called": F.col("called"),
+        "gold_provider_called": F.col("gold_called"),
+        "material_flagged_for_review": F.size("flags") > 0,
+        "false_hold_against_agent_gold": F.col("gold_called") & ~F.col("called"),
+        "called_when_explicit_no_call_expected": F.col("called") & F.col("expected").isin(NO_CALL),
+        "empty_optional_fields_equivalent": F.col("equal_without_empty"),
+        "json_valid": F.col("json_valid"),
+        "schema_valid": F.col("schema_valid"),
+        "canonical_exact_legacy": F.col("equal"),
+        "consequential_permission_true": F.col("permitted"),
+    }
+    states = ["READY_RESULTS", "HOLD", "HOLD_INCOMPLETE_COVERAGE", "NO_ACTION"]
+    return cases.agg(F.count("*").alias("cases"), *(n(c).alias(k) for k, c in named.items()), *(n(F.col("status") == s).alias(f"status_{s}") for s in states))
 
 
 def train_searches(cases: DataFrame, feed: Feed, *, first: str, last: str) -> tuple[DataFrame, DataFrame]:
@@ -70,28 +151,13 @@ def train_searches(cases: DataFrame, feed: Feed, *, first: str, last: str) -> tu
     day = F.col("r.day")
     codes = F.when(F.col("status") != "ACCEPT", F.col("guard_codes")).when(F.size("r.codes") > 0, F.col("r.codes")).when(~day.between(F.to_date(F.lit(first)), F.to_date(F.lit(last))), F.array(F.lit("HOLD_UNSUPPORTED_CONSTRAINT:travel_date_outside_feed_coverage"))).when(clock_change(day), F.array(F.lit("HOLD_UNSUPPORTED_CONSTRAINT:dst_transition_day_requires_explicit_schedule_handling"))).otherwise(F.array().cast("array<string>"))
     asked = keep(x.select("case", idle.alias("idle"), codes.alias("held"), *(F.col(f"r.{c}").alias(c) for c in ("origin", "destination", "day", "bounds", "direct", "longest", "wanted", "sort", "down"))), "searches")
-    names = stations(feed)
     open_ = asked.where("size(held) = 0 and not coalesce(idle, false)")
-    at = lambda name, stop: open_.select("case", F.col(name).alias("name")).join(names, "name").select("case", F.col("stop_id").alias(stop))
-    starts, ends = at("origin", "from_stop"), at("destination", "to_stop")
-    days = F.explode(F.array(F.struct(F.date_sub("day", 1).alias("service_day"), F.lit(-DAY).alias("shift")), F.struct(F.col("day").alias("service_day"), F.lit(0).alias("shift")))).alias("d")
-    every = calls(feed)
-    a = every.select("service_day", "trip_id", F.col("stop_id").alias("from_stop"), "dep", F.col("seq").alias("from_seq"))
-    b = every.select("service_day", "trip_id", F.col("stop_id").alias("to_stop"), "arr", F.col("seq").alias("to_seq"))
-    wanted = open_.select("case", days).select("case", "d.*").join(starts, "case")
-    rides = wanted.join(a, ["service_day", "from_stop"]).join(ends, "case").join(b, ["service_day", "trip_id", "to_stop"]).where("to_seq > from_seq AND arr >= dep")
-    rides = rides.withColumn("departs", F.col("dep") + F.col("shift")).withColumn("arrives", F.col("arr") + F.col("shift")).where(F.col("departs").between(0, DAY - 1))
-    rides = rides.join(open_.select("case", "bounds", "longest", "wanted", "sort", "down"), "case").withColumn("duration", F.floor((F.col("arrives") - F.col("departs")) / 60).cast("int"))
-    leaves, comes = F.floor(F.col("departs") / 60).cast("int"), F.floor(F.col("arrives") / 60).cast("int")
-    ok = F.forall("bounds", lambda q: F.when(q["role"] == "departure_time", _holds(leaves, q)).otherwise((F.col("arrives") < DAY) & _holds(comes, q)))
-    rides = rides.where(ok & F.coalesce(F.col("duration") <= F.col("longest"), F.lit(True)))
-    nearest = F.row_number().over(Window.partitionBy("case", "service_day", "trip_id", "from_seq").orderBy("to_seq"))
-    rides = rides.withColumn("k", nearest).where("k = 1")
-    key = F.when(F.col("sort") == "arrival_time", F.col("arrives")).when(F.col("sort") == "duration", F.col("duration")).otherwise(F.col("departs"))
-    ties = ("trip_id", "from_stop", "to_stop", "departs")
-    rank = lambda turn: F.row_number().over(Window.partitionBy("case").orderBy(*(turn(c) for c in ("sort_key", *ties))))
-    rides = rides.withColumn("sort_key", key).withColumn("rank", F.when(F.col("down"), rank(F.desc)).otherwise(rank(F.asc))).where("rank <= wanted")
-    results = keep(rides.select("case", F.format_string("R%04d", "rank").alias("ref"), "trip_id", F.col("from_stop").alias("origin"), F.col("to_stop").alias("destination"), "departs", "arrives", "duration"), "rides")
+    edge = F.transform("bounds", _minutes_of)
+    of = lambda role: F.filter(edge, lambda q: q["role"] == role)
+    low = lambda role: F.array_max(F.transform(of(role), lambda q: q["low"]))
+    high = lambda role: F.array_min(F.transform(of(role), lambda q: q["high"]))
+    requests = open_.select("case", "origin", "destination", "day", low("departure_time").alias("leave_from"), high("departure_time").alias("leave_to"), low("arrival_time").alias("come_from"), high("arrival_time").alias("come_to"), "longest", "wanted", "sort", "down")
+    starts, ends, results = search_requests(requests, feed)
     n = results.groupBy("case").agg(F.count("*").alias("n"))
     known = starts.select("case").distinct().join(ends.select("case").distinct(), "case").withColumn("placed", F.lit(True))
     out = asked.join(n, "case", "left").join(known, "case", "left")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.plans import contracts, conversations, corpus, curation, relational, requests, stateful  # noqa: F401  they register their queries
+from quillspark.plans import contracts, conversations, corpus, curation, relational, requests, stateful, travel  # noqa: F401  they register their queries
 from quillspark.plans.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]
