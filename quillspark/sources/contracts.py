@@ -8,6 +8,7 @@ dependencies, missing fields and policies are arrays within the row; as flat tab
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -23,12 +24,19 @@ modifiers: STRUCT<sort: STRUCT<field: STRING, direction: STRING>, limit: INT, co
 context: ARRAY<STRUCT<scope: STRING, {_FACT}>>>"""
 
 
+def once(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x) with x evaluated once a row, however often f names it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def kind_of(value: Column) -> Column:
     """The JSON kind of a VARIANT."""
-    name = F.schema_of_variant(value)
+    return F.when(value.isNotNull(), once(F.schema_of_variant(value), _kind))
+
+
+def _kind(name: Column) -> Column:
     return (
-        F.when(value.isNull(), None)
-        .when(name == "STRING", "s")
+        F.when(name == "STRING", "s")
         .when(name == "BOOLEAN", "b")
         .when(name == "VOID", "z")
         .when(name.rlike("^(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL)"), "n")
@@ -58,8 +66,7 @@ def _typed(c: Column) -> Column:
 
 def parsed(raw: Column) -> Column:
     """The contract of a JSON text, null for anything but an object."""
-    c = F.from_json(raw, CONTRACT)
-    return F.when(F.ltrim(raw).startswith("{") & c.isNotNull(), _typed(c))
+    return once(raw, lambda r: F.when(F.ltrim(r).startswith("{"), once(F.from_json(r, CONTRACT), lambda c: F.when(c.isNotNull(), _typed(c)))))
 
 
 def number(f: Column, name: str = "value") -> Column:
