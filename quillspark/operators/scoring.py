@@ -67,13 +67,43 @@ def gates(report: DataFrame, wanted: dict[str, float]) -> DataFrame:
     return x.select("gate", F.when(F.col("value").isNull(), "absent").when(F.col("value") == F.col("want"), "pass").otherwise("fail").alias("verdict"))
 
 
-def verdict(status: Column, correct: Column, label: Column) -> Column:
-    """Six-way outcome of a held or accepted plan against its review label."""
+#: The review label of a plan that must not run, and actions that only read.
+RISK = "clear_material_or_policy_risk"
+READING = ["find", "compare"]
+
+
+def verdict(ready: Column, exact: Column, risk: Column, read_only: Column, pending: Column) -> Column:
+    """Outcome of a replayed plan: a labelled risk decides first, then whether the prediction is exact."""
+    yes = lambda c: F.coalesce(c, F.lit(False))
     return (
-        F.when(label == "ambiguous_gold", "UNRESOLVED_GOLD")
-        .when(label == "ontology", "UNRESOLVED_ONTOLOGY")
-        .when((status == "READY") & correct, "CORRECT_ACCEPT")
-        .when(status == "READY", "FALSE_ACCEPT")
-        .when(correct, "FALSE_HOLD")
-        .otherwise("CORRECT_HOLD")
+        F.when(yes(risk == RISK), F.when(yes(ready), "FALSE_ACCEPT").otherwise("CORRECT_HOLD"))
+        .when(yes(exact) & yes(ready), "CORRECT_ACCEPT")
+        .when(yes(exact) & yes(read_only), "FALSE_HOLD")
+        .when(yes(exact), "CORRECT_HOLD")
+        .when(yes(pending), "UNRESOLVED_GOLD")
+        .otherwise("UNRESOLVED_ONTOLOGY")
     )
+
+
+def reads_only(c: Column) -> Column:
+    """Whether a contract 1.3 only reads: nothing to do, or goals that find or compare with nothing missing or conditional."""
+    free = lambda g: F.coalesce(g["action"].isin(READING), F.lit(False)) & (F.coalesce(F.size(g["missing"]), F.lit(0)) == 0) & g["condition"].isNull()
+    return (c["kind"] == "non_actionable") | F.forall(c["goals"], free)
+
+
+def replay_verdicts(gold: DataFrame, predictions: DataFrame, review: DataFrame, flagged: DataFrame) -> DataFrame:
+    """(case, verdict, ready, exact, label, pending): gold (case, c) and predictions (case, status, exact) of the same cases.
+
+    `review` holds (case, label) of reviewed risks, `flagged` the cases whose gold waits for a reviewer; both at
+    most once a case. Stops where gold and predictions hold different cases.
+    """
+    x = complete_pairs(gold.select("case", reads_only(F.col("c")).alias("read_only")), predictions.select("case", F.col("status").isin("READY_FOR_DRY_RUN", "NO_ACTION").alias("ready"), "exact"), "case")
+    x = x.join(review.select("case", "label"), "case", "left").join(flagged.select("case", F.lit(True).alias("pending")), "case", "left").na.fill(False, ["pending"])
+    return x.select("case", verdict(F.col("ready"), F.col("exact"), F.col("label"), F.col("read_only"), F.col("pending")).alias("verdict"), "ready", "exact", "label", "pending")
+
+
+def replay_totals(verdicts: DataFrame) -> DataFrame:
+    """One row: how many cases have each verdict, and how many clear risks were held or accepted."""
+    names = ["FALSE_ACCEPT", "CORRECT_HOLD", "CORRECT_ACCEPT", "FALSE_HOLD", "UNRESOLVED_GOLD", "UNRESOLVED_ONTOLOGY"]
+    clear = F.coalesce(F.col("label") == RISK, F.lit(False))
+    return verdicts.agg(F.count("*").alias("cases"), *(F.count_if(F.col("verdict") == v).alias(v.lower()) for v in names), F.count_if(clear & ~F.col("ready")).alias("clear_blocked"), F.count_if(clear & F.col("ready")).alias("clear_accepted"))

@@ -63,3 +63,31 @@ def turn_totals(scores: DataFrame, by: list[str]) -> DataFrame:
     accepted = F.coalesce(F.col("json_valid") & (F.col("state_status") != "STATE_REJECTED"), F.lit(False))
     sums = [F.sum(F.col(c).cast("long")).alias(c) for c in FLAGS + COUNTS]
     return scores.groupBy(*by).agg(F.count("*").alias("turns"), F.count_if("json_valid").alias("json_valid"), F.count_if(accepted).alias("schema_valid"), *sums)
+
+
+PROJECTED = ["actionable_correct", "false_action", "false_nonaction", "first_action_correct", "first_target_correct", "goal_count_correct", "ready_candidate", "ask_user", "discover_read_only", "unknown_capability"]
+SLOTS = ["slot_tp", "slot_gold", "slot_pred"]
+
+
+def projection_scores(cases: DataFrame, key: list[str]) -> DataFrame:
+    """Scores of a decision against a contract's projection: its first goal, its number of goals and its slot triples.
+
+    A case has `gold` (struct of task, action, target, goals, slots), `got` (struct of task, action, target, more
+    (further goals), slots; null where there is no valid decision) and `plan` (struct of ready, ask, discover, blocked; null
+    where none was made). Slots are arrays of any struct, compared as sets.
+    """
+    gold, got, plan = F.col("gold"), F.col("got"), F.col("plan")
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    wants, does = yes(gold["task"]), yes(got["task"])
+    first = F.coalesce(gold["goals"], F.lit(0)) > 0
+    proposed = F.when(does, 1 + F.coalesce(got["more"], F.lit(0))).otherwise(0)
+    wanted = F.when(first, F.array_distinct(gold["slots"]))
+    said = F.when(does, F.array_distinct(got["slots"]))
+    n = lambda a: F.coalesce(F.size(a), F.lit(0))
+    flags = [wants == does, does & ~wants, wants & ~does, first & does & got["action"].eqNullSafe(gold["action"]), first & does & got["target"].eqNullSafe(gold["target"]), proposed == F.coalesce(gold["goals"], F.lit(0)), yes(plan["ready"]), yes(plan["ask"]), yes(plan["discover"]), yes(plan["blocked"])]
+    return cases.select(*key, *(f.alias(c) for f, c in zip(flags, PROJECTED, strict=True)), n(F.array_intersect(wanted, said)).alias("slot_tp"), n(wanted).alias("slot_gold"), n(said).alias("slot_pred"))
+
+
+def projection_totals(scores: DataFrame, by: list[str]) -> DataFrame:
+    """Cases and sums of all flags and slot counts by panel."""
+    return scores.groupBy(*by).agg(F.count("*").alias("cases"), *(F.sum(F.col(c).cast("long")).alias(c) for c in PROJECTED + SLOTS))

@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from quillspark.operators.turns import COUNTS, FLAGS, turn_scores, turn_totals
+from quillspark.operators.references import looked_up, registered
+from quillspark.operators.turns import COUNTS, FLAGS, PROJECTED, SLOTS, projection_scores, projection_totals, turn_scores, turn_totals
 from quillspark.plans.base import query
 from quillspark.streaming.dialogue import replay_steps
 
@@ -75,3 +76,54 @@ def _(t):
 @query("turn_score_totals", f"WITH RECURSIVE t AS (WITH RECURSIVE {SCORES}) SELECT turn = 0 AS opening, count(*) AS turns, count(*) FILTER (WHERE json_valid) AS json_valid, count(*) FILTER (WHERE json_valid AND state_status <> 'STATE_REJECTED') AS schema_valid, {', '.join(f'sum({c}::INT)::BIGINT AS {c}' for c in FLAGS + COUNTS)} FROM t GROUP BY 1")
 def _(t):
     return turn_totals(_scored(t).withColumn("opening", F.col("turn") == 0), ["opening"])
+
+
+SHOWN = """v AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS turn, event_id, event_type, value FROM events),
+i AS (SELECT user_id, turn, i + 1 AS ordinal, 'r' || ((event_id * 7 + i) % 60) AS ref, floor(value + i % 2) AS price, (event_id + i) % 7 <> 0 AS fit FROM v, (SELECT unnest(range(0, 4)) AS i) WHERE event_type = 'view' AND i <= event_id % 4),
+w AS (SELECT *, CASE WHEN NOT fit THEN 'untrusted_or_unidentified' WHEN (turn, ordinal) > min(CASE WHEN fit THEN (turn, ordinal) END) OVER (PARTITION BY user_id, ref) THEN 'duplicate_identity' END AS why FROM i)"""
+
+
+def _turns(t):
+    """Events as turns of their user's conversation."""
+    from quillspark.operators.tables import ranked_within
+
+    return ranked_within(t("events").select("user_id", "ts", "event_id", "event_type", "value"), "user_id", ["ts", "event_id"], "turn")
+
+
+def _shown(turns: DataFrame) -> DataFrame:
+    item = lambda i: F.struct(F.concat(F.lit("r"), (F.col("event_id") * 7 + i) % 60).alias("ref"), F.floor(F.col("value") + i % 2).cast("double").alias("price"), ((F.col("event_id") + i) % 7 != 0).alias("trusted"))
+    lists = F.transform(F.sequence(F.lit(0), (F.col("event_id") % 4).cast("int")), item)
+    return registered(turns.where("event_type = 'view'").select(F.col("user_id").alias("conversation"), "turn", lists.alias("results")))
+
+
+@query("result_registration", f"WITH {SHOWN} SELECT user_id, turn, ordinal, ref, price, why FROM w")
+def _(t):
+    return _shown(_turns(t)).select(F.col("conversation").alias("user_id"), "turn", F.col("ordinal").cast("long").alias("ordinal"), "ref", "price", "why")
+
+
+@query("result_lookup", f"""WITH {SHOWN}, s AS (SELECT user_id, turn, count(*) AS n FROM w GROUP BY 1, 2), q AS (SELECT user_id, turn, event_type, 1 + event_id % 4 AS ordinal FROM v WHERE event_type IN ('click', 'purchase')),
+l AS (SELECT q.*, (SELECT max(turn) FROM s WHERE s.user_id = q.user_id AND s.turn < q.turn) AS shown FROM q),
+m AS (SELECT l.user_id, l.turn, l.event_type, l.ordinal, l.shown, min(CASE WHEN w.ordinal = l.ordinal THEN ref END) AS at_place, min(price) AS least FROM l LEFT JOIN w ON w.user_id = l.user_id AND w.turn = l.shown AND w.why IS NULL GROUP BY ALL),
+c AS (SELECT m.*, (SELECT CASE WHEN count(*) = 1 THEN min(ref) END FROM w WHERE w.user_id = m.user_id AND w.turn = m.shown AND w.why IS NULL AND w.price = m.least) AS cheapest FROM m)
+SELECT user_id, turn, CASE event_type WHEN 'click' THEN at_place ELSE cheapest END AS ref, CASE WHEN shown IS NULL THEN 'no_results' WHEN CASE event_type WHEN 'click' THEN at_place ELSE cheapest END IS NULL THEN 'not_uniquely_resolved' END AS why FROM c""")
+def _(t):
+    turns = _turns(t)
+    asked = turns.where("event_type in ('click', 'purchase')").select(F.col("user_id").alias("conversation"), "turn", F.when(F.col("event_type") == "click", "ordinal").otherwise("cheapest").alias("kind"), (1 + F.col("event_id") % 4).cast("int").alias("ordinal"))
+    return looked_up(asked, _shown(turns)).withColumnRenamed("conversation", "user_id")
+
+
+@query("projection_totals", f"""WITH x AS (SELECT l_orderkey AS o, l_returnflag AS f, l_quantity::INT % 7 AS v, l_linenumber AS ln FROM lineitem), s AS (SELECT o, list(DISTINCT (f, v)) FILTER (WHERE ln % 2 = 1) AS a, list(DISTINCT (f, v)) FILTER (WHERE ln % 2 = 0) AS b, count(*) FILTER (WHERE ln % 2 = 1) AS goals, count(*) FILTER (WHERE ln % 2 = 0) AS more FROM x GROUP BY 1),
+c AS (SELECT o_orderpriority AS panel, o % 9 <> 0 AS wants, o % 8 <> 0 AND o % 13 <> 0 AS does, CASE WHEN o % 9 = 0 THEN 0 ELSE goals END AS goals, more, o % 5 <> 0 AS same_action, o % 6 <> 0 AS same_target, o % 13 <> 0 AND o % 4 = 0 AS ready, o % 13 <> 0 AND o % 4 = 1 AS ask, o % 13 <> 0 AND o % 4 = 2 AS discover, o % 13 <> 0 AND o % 4 = 3 AS blocked, CASE WHEN o % 9 <> 0 THEN a ELSE [] END AS a, CASE WHEN o % 8 <> 0 AND o % 13 <> 0 THEN b ELSE [] END AS b FROM s JOIN orders ON o_orderkey = o)
+SELECT panel, count(*) AS cases, {', '.join(f'sum(({e})::INT)::BIGINT AS {c}' for c, e in zip(PROJECTED, ['wants = does', 'does AND NOT wants', 'wants AND NOT does', 'goals > 0 AND does AND same_action', 'goals > 0 AND does AND same_target', 'CASE WHEN does THEN 1 + more ELSE 0 END = goals', 'ready', 'ask', 'discover', 'blocked'], strict=True))},
+sum(CASE WHEN goals > 0 THEN len(list_intersect(a, coalesce(b, []))) ELSE 0 END)::BIGINT AS slot_tp, sum(CASE WHEN goals > 0 THEN len(a) ELSE 0 END)::BIGINT AS slot_gold, sum(len(coalesce(b, [])))::BIGINT AS slot_pred FROM c GROUP BY 1""")
+def _(t):
+    """Orders as cases: odd lines are what the contract wants, even ones what the decision says."""
+    o, fact = F.col("l_orderkey"), F.struct(F.col("l_returnflag").alias("field"), (F.col("l_quantity").cast("int") % 7).alias("value"))
+    odd = F.col("l_linenumber") % 2 == 1
+    s = t("lineitem").groupBy("l_orderkey").agg(F.collect_set(F.when(odd, fact)).alias("a"), F.collect_set(F.when(~odd, fact)).alias("b"), F.count_if(odd).alias("goals"), F.count_if(~odd).alias("more"))
+    wants, valid = o % 9 != 0, o % 13 != 0
+    gold = F.struct(wants.alias("task"), F.lit("find").alias("action"), F.lit("item").alias("target"), F.when(wants, F.col("goals")).otherwise(0).alias("goals"), F.col("a").alias("slots"))
+    got = F.struct((o % 8 != 0).alias("task"), F.when(o % 5 != 0, "find").alias("action"), F.when(o % 6 != 0, "item").alias("target"), F.col("more"), F.col("b").alias("slots"))
+    plan = F.struct(*((o % 4 == k).alias(c) for k, c in enumerate(("ready", "ask", "discover", "blocked"))))
+    cases = s.join(t("orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderpriority").alias("panel")), "l_orderkey").select("panel", gold.alias("gold"), F.when(valid, got).alias("got"), F.when(valid, plan).alias("plan"))
+    return projection_totals(projection_scores(cases, ["panel"]), ["panel"])

@@ -6,7 +6,7 @@ from pyspark.sql import Window, functions as F
 
 from quillspark.functions.text import digest, jaccard, normalize_text, short_id, token_set
 from quillspark.operators.components import components
-from quillspark.operators.similarity import near_anti_join, nearest, similar_across, similar_pairs
+from quillspark.operators.similarity import best_across, near_anti_join, nearest, pairs_between, similar_pairs
 from quillspark.plans.base import KEY, NORM, TOKENS, normalized, query, token_sets
 
 SPLIT = "CASE WHEN doc_id % 10 = 8 THEN 'valid' WHEN doc_id % 10 = 9 THEN 'test' ELSE 'train' END"
@@ -124,17 +124,15 @@ def _(t):
 
 @query("contamination_matrix", f"WITH {CROSS} SELECT x.split AS left_split, y.split AS right_split, count(*) AS pairs, count(DISTINCT s.a) AS left_rows FROM s JOIN split x ON x.doc_id = s.a JOIN split y ON y.doc_id = s.b WHERE x.split < y.split GROUP BY 1, 2")
 def _(t):
-    every = similar_pairs(token_sets(t("documents")), 85)
-    both = every.select("a", "b").unionByName(every.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    tagged = both.select("a", F.expr(SPLIT.replace("doc_id", "a")).alias("left_split"), F.expr(SPLIT.replace("doc_id", "b")).alias("right_split"))
-    return tagged.where("left_split < right_split").groupBy("left_split", "right_split").agg(F.count("*").alias("pairs"), F.countDistinct("a").alias("left_rows"))
+    sets = token_sets(t("documents")).withColumn("split", F.expr(SPLIT.replace("doc_id", "id")))
+    found = pairs_between(sets, "split", 85).where("left < right")
+    return found.select(F.col("left").alias("left_split"), F.col("right").alias("right_split"), "pairs", "left_rows")
 
 
 @query("best_across_splits", f"WITH {CROSS}, q AS (SELECT p.a, p.b, p.shared, na + nb - p.shared AS total FROM p JOIN split x ON x.doc_id = p.a JOIN split y ON y.doc_id = p.b WHERE x.split = 'test' AND y.split = 'train' AND p.shared * 100 >= (na + nb - p.shared) * 85), r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY shared::DOUBLE / total::DOUBLE DESC, b) AS rn FROM q) SELECT a AS doc_id, b AS other_id, shared, total FROM r WHERE rn = 1")
 def _(t):
     s = _splits(t)
-    best = F.max_by(F.struct("b", "shared", "total"), F.struct(F.col("shared") / F.col("total"), -F.col("b")))
-    return similar_across(s["test"], s["train"], 85).groupBy("a").agg(best.alias("x")).select(F.col("a").alias("doc_id"), F.col("x.b").alias("other_id"), F.col("x.shared").cast("long").alias("shared"), F.col("x.total").cast("long").alias("total"))
+    return best_across(s["test"], s["train"], 85).select(F.col("a").alias("doc_id"), F.col("b").alias("other_id"), F.col("shared").cast("long").alias("shared"), F.col("total").cast("long").alias("total"))
 
 
 @query("rarest_tokens", f"WITH {TOKENS}, df AS (SELECT token, count(*) AS df FROM sets GROUP BY 1), r AS (SELECT id, token, df, row_number() OVER (PARTITION BY id ORDER BY df, token) AS k FROM sets JOIN df USING (token)) SELECT id AS doc_id, k, token, df FROM r WHERE k <= 3")

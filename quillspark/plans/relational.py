@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, Window, functions as F
 
 from quillspark.operators import planner, requests, scoring, validate
+from quillspark.operators.asof import running_min
 from quillspark.operators.draws import first_of_groups, round_robin
 from quillspark.operators.matching import multiset_counts, rank_join, ratio, two_pass
 from quillspark.operators.splits import hash_order
@@ -79,8 +80,8 @@ def _(t):
 
 @query("running_best", "SELECT event_id, user_id, min(value) OVER w AS best, value = min(value) OVER w AS is_best FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)")
 def _(t):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return t("events").select("event_id", "user_id", F.min("value").over(w).alias("best"), (F.col("value") == F.min("value").over(w)).alias("is_best"))
+    x = running_min(t("events").select("event_id", "user_id", "ts", "value"), ["user_id"], ["ts", "event_id"], "value", "best")
+    return x.select("event_id", "user_id", "best", (F.col("value") == F.col("best")).alias("is_best"))
 
 
 @query("rise_detector", "SELECT event_id FROM (SELECT event_id, value, lag(value, 1) OVER w AS a, lag(value, 2) OVER w AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE value > a AND a > b")

@@ -1,3 +1,5 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -27,8 +29,35 @@ def test_comparisons_and_gates(spark):
     assert [tuple(x) for x in S.regressions(t, "tag", "at", "rate").collect()] == [("t", 0.9, 0.8)]
     got = {x.gate: x.verdict for x in S.gates(r.limit(1), {"rate": 0.9, "bad": 0, "none": 1}).collect()}
     assert got == {"rate": "pass", "bad": "fail", "none": "absent"}
-    v = spark.createDataFrame([("READY", True, None), ("READY", False, None), ("HOLD", True, None), ("HOLD", False, None), ("HOLD", True, "ontology")], "s string, c boolean, l string")
-    assert [x[0] for x in v.select(S.verdict(F.col("s"), F.col("c"), F.col("l"))).collect()] == ["CORRECT_ACCEPT", "FALSE_ACCEPT", "FALSE_HOLD", "CORRECT_HOLD", "UNRESOLVED_ONTOLOGY"]
+
+
+def test_replay_verdicts(spark):
+    import itertools
+
+    from quillspark.sources.contracts import parsed
+
+    def plain(ready, exact, label, read_only, pending):
+        if label == S.RISK:
+            return "FALSE_ACCEPT" if ready else "CORRECT_HOLD"
+        if exact:
+            return "CORRECT_ACCEPT" if ready else "FALSE_HOLD" if read_only else "CORRECT_HOLD"
+        return "UNRESOLVED_GOLD" if pending else "UNRESOLVED_ONTOLOGY"
+
+    goal = lambda action, **more: {"id": "g", "action": action, **more}
+    golds = [({"kind": "task", "goals": [goal("find"), goal("compare", missing=[])]}, True), ({"kind": "task", "goals": [goal("find"), goal("book")]}, False), ({"kind": "task", "goals": [goal("find", missing=[{"field": "x"}])]}, False), ({"kind": "task", "goals": [goal("find", condition={"goal": "g"})]}, False), ({"kind": "non_actionable", "goals": []}, True)]
+    cases = list(itertools.product(golds, ["READY_FOR_DRY_RUN", "NO_ACTION", "HOLD"], [True, False, None], [S.RISK, "style", None], [True, False]))
+    gold = spark.createDataFrame([(i, json.dumps(c[0][0])) for i, c in enumerate(cases)], "case int, raw string").select("case", parsed(F.col("raw")).alias("c"))
+    predictions = spark.createDataFrame([(i, c[1], c[2]) for i, c in enumerate(cases)], "case int, status string, exact boolean")
+    review = spark.createDataFrame([(i, c[3]) for i, c in enumerate(cases) if c[3]], "case int, label string")
+    flagged = spark.createDataFrame([(i,) for i, c in enumerate(cases) if c[4]], "case int")
+    out = S.replay_verdicts(gold, predictions, review, flagged)
+    want = {i: plain(c[1] != "HOLD", c[2], c[3], c[0][1], c[4]) for i, c in enumerate(cases)}
+    assert {r.case: r.verdict for r in out.collect()} == want
+    totals = S.replay_totals(out).first()
+    assert totals.cases == len(cases) and totals.false_hold == sum(v == "FALSE_HOLD" for v in want.values())
+    assert totals.clear_accepted == sum(v == "FALSE_ACCEPT" for v in want.values())
+    with pytest.raises(ValueError, match="one side"):
+        S.replay_verdicts(gold, predictions.where("case > 0"), review, flagged)
 
 
 def test_matching_equals_the_greedy_loop(spark):
