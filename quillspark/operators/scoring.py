@@ -107,3 +107,38 @@ def replay_totals(verdicts: DataFrame) -> DataFrame:
     names = ["FALSE_ACCEPT", "CORRECT_HOLD", "CORRECT_ACCEPT", "FALSE_HOLD", "UNRESOLVED_GOLD", "UNRESOLVED_ONTOLOGY"]
     clear = F.coalesce(F.col("label") == RISK, F.lit(False))
     return verdicts.agg(F.count("*").alias("cases"), *(F.count_if(F.col("verdict") == v).alias(v.lower()) for v in names), F.count_if(clear & ~F.col("ready")).alias("clear_blocked"), F.count_if(clear & F.col("ready")).alias("clear_accepted"))
+
+
+#: The label of accepted plans that matter, and how labels of doubt begin.
+ROUTING_RISK, UNCERTAIN, SURE = "material_or_routing_risk", "uncertain_", "exact_correct"
+
+
+def guard_table(verdicts: DataFrame, guard: str = "guard") -> DataFrame:
+    """A row for each guard over the verdicts (guard, status, exact, label) of the same cases.
+
+    What it accepts, reviews and rejects, its coverage, exact contracts that it holds and wrong ones that it
+    accepts, and by review label how many risks are accepted or held, doubtful ones accepted, right ones held.
+    """
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    accepted, exact, label = yes(F.col("status") == "ACCEPT"), yes(F.col("exact")), F.coalesce("label", F.lit(""))
+    n = F.count_if
+    return verdicts.groupBy(guard).agg(
+        n(accepted).alias("accept"),
+        n(F.col("status") == "REVIEW").alias("review"),
+        n(F.col("status") == "REJECT").alias("reject"),
+        (n(accepted) / F.count("*")).alias("coverage"),
+        n(accepted & ~exact).alias("accepted_exact_wrong"),
+        n(~accepted & exact).alias("exact_correct_held"),
+        n(accepted & (label == ROUTING_RISK)).alias("accepted_material_or_routing_risk"),
+        n(~accepted & (label == ROUTING_RISK)).alias("held_material_or_routing_risk"),
+        n(accepted & label.startswith(UNCERTAIN)).alias("accepted_uncertain"),
+        n(~accepted & (label == SURE)).alias("held_exact_correct"),
+    )
+
+
+def guard_changes(before: DataFrame, after: DataFrame, key: list[str]) -> DataFrame:
+    """(key, statuses and codes before and after) of cases that two guards judge differently."""
+    a = before.select(*key, F.col("status").alias("before"), F.col("codes").alias("before_codes"))
+    b = after.select(*key, F.col("status").alias("after"), F.col("codes").alias("after_codes"))
+    differ = ~(F.col("before").eqNullSafe(F.col("after")) & F.col("before_codes").eqNullSafe(F.col("after_codes")))
+    return a.join(b, key).where(differ)

@@ -8,6 +8,7 @@ from quillspark.operators import evidence as E
 from quillspark.operators import guards as G
 from quillspark.operators import reports as P
 from quillspark.operators import requests as Q
+from quillspark.operators import scoring as S
 from quillspark.operators.handoff import INTERFACE, handoff
 from quillspark.operators.planner import resolve_references
 from quillspark.operators.scoring import taxonomy
@@ -413,3 +414,43 @@ def _(t):
     decision = F.to_json(obj(protocol_version="conversation-v1", mode=F.when(first, "ACTIONABLE_GOAL").otherwise("CONTINUATION"), operation=F.when(first, "OPEN_DRAFT").otherwise("UPDATE_DRAFT"), action=F.when(first, "find"), target=F.when(first, target), updates=update))
     x = c.select(F.col("conv_id").cast("string").alias("conversation"), "turn", decision.alias("decision"), "text", F.lit(None).cast("date").alias("day"))
     return converse(x, [{"id": "find", "action": "find", "type": "place", "required": ["fact.location"]}])
+
+
+_ROUTED = f"""{LINES}, r AS (SELECT o, ln, q % 7 AS v, s = 1 AS off, CASE q % 7 WHEN 0 THEN 'professional_routing_mismatch' WHEN 1 THEN 'vehicle_routing_mismatch' WHEN 2 THEN 'appointment_routing_mismatch' WHEN 3 THEN 'notify_target_not_reminder' WHEN 4 THEN 'comparison_quantity_missing' WHEN 5 THEN 'departure_time_field_missing' ELSE 'arrival_time_field_missing' END AS code, q % 7 = 1 AND t > 0.06 AS hard, d <= 0.03 AS exact, CASE WHEN d > 0.07 THEN 'material_or_routing_risk' WHEN d > 0.05 THEN 'uncertain_gold' WHEN d <= 0.03 THEN 'exact_correct' END AS label FROM l),
+w AS (SELECT *, CASE WHEN hard THEN 'REJECT' ELSE 'ACCEPT' END AS before, CASE WHEN hard THEN 'REJECT' WHEN off THEN 'REVIEW' ELSE 'ACCEPT' END AS after FROM r)"""
+
+
+def routed_requests(t) -> DataFrame:
+    """(o, ln, raw, text, exact, label): contracts 1.2 whose targets are of another kind than their words where the supplier's key is odd."""
+    v, off = F.col("q") % 7, F.col("s") == 1
+    x = lines(t)
+    pick = lambda values, other: _text(v + 1, values, other)
+    wrong, right = pick(["person", "product", "place", "person", "place", "transport"], "transport"), pick(["professional_service", "vehicle", "appointment", "reminder", "place", "transport"], "transport")
+    hard = (v == 1) & (F.col("t") > 0.06)
+    # "@3" stands for the number 3, so that all values are of one type until they are JSON
+    item = lambda field, op, value, currency=None: obj(field=field, op=op, value=value, currency=F.lit(currency).cast("string"), strength="hard")
+    fact = F.when(v == 3, item("message", "eq", F.lit("ok"))).when(v == 4, item("quantity", "eq", F.when(off, "@2").otherwise("@3"))).when(hard, item("price", "lte", F.lit("@-5"), "EUR"))
+    goal = obj(id="g1", action=pick(["find", "rent", "cancel", "notify", "compare", "find"], "find"), target=obj(name=pick(["dentista", "scooter", "la visita", "promemoria", "bar", "treno"], "treno"), type=F.when(off, wrong).otherwise(right)), facts=F.array_compact(F.array(fact)))
+    raw = F.regexp_replace(F.to_json(obj(schema_version="1.2", kind="task", goals=F.array(goal))), r'"@(-?\d+)"', "$1")
+    said = F.when(v == 4, "confronta tre bar").when((v == 5) & off, "un treno che parte alle 9").when((v == 6) & off, "un treno che arriva alle 18").otherwise(pick(["dentista", "scooter", "annulla la visita", "ok", "", "un treno"], "un treno"))
+    label = F.when(F.col("d") > 0.07, S.ROUTING_RISK).when(F.col("d") > 0.05, "uncertain_gold").when(F.col("d") <= 0.03, S.SURE)
+    return x.select("o", "ln", raw.alias("raw"), said.alias("text"), (F.col("d") <= 0.03).alias("exact"), label.alias("label"))
+
+
+def _routed(t) -> tuple[DataFrame, DataFrame]:
+    x = keep(routed_requests(t), "routed")
+    return keep(G.guard_12(x), "guard-base"), keep(G.guard_12(x, routing=True), "guard-routing")
+
+
+@query("routing_guard_table", f"""WITH {_ROUTED}, u AS (SELECT 'base' AS guard, before AS status, exact, label FROM w UNION ALL SELECT 'routing', after, exact, label FROM w)
+SELECT guard, count(*) FILTER (WHERE status = 'ACCEPT') AS accept, count(*) FILTER (WHERE status = 'REVIEW') AS review, count(*) FILTER (WHERE status = 'REJECT') AS reject, count(*) FILTER (WHERE status = 'ACCEPT')::DOUBLE / count(*) AS coverage, count(*) FILTER (WHERE status = 'ACCEPT' AND NOT exact) AS accepted_exact_wrong, count(*) FILTER (WHERE status <> 'ACCEPT' AND exact) AS exact_correct_held,
+count(*) FILTER (WHERE status = 'ACCEPT' AND label = 'material_or_routing_risk') AS accepted_material_or_routing_risk, count(*) FILTER (WHERE status <> 'ACCEPT' AND label = 'material_or_routing_risk') AS held_material_or_routing_risk, count(*) FILTER (WHERE status = 'ACCEPT' AND label = 'uncertain_gold') AS accepted_uncertain, count(*) FILTER (WHERE status <> 'ACCEPT' AND label = 'exact_correct') AS held_exact_correct FROM u GROUP BY 1""")
+def _(t):
+    base, routing = _routed(t)
+    both = base.withColumn("guard", F.lit("base")).unionByName(routing.withColumn("guard", F.lit("routing")))
+    return S.guard_table(both)
+
+
+@query("routing_guard_changes", f"WITH {_ROUTED} SELECT o, ln, before, []::VARCHAR[] AS before_codes, after, [code] AS after_codes FROM w WHERE before <> after")
+def _(t):
+    return S.guard_changes(*_routed(t), ["o", "ln"])
