@@ -142,3 +142,14 @@ def guard_changes(before: DataFrame, after: DataFrame, key: list[str]) -> DataFr
     b = after.select(*key, F.col("status").alias("after"), F.col("codes").alias("after_codes"))
     differ = ~(F.col("before").eqNullSafe(F.col("after")) & F.col("before_codes").eqNullSafe(F.col("after_codes")))
     return a.join(b, key).where(differ)
+
+
+def release_rates(cases: DataFrame, flags: list[str]) -> DataFrame:
+    """One row: how many cases are right, the precision of those accepted, and for each flag its cases and how many are right.
+
+    A case has `accepted`, `exact` and the boolean flags (mandatory, gate, ...); rates of nothing are null.
+    """
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    share = lambda a, b: F.when(F.count_if(b) > 0, F.count_if(a & b) / F.count_if(b))
+    per = [x for f in flags for x in (F.count_if(yes(f)).alias(f"{f}_cases"), share(yes("exact"), yes(f)).alias(f"{f}_rate"))]
+    return cases.agg(F.count("*").alias("cases"), F.count_if(yes("exact")).alias("exact"), share(yes("exact"), yes("accepted")).alias("accepted_precision"), *per)

@@ -10,14 +10,17 @@ def hash_order(x: Column) -> Column:
     return F.md5(x.cast("string").cast("binary"))
 
 
-def grouped_split(rows: DataFrame, family: str, stratum: str, percent: int) -> DataFrame:
+def grouped_split(rows: DataFrame, family: str, stratum: str | list[str], percent: int) -> DataFrame:
     """The rows with a split: whole families go to 'valid', in hashed order, until a stratum has its share.
 
+    With several columns each combination of their values is a stratum.
+
     A family lies in the stratum of its largest number of rows (ties to the smaller name). Work is on
     one row a family; rows meet their family's split in one join.
     """
-    per = rows.groupBy(family, stratum).agg(F.count("*").alias("n"))
-    fam = per.groupBy(family).agg(F.sum("n").alias("n"), F.min_by(stratum, F.struct(-F.col("n"), F.col(stratum))).alias("home"))
+    columns = [stratum] if isinstance(stratum, str) else stratum
+    per = rows.groupBy(family, F.struct(*columns).alias("__stratum")).agg(F.count("*").alias("n"))
+    fam = per.groupBy(family).agg(F.sum("n").alias("n"), F.min_by("__stratum", F.struct(-F.col("n"), F.col("__stratum"))).alias("home"))
     w = Window.partitionBy("home").orderBy(hash_order(F.col(family)), family)
     before = F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
     total = F.sum("n").over(Window.partitionBy("home"))

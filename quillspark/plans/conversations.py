@@ -127,3 +127,20 @@ def _(t):
     plan = F.struct(*((o % 4 == k).alias(c) for k, c in enumerate(("ready", "ask", "discover", "blocked"))))
     cases = s.join(t("orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderpriority").alias("panel")), "l_orderkey").select("panel", gold.alias("gold"), F.when(valid, got).alias("got"), F.when(valid, plan).alias("plan"))
     return projection_totals(projection_scores(cases, ["panel"]), ["panel"])
+
+
+@query("mode_confusion", f"WITH {DECISIONS} SELECT mode AS gold_mode, CASE WHEN valid THEN p_mode END AS predicted_mode, count(*) AS n, count(*) FILTER (WHERE valid AND operation = p_operation) AS same_operation FROM p GROUP BY 1, 2")
+def _(t):
+    """Gold modes against predicted ones; a null predicted mode is an invalid decision."""
+    d = decisions(t("conversations"))
+    return d.groupBy(F.col("gold.mode").alias("gold_mode"), F.col("predicted.mode").alias("predicted_mode")).agg(F.count("*").alias("n"), F.count_if(F.col("gold.operation") == F.col("predicted.operation")).alias("same_operation"))
+
+
+@query("conversation_audit", f"""WITH {DECISIONS}, s AS (SELECT conv_id, count(*) AS turns, count(DISTINCT mode) AS modes, count(*) FILTER (WHERE mode = 'ACTIONABLE_GOAL') AS opened, bool_or(mode = 'CONFIRMATION') AS confirmed, bool_or(mode IN ('CANCELLATION', 'REJECTION')) AS ended, count(*) FILTER (WHERE NOT valid) AS invalid FROM p GROUP BY 1)
+SELECT turns, count(*) AS conversations, sum(modes)::BIGINT AS modes, sum(opened)::BIGINT AS opened, count(*) FILTER (WHERE opened > 1) AS reopened, count(*) FILTER (WHERE confirmed) AS confirmed, count(*) FILTER (WHERE ended) AS ended, count(*) FILTER (WHERE confirmed AND ended) AS confirmed_and_ended, sum(invalid)::BIGINT AS invalid_turns FROM s GROUP BY 1""")
+def _(t):
+    """Conversations by their number of turns: how many open, reopen, confirm and end drafts."""
+    d = decisions(t("conversations")).select("conv_id", F.col("gold.mode").alias("mode"), F.col("predicted").isNull().alias("invalid"))
+    is_ = lambda *m: F.col("mode").isin(*m)
+    s = d.groupBy("conv_id").agg(F.count("*").alias("turns"), F.countDistinct("mode").alias("modes"), F.count_if(is_("ACTIONABLE_GOAL")).alias("opened"), F.bool_or(is_("CONFIRMATION")).alias("confirmed"), F.bool_or(is_("CANCELLATION", "REJECTION")).alias("ended"), F.count_if("invalid").alias("invalid"))
+    return s.groupBy("turns").agg(F.count("*").alias("conversations"), F.sum("modes").alias("modes"), F.sum("opened").alias("opened"), F.count_if(F.col("opened") > 1).alias("reopened"), F.count_if("confirmed").alias("confirmed"), F.count_if("ended").alias("ended"), F.count_if(F.col("confirmed") & F.col("ended")).alias("confirmed_and_ended"), F.sum("invalid").alias("invalid_turns"))

@@ -88,3 +88,16 @@ def test_matching_equals_the_greedy_loop(spark):
         assert sorted(map(repr, got)) == sorted(map(repr, want))
     counts = multiset_counts(spark.createDataFrame([(1, "a"), (1, "a"), (1, "b")], "c int, k string"), spark.createDataFrame([(1, "a"), (1, "c")], "c int, k string"), ["c"], ["k"]).first()
     assert (counts.tp, counts.fp, counts.fn) == (1, 1, 2)
+
+
+def test_guard_tables_and_changes(spark):
+    rows = [("a", "ACCEPT", True, "exact_correct"), ("a", "ACCEPT", False, "material_or_routing_risk"), ("a", "REVIEW", True, "exact_correct"), ("a", "REJECT", False, "uncertain_gold"), ("a", "ACCEPT", None, "uncertain_gold"), ("b", "REVIEW", False, "material_or_routing_risk"), ("b", None, True, None)]
+    got = {r.guard: r for r in S.guard_table(spark.createDataFrame(rows, "guard string, status string, exact boolean, label string")).collect()}
+    a, b = got["a"], got["b"]
+    assert (a.accept, a.review, a.reject, a.coverage, a.accepted_exact_wrong, a.exact_correct_held) == (3, 1, 1, 0.6, 2, 1)
+    assert (a.accepted_material_or_routing_risk, a.held_material_or_routing_risk, a.accepted_uncertain, a.held_exact_correct) == (1, 0, 1, 1)
+    assert (b.accept, b.coverage, b.exact_correct_held, b.held_material_or_routing_risk) == (0, 0.0, 1, 1)
+    ddl = "id int, status string, codes array<string>"
+    before = spark.createDataFrame([(1, "ACCEPT", []), (2, "REVIEW", ["x"]), (3, "REVIEW", ["x"]), (4, None, None)], ddl)
+    after = spark.createDataFrame([(1, "REVIEW", ["r"]), (2, "REVIEW", ["x"]), (3, "REVIEW", ["x", "y"]), (4, None, None)], ddl)
+    assert {(r.id, r.before, r.after) for r in S.guard_changes(before, after, ["id"]).collect()} == {(1, "ACCEPT", "REVIEW"), (3, "REVIEW", "REVIEW")}
