@@ -108,13 +108,14 @@ def _(t):
     return release_rates(c, ["mandatory", "gate"])
 
 
-@query("metric_stream", """WITH w AS (SELECT event_type, time_bucket(INTERVAL 6 HOUR, ts) AS at, count(*) AS n, sum(value) AS total, max(value) AS most FROM events GROUP BY 1, 2), m AS (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 1 HOUR AS mark FROM events) SELECT event_type, at AS window_start, n, round(total, 4) AS total, most FROM w, m WHERE at + INTERVAL 6 HOUR <= mark""")
+@query("metric_stream", """WITH w AS (SELECT event_type, time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS began, count(*) AS n, sum(value) AS total, max(value) AS most FROM events GROUP BY 1, 2), m AS (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 1 HOUR AS mark FROM events) SELECT event_type, began AS window_start, n, round(total, 4) AS total, most FROM w, m WHERE began + INTERVAL 6 HOUR <= mark""")
 def _(t):
     """Events as a stream: windows of six hours, closed an hour behind the latest event, through the resumable sink."""
     events = t("events")
     spark, file = events.sparkSession, events.inputFiles()[0]
-    parent = file.rsplit("/", 1)[0]
-    stream = spark.readStream.schema(events.schema).parquet(parent if parent.endswith(".parquet") else file)
+    parent, name = file.rsplit("/", 1)
+    glob = "*" if parent.endswith(".parquet") else name  # a table is a folder of files, or a file
+    stream = spark.readStream.schema(events.schema).option("pathGlobFilter", glob).parquet(parent)
     windows = stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 hour").groupBy(F.window("ts", "6 hours").alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"), F.max("value").alias("most"))
     rows = windows.select("event_type", F.col("w.start").cast("timestamp_ntz").alias("window_start"), "n", F.round("total", 4).alias("total"), "most")
     path = folder(spark, "metrics")
