@@ -12,7 +12,7 @@ from quillspark.sources.gtfs import Feed
 from quillspark.streaming.dialogue import replay
 
 
-@query("json_extract_strict")
+@query("json_extract_strict", "SELECT event_id, CASE WHEN event_id % 5 <> 0 AND event_id % 7 <> 0 THEN replace(props, ' ', '') END AS json, CASE WHEN event_id % 5 = 0 THEN 'trailing_text' WHEN event_id % 7 = 0 THEN 'second_object' END AS code FROM events")
 def _(t):
     raw = F.when(F.col("event_id") % 5 == 0, F.concat("props", F.lit(" trailing"))).when(F.col("event_id") % 7 == 0, F.concat("props", "props")).otherwise(F.col("props"))
     return t("events").select("event_id", extract_json(raw).alias("x")).select("event_id", "x.json", "x.code")
