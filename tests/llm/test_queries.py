@@ -23,12 +23,28 @@ def test_query_equals_sql(spark, name):
     assert sorted(map(repr, (tuple(r) for r in got.select(*columns).collect()))) == sorted(map(repr, data))
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) - {"op11_cross_polytope"}))
 def test_query_runs(spark, name):
     documents = spark.read.parquet(f"{DATA}/documents.parquet").count()
     assert QUERIES[name](spark, str(DATA)).count() == documents
 
 
+def test_search_answers_each_query_in_full(spark):
+    rows = QUERIES["op11_cross_polytope"](spark, str(DATA)).collect()
+    vectors = {r.vec_id: r.embedding for r in spark.read.parquet(f"{DATA}/embeddings.parquet").collect()}
+    asked = [i for i in vectors if i % 20 == 0]
+    per = {i: sorted((r.rank, r.vec_id, r.score) for r in rows if r.query_id == i) for i in asked}
+    assert len(rows) == 20 * len(asked)
+    hits = 0
+    for i, found in per.items():
+        exact = {j: sum(a * b for a, b in zip(vectors[i], v, strict=True)) for j, v in vectors.items() if j != i}
+        best = sorted(exact, key=lambda j: (-exact[j], j))[:20]
+        assert [r for r, _, _ in found] == list(range(1, 21)) and all(abs(exact[j] - s) < 1e-12 for _, j, s in found)
+        assert [j for _, j, _ in found] == sorted((j for _, j, _ in found), key=lambda j: (-exact[j], j))
+        hits += len(set(best) & {j for _, j, _ in found})
+    assert hits >= 0.9 * len(rows)
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as pipeline
 
