@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from quillspark.functions.text import flat, plain
 from quillspark.operators import validate as V
 from quillspark.operators.validate import confirmed, counted, facts_of, fields_of, forbidden, has, missing_of, roles_of, times_of
-from quillspark.sources.contracts import listed, number, parsed
+from quillspark.sources.contracts import listed, number, once, parsed
 from quillspark.sources.shape import structure
 
 ACCEPT, REVIEW, REJECT = "ACCEPT", "REVIEW", "REJECT"
@@ -199,10 +199,14 @@ def limit_of(g: Column, name: str, want: Column) -> Column:
 
 def codes_12(c: Column, said: Column) -> Column:
     """The first guard's codes for a sound contract 1.2."""
-    text, goals = flat(said), c["goals"]
+    return once(flat(said), lambda text: _codes_12(c, text))
+
+
+def _codes_12(c: Column, text: Column) -> Column:
+    goals = c["goals"]
     some = lambda f: F.exists(goals, f)
     name = lambda g: flat(F.coalesce(g["target"]["name"], F.lit("")))
-    named = lambda g, names: F.exists(V.words(names), lambda w: F.contains(name(g), w))
+    named = lambda g, names: once(name(g), lambda n: F.exists(V.words(names), lambda w: F.contains(n, w)))
     lacks = lambda g, *slots: F.size(F.array_except(V.words(list(slots)), fields_of(g))) > 0
     money = lambda f: f["field"].isin(V.MONEY_FIELDS)
     facts = F.flatten(F.transform(goals, facts_of))
@@ -231,7 +235,10 @@ def codes_12(c: Column, said: Column) -> Column:
 
 def routing_12(c: Column, said: Column) -> Column:
     """Codes of the routing guard for a contract 1.2 that the first guard accepts."""
-    text = flat(said)
+    return once(flat(said), lambda text: _routing_12(c, text))
+
+
+def _routing_12(c: Column, text: Column) -> Column:
     asked = counted(text, COMPARE_SOME)
     table = F.create_map(*(F.lit(x) for kv in ROUTED.items() for x in kv))
 
@@ -471,10 +478,21 @@ def guard_12(cases: DataFrame, *, routing: bool = False) -> DataFrame:
     x = x.withColumn("__codes", F.array_sort(found))
     hard = F.col("__broken").isNotNull() | (F.size("__wrong") > 0) | _any(F.col("__codes"), "^(negative_money_value|nonpositive_price_ceiling)$")
     x = x.withColumn("__status", F.when(hard, REJECT).when(F.size("__codes") > 0, REVIEW).otherwise(ACCEPT))
-    if routing:
-        x = x.withColumn("__codes", F.when(F.col("__status") == ACCEPT, F.array_sort(routing_12(c, text))).otherwise(F.col("__codes")))
-        x = x.withColumn("__status", F.when((F.col("__status") == ACCEPT) & (F.size("__codes") > 0), REVIEW).otherwise(F.col("__status")))
-    return _out(x, cases)
+    out = _out(x, cases)
+    return with_routing(out) if routing else out
+
+
+def with_routing(judged: DataFrame) -> DataFrame:
+    """judged (raw, text, status, codes) by the guard of 1.2, after the routing guard's say on what that accepts.
+
+    Over a written table of verdicts only the routing rules are worked out.
+    """
+    said = F.coalesce(F.col("text"), F.lit(""))
+    own = F.when(F.col("status") == ACCEPT, once(parsed(F.col("raw")), lambda c: F.array_sort(routing_12(c, said))))
+    return judged.select(
+        *(F.col(c) for c in judged.columns if c not in ("status", "codes")),
+        once(F.struct(own.alias("own"), F.col("status"), F.col("codes")), lambda v: F.when(F.size(v["own"]) > 0, F.struct(F.lit(REVIEW).alias("status"), v["own"].alias("codes"))).otherwise(F.struct(v["status"].alias("status"), v["codes"].alias("codes")))).alias("__verdict"),
+    ).select(*(F.col(c) for c in judged.columns if c not in ("status", "codes")), "__verdict.status", "__verdict.codes")
 
 
 def guard_13(cases: DataFrame, *, layers: int = 5) -> DataFrame:

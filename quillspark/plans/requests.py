@@ -438,8 +438,8 @@ def routed_requests(t) -> DataFrame:
 
 
 def _routed(t) -> tuple[DataFrame, DataFrame]:
-    x = keep(routed_requests(t), "routed")
-    return keep(G.guard_12(x), "guard-base"), keep(G.guard_12(x, routing=True), "guard-routing")
+    base = keep(G.guard_12(keep(routed_requests(t), "routed")), "guard-base")
+    return base, G.with_routing(base)
 
 
 @query("routing_guard_table", f"""WITH {_ROUTED}, u AS (SELECT 'base' AS guard, before AS status, exact, label FROM w UNION ALL SELECT 'routing', after, exact, label FROM w)

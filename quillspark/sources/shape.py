@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from quillspark.sources.contracts import once
+
 #: Fixed values of the contract language.
 OPERATORS = ["eq", "neq", "lt", "lte", "gt", "gte", "contains", "excludes", "before", "after", "near", "within", "between", "in", "not_in"]
 ACTIONS_12 = ["find", "book", "buy", "compare", "contact", "rent", "monitor", "order", "hire", "cancel", "notify"]
@@ -63,22 +65,32 @@ _PATHS = "array<string>"
 
 
 def misfits(v: Column, shape: tuple, path: str = "$") -> Column:
-    """The paths below a VARIANT that break a shape; a path holds [] for any place of a list."""
-    kind, wrong, none = F.schema_of_variant(v), F.array(F.lit(path)), F.array().cast(_PATHS)
+    """The paths below a VARIANT that break a shape; a path holds [] for any place of a list.
+
+    A value and its keys are each made once: a column that is only named would be read again wherever it stands.
+    """
+    return once(v, lambda v: once(F.schema_of_variant(v), lambda kind: _misfits(v, kind, shape, path)))
+
+
+def _misfits(v: Column, kind: Column, shape: tuple, path: str) -> Column:
+    wrong, none = F.array(F.lit(path)), F.array().cast(_PATHS)
     if shape[0] == "object":
         _, keys, required, rule = shape
-        there = F.json_object_keys(F.to_json(v))
         names = F.array(*map(F.lit, keys))
-        parts = [
-            F.transform(F.array_except(there, names), lambda k: F.concat(F.lit(f"{path}."), k)),
-            F.transform(F.array_except(F.array(*map(F.lit, required)).cast(_PATHS), there), lambda k: F.concat(F.lit(f"{path}."), k)),
-            *(F.when(F.array_contains(there, F.lit(k)), misfits(F.try_variant_get(v, f"$.{k}", "variant"), s, f"{path}.{k}")).otherwise(none) for k, s in keys.items()),
-        ]
-        if rule == "one value":
-            parts.append(F.when(F.array_contains(there, F.lit("value")) == F.array_contains(there, F.lit("value_ref")), wrong).otherwise(none))
-        if rule == "some key":
-            parts.append(F.when(F.size(there) == 0, wrong).otherwise(none))
-        inside = F.when(kind.startswith("OBJECT"), F.concat(*parts)).otherwise(wrong)
+
+        def broken(there: Column) -> Column:
+            parts = [
+                F.transform(F.array_except(there, names), lambda k: F.concat(F.lit(f"{path}."), k)),
+                F.transform(F.array_except(F.array(*map(F.lit, required)).cast(_PATHS), there), lambda k: F.concat(F.lit(f"{path}."), k)),
+                *(F.when(F.array_contains(there, F.lit(k)), misfits(F.try_variant_get(v, f"$.{k}", "variant"), s, f"{path}.{k}")).otherwise(none) for k, s in keys.items()),
+            ]
+            if rule == "one value":
+                parts.append(F.when(F.array_contains(there, F.lit("value")) == F.array_contains(there, F.lit("value_ref")), wrong).otherwise(none))
+            if rule == "some key":
+                parts.append(F.when(F.size(there) == 0, wrong).otherwise(none))
+            return F.concat(*parts)
+
+        inside = F.when(kind.startswith("OBJECT"), once(F.json_object_keys(F.to_json(v)), broken)).otherwise(wrong)
         return F.when(kind == "VOID", none).otherwise(inside) if rule == "maybe" else inside
     if shape[0] == "list":
         _, of, least, distinct = shape
@@ -112,9 +124,12 @@ def misfits(v: Column, shape: tuple, path: str = "$") -> Column:
 
 def structure(raw: Column) -> Column:
     """The paths at which a contract's JSON breaks the shape of its version; null where there is no such version."""
-    v = F.try_parse_json(raw)
-    version = F.try_variant_get(v, "$.schema_version", "string")
-    out = F.lit(None).cast(_PATHS)
-    for name, shape in SHAPES.items():
-        out = F.when(version == name, misfits(v, shape)).otherwise(out)
-    return F.when(F.schema_of_variant(v).startswith("OBJECT"), out)
+
+    def found(v: Column) -> Column:
+        version = F.try_variant_get(v, "$.schema_version", "string")
+        out = F.lit(None).cast(_PATHS)
+        for name, shape in SHAPES.items():
+            out = F.when(version == name, misfits(v, shape)).otherwise(out)
+        return F.when(F.schema_of_variant(v).startswith("OBJECT"), out)
+
+    return once(F.try_parse_json(raw), found)
