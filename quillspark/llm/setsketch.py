@@ -13,8 +13,9 @@ of two sketches is the sketch of the union, and equal registers are likelier the
 4. Where a bucket still holds several components, those outside its commonest one are its outsiders. While
    comparing all of them would be much work and it helps, an outsider becomes the next star's centre.
    Then each chunk of outsiders meets each chunk of its bucket's members: an inverted index of the full
-   sets counts what an outsider shares with members of other components. This gives links, not pairs,
-   grows with the outsiders alone, and no link in a bucket is lost to the stars.
+   sets counts what an outsider shares with members of other components. Components that meet are one
+   from then on in the unit, so a unit gives fewer links than it has rows, and no connection in a bucket
+   is lost to the stars. A chunk holds at most `chunk` classes and about `mass` shingles.
 
 A link is missed only where no band matches; the number of bands keeps that under `miss` at the
 threshold (20 bands of 4 registers at 0.85).
@@ -150,7 +151,7 @@ def _units(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Ta
 
 
 def _across(unit: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows (i, j) of a unit, i an outsider, that link two components; one link for each outsider and component."""
+    """Rows (i, j) of a unit, i an outsider, whose links join its components: as few as that takes, whatever their pairs."""
     own = [K.unpack_sorted(x.as_py())[0] for x in unit["words"]]
     n = np.array([len(x) for x in own])
     c = np.unique(unit["c"].to_numpy(), return_inverse=True)[1]
@@ -168,13 +169,14 @@ def _across(unit: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
         both = np.bincount(posting[K.ranges(begin[at], begin[at + 1] - begin[at])], minlength=len(own))
         hit = np.flatnonzero((c != c[i]) & (both * 100 >= percent * (n + n[i] - both)) & (both > 0))
         if len(hit):
-            hit = hit[np.unique(c[hit], return_index=True)[1]]
-            a.append(np.full(len(hit), i))
-            b.append(hit)
+            met, first = np.unique(c[hit], return_index=True)
+            a.append(np.full(len(hit[first]), i))
+            b.append(hit[first])
+            c[np.isin(c, met)] = c[i]
     return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, size: int = 5, rows: int = 4, miss: float = 4e-7, chunk: int = 256) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, size: int = 5, rows: int = 4, miss: float = 4e-7, chunk: int = 1024, mass: int = 1 << 20) -> DataFrame:
     """Per document: id, n_shingles, component_id (smallest id reachable over links) and kept.
 
     Two documents are linked where 100 * |intersection| >= percent * |union| on their full sets.
@@ -223,7 +225,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     classes = some.groupBy(*same).agg(first, F.first("regs").alias("regs"), F.first("bands").alias("bands"))
     classes = shared.keep(classes.withColumn("rep", F.monotonically_increasing_id()), "near-classes")
 
-    placed = classes.select("rep", F.explode("bands").alias("band"))
+    placed = classes.select("rep", "n", F.explode("bands").alias("band"))
     pivots = placed.groupBy("band").agg(F.min("rep").alias("pivot"), F.count("*").alias("members")).where("members > 1")
     pivots = shared.keep(pivots, "near-pivots")
     hot_bands = shared.hot_of(pivots, ["band"], "members", classes.count() * bands)
@@ -274,19 +276,22 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     def mixed_buckets(labels: DataFrame) -> tuple[DataFrame, DataFrame, tuple[int, int]]:
         """Members with their components; buckets of several, with the commonest; (outsiders, units' rows)."""
-        tagged = members.select("band", "rep").join(labels, members["rep"] == labels["node"], "left").select("band", "rep", F.coalesce("component", "rep").alias("c"))
+        tagged = members.select("band", "rep", "n").join(labels, members["rep"] == labels["node"], "left").select("band", "rep", "n", F.coalesce("component", "rep").alias("c"))
         tagged = shared.keep(tagged, "near-tagged")
-        sizes = tagged.groupBy("band", "c").agg(F.count("*").alias("n"))
-        top = sizes.groupBy("band").agg(F.max(F.struct("n", "c")).alias("top"), F.sum("n").alias("members"), F.count("*").alias("parts")).where("parts > 1")
-        mixed = shared.keep(top.select("band", F.col("top.c").alias("common"), "members", (F.col("members") - F.col("top.n")).alias("outside")), "near-mixed")
-        least = mixed.agg(F.sum("outside").alias("u"), F.sum(F.ceil(F.col("outside") / chunk) * F.col("members") + F.ceil(F.col("members") / chunk) * F.col("outside")).alias("w")).first()
+        sizes = tagged.groupBy("band", "c").agg(F.count("*").alias("n"), F.sum("n").alias("mass"))
+        top = sizes.groupBy("band").agg(F.max(F.struct("n", "c", "mass")).alias("top"), F.sum("n").alias("members"), F.sum("mass").alias("mass"), F.count("*").alias("parts")).where("parts > 1")
+        cuts = lambda n, of: F.greatest(F.ceil(n / chunk), F.ceil(of / mass)).cast("int")
+        outside = F.col("members") - F.col("top.n")
+        mixed = top.select("band", F.col("top.c").alias("common"), "members", outside.alias("outside"), cuts(outside, F.col("mass") - F.col("top.mass")).alias("queries"), cuts(F.col("members"), F.col("mass")).alias("cut"))
+        mixed = shared.keep(mixed, "near-mixed")
+        least = mixed.agg(F.sum("outside").alias("u"), F.sum(F.col("queries") * F.col("members") + F.col("cut") * F.col("outside")).alias("w")).first()
         return tagged, mixed, (least.u or 0, least.w or 0)
 
     links = linked(members.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")))
     labels = components(links, shared.keep)
     tagged, mixed, (outside, work) = mixed_buckets(labels)
     many, turn = members.count(), 0
-    while work > 4 * many:
+    while work > many:
         turn += 1
         there = shared.spread_join(tagged, mixed, ["band"], hot_bands, ["rep"])
         centres = there.where("c <> common").groupBy("band").agg(F.min_by(F.struct("rep", "c"), F.xxhash64("rep", F.lit(turn))).alias("p")).select("band", F.col("p.rep").alias("a"), F.col("p.c").alias("ac"))
@@ -299,7 +304,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             break
     if work:
         there = shared.spread_join(tagged, mixed, ["band"], hot_bands, ["rep"])
-        queries, parts = (F.ceil(F.col(x) / chunk).cast("int") for x in ("outside", "members"))
+        queries, parts = F.col("queries"), F.col("cut")
         asks = there.where("c <> common").select("band", "rep", "c", F.lit(True).alias("outside"), F.pmod(F.xxhash64("rep", "band"), queries).cast("int").alias("q"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("p"))
         held = there.select("band", "rep", "c", F.lit(False).alias("outside"), F.explode(F.sequence(F.lit(0), queries - 1)).alias("q"), F.pmod(F.xxhash64("rep", "band", F.lit(1)), parts).cast("int").alias("p"))
         rest = shared.keep(asks.unionByName(held), "near-rest")

@@ -2,10 +2,12 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from quillspark.llm import kernel as K
 from quillspark.llm.rotacode import near_vectors, shape_for
-from quillspark.llm.setsketch import near_duplicates, plausible, registers
+from quillspark.llm.setsketch import _across, near_duplicates, plausible, registers
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -116,3 +118,14 @@ def test_near_vectors_of_nothing(spark):
     assert near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
     bits, bands = shape_for(1, 0.98, 1e-5)
     assert bits >= 10 and bands >= 1
+
+
+def test_links_of_a_unit_are_fewer_than_its_rows():
+    # 40 sets that are all alike, each a component of its own: every pair of them is a link
+    own = [np.arange(1, 101, dtype=np.uint64)] * 40
+    rows = [(i, outside) for outside in (True, False) for i in range(40)]
+    unit = pa.table({"c": [i for i, _ in rows], "outside": [x for _, x in rows], "words": [K.pack_sorted(own[i]) for i, _ in rows]})
+    a, b = _across(unit, 85)
+    links = [(rows[i][0], rows[j][0]) for i, j in zip(a.tolist(), b.tolist(), strict=True)]
+    assert len(links) == 39
+    assert set(components(range(40), links).values()) == {0}
