@@ -16,6 +16,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from quillspark.operators.splits import hash_order
 
 
+#: Bytes of rows that a worker gathers before it cuts them.
+HELD_BYTES = 16 << 20
+
+
 class ShortDraw(ValueError):
     """A category or tag has fewer rows than are wanted."""
 
@@ -34,6 +38,19 @@ def _least(table: pa.Table, group: list[str], order: list[str], k: str) -> pa.Ta
     return table.filter(pa.array(place < table[k].to_numpy()))
 
 
+def _least_of(batches: Iterator[pa.RecordBatch], group: list[str], order: list[str], k: str) -> Iterator[pa.RecordBatch]:
+    """The first rows of each group of all batches; what is held is cut when its rows or bytes have twice passed what must stay."""
+    held, rows_kept, bytes_kept = None, 0, 0
+    for batch in batches:
+        new = pa.Table.from_batches([batch])
+        held = new if held is None else pa.concat_tables([held, new])
+        if held.num_rows > 2 * rows_kept + 20_000 or held.nbytes > 2 * bytes_kept + HELD_BYTES:
+            held = _least(held, group, order, k)
+            rows_kept, bytes_kept = held.num_rows, held.nbytes
+    if held is not None:
+        yield from _least(held, group, order, k).to_batches()
+
+
 def first_of_groups(rows: DataFrame, group: list[str], order: list[str], k: int | Column, *, deals: int = 16) -> DataFrame:
     """The first k rows of each group in ascending order (nulls first); k may be a column that a group's rows share.
 
@@ -43,15 +60,7 @@ def first_of_groups(rows: DataFrame, group: list[str], order: list[str], k: int
     schema = rows.schema
 
     def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, least_held = None, 0
-        for batch in batches:
-            new = pa.Table.from_batches([batch])
-            held = new if held is None else pa.concat_tables([held, new])
-            if held.num_rows > 2 * least_held + 20_000:
-                held = _least(held, group, order, "__k")
-                least_held = held.num_rows
-        if held is not None:
-            yield from _least(held, group, order, "__k").to_batches()
+        return _least_of(batches, group, order, "__k")
 
     part = rows.mapInArrow(least, schema)
     dealt = part.repartition(*group, F.pmod(F.xxhash64(*order), F.lit(deals))).mapInArrow(least, schema)

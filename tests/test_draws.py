@@ -95,3 +95,18 @@ def test_dev_panel_is_that_of_plain_python(spark):
         dev_panel(df, "text", "tags", ["gate", "absent"], 20)
     with pytest.raises(ShortDraw, match="801 of 802"):
         dev_panel(df, "text", "tags", ["gate"], 802)
+
+
+def test_what_a_task_holds_is_bounded_by_bytes(monkeypatch):
+    """60,000 rows of 5,000 letters, two of each group wanted: rows are cut long before 20,000 of them are held."""
+    import pyarrow as pa
+
+    from quillspark.operators import draws
+
+    held = []
+    cut = draws._least
+    monkeypatch.setattr(draws, "_least", lambda table, *a: held.append(table.nbytes) or cut(table, *a))
+    rows = lambda at: pa.RecordBatch.from_pydict({"g": [i % 3 for i in range(at, at + 500)], "o": [-i for i in range(at, at + 500)], "t": ["x" * 5000] * 500, "k": [2] * 500})
+    got = pa.Table.from_batches(draws._least_of((rows(at) for at in range(0, 60_000, 500)), ["g"], ["o"], "k"))
+    assert sorted(got["o"].to_pylist()) == [-59_999, -59_998, -59_997, -59_996, -59_995, -59_994]
+    assert max(held) < 24 << 20
