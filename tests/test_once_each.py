@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
-from quillspark.operators.tables import for_kinds, once_each
+from quillspark.operators.scoring import rates
+from quillspark.operators.tables import counted, for_kinds, once_each
 
 
 def requests(spark, n, kinds):
@@ -29,3 +30,31 @@ def test_rows_of_a_case_stand_for_its_kind(spark):
         want = sorted(map(tuple, f(x).collect()), key=repr)
         for few in (20_000, 0):
             assert sorted(map(tuple, for_kinds(x, ["raw"], f, few).collect()), key=repr) == want
+
+
+def test_totals_ask_each_value_once_and_join_nothing_back(spark):
+    asked = spark.sparkContext.accumulator(0)
+
+    def f(x):
+        one = F.udf(lambda raw: asked.add(1) or int(raw or 0), "long")
+        return x.withColumn("hit", one("raw"))
+
+    for n, kinds in ((3000, 10), (20, 40)):
+        x, before = requests(spark, n, kinds), asked.value
+        (got,) = rates(counted(x, ["raw"], f), [], {"rate": ("hit", ["hit"])}, weight="weight").select("n", "hit").collect()
+        assert asked.value - before == min(n, kinds)
+        assert tuple(got) == (n, sum(i % kinds for i in range(n)))
+    none = rates(counted(requests(spark, 0, 10), ["raw"], f), [], {"rate": ("hit", ["hit"])}, weight="weight")
+    assert none.first().n == 0
+
+
+def test_rates_of_contracts_score_each_pair_once(spark, tmp_path, monkeypatch):
+    from quillspark.operators import requests as Q
+    from quillspark.plans.catalog import QUERIES
+
+    columns = "l_orderkey long, l_linenumber int, l_quantity double, l_discount double, l_tax double, l_suppkey long"
+    spark.createDataFrame([(o, ln, float(ln), 0.0, 0.0, 1) for o in range(50) for ln in range(1, 3 + o % 2)], columns).write.parquet(str(tmp_path / "lineitem.parquet"))
+    asked = []
+    monkeypatch.setattr(Q, "score_12", lambda x: asked.append(x.count()) or x.select("weight", F.lit(True).alias("schema_valid"), *(F.lit(1).alias(c) for c in Q.C.COUNTERS_12)))
+    assert QUERIES["contract_rates_12"](spark, str(tmp_path)).first().n == 50
+    assert asked == [2]
