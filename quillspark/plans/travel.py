@@ -78,6 +78,6 @@ def _(t):
     """The feed is written as archives and read back by the data source, one day of it."""
     feed = feed_of(t)
     path = folder(feed.stops.sparkSession, "feed")
-    archives = write_feed(feed, path, 4)
+    archives = write_feed(feed, path)
     back = read_feed(feed.stops.sparkSession, path, sha256="{" + ", ".join(f'"{r.feed}": "{r.sha256}"' for r in archives.collect()) + "}", first=DAYS[1], last=DAYS[1])
     return calls(back).groupBy(F.col("route_short_name").alias("route"), F.col("service_day").cast("string").alias("service_day")).agg(F.count("*").alias("calls"), F.countDistinct("trip_id").alias("trips"), F.min("dep").cast("long").alias("first"), F.max("dep").cast("long").alias("last"))

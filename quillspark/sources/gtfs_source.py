@@ -17,6 +17,7 @@ import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.csv as csv
@@ -111,7 +112,7 @@ class GtfsReader(DataSourceReader):
             for batch in reader:
                 empty = pa.array([""] * batch.num_rows)
                 columns = [batch.column(names.index(c)) if c in names else empty for c in COLUMNS[table]]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(range(at + 1, at + 1 + batch.num_rows), pa.int64())], [*COLUMNS[table], "line"])
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.arange(at + 1, at + 1 + batch.num_rows))], [*COLUMNS[table], "line"])
                 at += batch.num_rows
 
     def running(self, z: zipfile.ZipFile) -> tuple[set, set] | None:
@@ -141,10 +142,11 @@ class GtfsReader(DataSourceReader):
                             batch = batch.filter(pc.is_in(x, pa.array(f.value, pa.string())))
                         elif not isinstance(f, IsNotNull):
                             batch = batch.filter(_COMPARED[type(f)](x, pa.scalar(f.value, pa.string())))
+                    # looked up in a set: is_in would hash all of an archive's trips again for each batch
                     if running and self.table in ("trips", "calendar_dates"):
-                        batch = batch.filter(pc.is_in(batch.column("service_id"), pa.array(list(running[0]), pa.string())))
+                        batch = batch.filter(pa.array([x in running[0] for x in batch.column("service_id").to_pylist()], pa.bool_()))
                     if running and self.table == "stop_times":
-                        batch = batch.filter(pc.is_in(batch.column("trip_id"), pa.array(list(running[1]), pa.string())))
+                        batch = batch.filter(pa.array([x in running[1] for x in batch.column("trip_id").to_pylist()], pa.bool_()))
                     if running and self.table == "calendar_dates":
                         first, last = ((d or e).replace("-", "") for d, e in zip(self.days, ("00000000", "99999999"), strict=True))
                         batch = batch.filter(pc.and_(pc.greater_equal(batch.column("date"), first), pc.less_equal(batch.column("date"), last)))
@@ -190,13 +192,16 @@ def read_feed(spark: SparkSession, path: str, *, sha256: str | None = None, firs
     return Feed(**out)
 
 
-def write_feed(feed: Feed, path: str, parts: int) -> DataFrame:
+def write_feed(feed: Feed, path: str, parts: int | None = None, each: int = 250_000) -> DataFrame:
     """Archives part-0000.zip and so on under a path that all executors share; (feed, sha256, rows) of each.
 
+    Without `parts` there is an archive for each `each` trips and calls, four at least, so that a task's share doesn't grow.
     Trips and their calls are dealt by trip, the other tables are in each archive. A task writes one archive
     as a stream of sorted rows, under a name of its own until it is whole.
     """
     spark = feed.stops.sparkSession
+    if parts is None:
+        parts = max(4, -(-(feed.trips.count() + feed.stop_times.count()) // each))
     every = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
     one = F.pmod(F.xxhash64("trip_id"), F.lit(parts)).cast("int")
     quoted = lambda c: F.when(F.col(c).rlike('[",\n\r]'), F.concat(F.lit('"'), F.replace(F.col(c), F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(F.coalesce(F.col(c), F.lit("")))
@@ -226,7 +231,12 @@ def write_feed(feed: Feed, path: str, parts: int) -> DataFrame:
             done.append((feed_name(final), digest.hexdigest(), count))
 
         for batch in batches:
-            for part, table, row in zip(*(batch.column(c).to_pylist() for c in ("part", "table", "row")), strict=True):
+            of, kinds, texts = batch.column("part").to_numpy(), batch.column("table").to_numpy(), batch.column("row")
+            if not len(of):
+                continue
+            starts = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (kinds[1:] != kinds[:-1])]))
+            for start, stop in zip(starts.tolist(), [*starts[1:].tolist(), len(of)], strict=True):
+                part, table, run = int(of[start]), int(kinds[start]), texts.slice(start, stop - start).to_pylist()
                 if now is None or part != now[0]:
                     if now is not None:
                         end()
@@ -243,12 +253,13 @@ def write_feed(feed: Feed, path: str, parts: int) -> DataFrame:
                     member = z.open(f"{names[table]}.txt", "w")
                     member.write((",".join(COLUMNS[names[table]]) + "\n").encode())
                     now = (part, table)
-                member.write((row + "\n").encode())
-                count += 1
+                member.write(("\n".join(run) + "\n").encode())
+                count += len(run)
         if now is not None:
             end()
         yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], ["feed", "sha256", "rows"])
 
-    dealt = lines.repartition(parts, "part").sortWithinPartitions("part", "table", "row")
+    # by number: hashed, several archives would fall to one task
+    dealt = lines.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "table", "row")
     made = dealt.mapInArrow(write, "feed string, sha256 string, rows long").collect()  # a row an archive
     return spark.createDataFrame(made, "feed string, sha256 string, rows long")

@@ -68,6 +68,10 @@ def test_archives_come_back_as_written(spark, tmp_path):
         want = rows(getattr(feed, name))
         assert rows(getattr(back, name).distinct()) == sorted(set(want)), name
     assert sorted(p.name for p in (tmp_path / "out").iterdir()) == [f"part-{k:04d}.zip" for k in range(5)]
+    # without a number the archives grow with the trips and calls, and none is without rows of its own
+    many = write_feed(feed, str(tmp_path / "many"), each=25).collect()
+    assert len(many) == 8 and sum(r.rows for r in many) == 40 + 160 + 8 * (9 + 2 + 3)
+    assert rows(read_feed(spark, str(tmp_path / "many")).stop_times) == rows(times)
 
 
 def test_a_member_without_rows_or_columns(tmp_path):
