@@ -101,3 +101,11 @@ def test_guard_tables_and_changes(spark):
     before = spark.createDataFrame([(1, "ACCEPT", []), (2, "REVIEW", ["x"]), (3, "REVIEW", ["x"]), (4, None, None)], ddl)
     after = spark.createDataFrame([(1, "REVIEW", ["r"]), (2, "REVIEW", ["x"]), (3, "REVIEW", ["x", "y"]), (4, None, None)], ddl)
     assert {(r.id, r.before, r.after) for r in S.guard_changes(before, after, ["id"]).collect()} == {(1, "ACCEPT", "REVIEW"), (3, "REVIEW", "REVIEW")}
+
+
+def test_multisets_are_counted_in_bounded_tasks(spark):
+    rows = lambda items: spark.createDataFrame(items, "c int, k string")
+    counts = multiset_counts(rows([(1, "a"), (1, None), (None, "x")]), rows([(1, "a"), (1, None), (None, "x")]), ["c"], ["k"], each=1)
+    assert {tuple(r) for r in counts.collect()} == {(1, 1, 1, 1), (None, 0, 1, 1)}
+    many = multiset_counts(rows([(i, "a") for i in range(40)]), rows([(i, "b") for i in range(40)]), ["c"], ["k"], each=5)
+    assert "hashpartitioning(c#" in (plan := many._jdf.queryExecution().executedPlan().toString()) and ", 16)" in plan and "Join" not in plan
