@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, functions as F
 
 
@@ -56,14 +56,22 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(both / (F.size(a) + F.size(b) - both))
 
 
-def _fold(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for s in batches:
-        yield s.map(lambda x: None if x is None else " ".join(unicodedata.normalize("NFKC", x).casefold().split()))
+def _folded_text(x: str | None) -> str | None:
+    return None if x is None else " ".join((x.lower() if x.isascii() else unicodedata.normalize("NFKC", x).casefold()).split())
+
+
+def _fold(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """A batch's texts become Python strings a run of 64 at a time; all else stays packed."""
+    for batch in batches:
+        runs = [pa.array([_folded_text(x) for x in batch.slice(i, 64).to_pylist()], pa.string()) for i in range(0, len(batch), 64)]
+        yield pa.concat_arrays(runs) if runs else pa.array([], pa.string())
+        del batch, runs
+        pa.default_memory_pool().release_unused()
 
 
 def text_key(x: Column) -> Column:
     """NFKC, case folded, blanks collapsed. Symbols stay, so '<10' and '>10' differ."""
-    return F.pandas_udf(_fold, "string")(x)
+    return F.arrow_udf(_fold, "string")(x)
 
 
 def digest(x: Column) -> Column:

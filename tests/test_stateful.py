@@ -151,3 +151,17 @@ def test_dialogue_replay_equals_the_stream(spark, tmp_path):
     q.stop()
     got = {tuple(r) for r in spark.table("dialogue").collect()}
     assert batch == {r for r in got if r[6] != "late_turn"}
+
+
+def test_text_keys_are_made_a_run_at_a_time(spark):
+    import unicodedata
+
+    import pyarrow as pa
+
+    from quillspark.functions.text import _fold
+
+    texts = [None, "", " A\tb  C\x1c", "Straße ﬁn", "Ａ１ é <10", "ǅ İ"] * 40
+    want = [None if x is None else " ".join(unicodedata.normalize("NFKC", x).casefold().split()) for x in texts]
+    assert [b.to_pylist() for b in _fold(iter([pa.array(texts, pa.string()), pa.array([], pa.string())]))] == [want, []]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, x string").coalesce(1)
+    assert [r.k for r in df.select("i", text_key(F.col("x")).alias("k")).orderBy("i").collect()] == want
