@@ -1,29 +1,35 @@
-"""Katz backoff language model: Good-Turing discounted counts with exactly normalised backoff.
+"""Katz backoff language model: Good-Turing discounted counts with exactly normalised, recursive backoff.
 
-The model has bigram order, P(w | h):
+The model has order 2 or 3. P(w | h) of a history h of order - 1 words, h' being h without its first word:
 
-* seen bigram: d(c) * c(h, w) / c(h), with the Good-Turing discount ratio d for c up to `k`;
-* unseen bigram: alpha(h) * P(w), alpha(h) = (mass left at h) / (1 - sum of P over the words seen after h);
+* seen after h: d(c) * c(h, w) / c(h), with the order's own Good-Turing discount ratio d for c up to `k`;
+* else alpha(h) * P(w | h'), alpha(h) = (mass left at h) / (1 - sum of P(. | h') over the words seen after h);
+* a history that wasn't seen: P(w | h');
 * P(w) = d(c) * c(w) / N for a known word; all unknown words are one class with the mass left over.
 
 So P(. | h) sums to 1 over the known words and the unknown class for every h. A text is scored as its
-words followed by one end token; the first word's history is a begin mark, which is not a token.
+words followed by one end token; the first word's history is a begin mark, which is not a token, and that
+alone at any order.
 
 How it runs. The scan is cut into blocks of documents (a partition's rows in order, up to
 `block_tokens` words), each aggregated to its distinct keys before anything is shuffled:
 
-1. blocks send distinct words with counts to word buckets (ranges of the word's hash), which write the
-   unigram table: for each block the corpus count of each of its words, and counts of counts;
-2. blocks, now with their words' counts, send distinct bigrams to history buckets, which write the
-   bigram table: corpus counts, and for each history its total, its successors with counts 1..k, and
-   the sum of P over its successors, from which alpha follows exactly;
-3. blocks evaluate P recursively for each token.
+1. blocks send distinct words with counts to word buckets (ranges of the word's hash), which number them,
+   the frequent first, and write the unigram table: for each block the number and corpus count of each of its
+   words, and counts of counts. Blocks are then written as sequences of numbers;
+2. blocks send distinct bigrams to history buckets, which write the bigram table: corpus counts, and for each
+   history its successors with counts 1..k and the sum of P over its successors, from which alpha follows
+   exactly. Only blocks that back off from a history are told these two;
+3. the same for trigrams, whose history is a bigram, with the bigram counts known by then;
+4. blocks evaluate P recursively for each token.
+
+What only one block holds is its own: a table tells a block which of its keys no other block asked for, and
+n-grams after such a history are counted in the block and not sent.
 
 A history with more than 1/(4 * buckets) of all training tokens (there are at most 4 * buckets such) is
 spread over all buckets by its successor, and its partial sums are added up; so no bucket grows with a
-frequent word. Bucket numbers grow with the input. Blocks travel compressed to meet their counts. A block
-sends a row to each bucket that it has a key for, so rows grow faster than the input until each holds one
-key, but are never more than a shuffle by key would have.
+frequent word. Bucket numbers grow with the input. A block sends a row to each bucket that it has a key for,
+so rows grow faster than the input until each holds one key, but are never more than a shuffle by key would have.
 
 Blocks are cut alike on each visit: a table that is no plain scan is written first, and the session's
 files are split for the cores that it had at the start, whatever executors come and go. A text is never
@@ -47,27 +53,33 @@ from quillspark.llm import shared
 
 U64 = np.uint64
 END = U64(0xE4D0E4D0E4D0E4D1)
-BEGIN = U64(0xB561B561B561B563)
-LOW48 = U64((1 << 48) - 1)
+#: The number of the begin mark, as a history; as a successor, the class of the words that were never seen there.
+NONE = 0
+LOW32 = U64((1 << 32) - 1)
 
 _SENT = "bucket long, block long, payload binary"
 _BACK = "kind string, bucket long, block long, n long, total long, payload binary"
 
 
 def discounts(of_counts: np.ndarray, k: int) -> np.ndarray:
-    """Ratios d(1..k) from n_1..n_{k+1}; where Good-Turing gives none in (0, 1], absolute ones (c - 1/2) / c.
+    """Good-Turing ratios d(1..k) from n_1..n_{k+1}, by Katz's formula.
+
+    Where they aren't all in (0, 1], the cutoff is the largest below k for which they are, and greater counts
+    keep their whole mass (1); where there is none, absolute ones (c - 1/2) / c.
 
     >>> [round(float(x), 3) for x in discounts(np.array([100, 40, 20, 12, 8, 6]), 5)]
-    [0.714, 0.857, 0.714, 0.762, 0.857]
+    [0.688, 0.609, 0.687, 0.74, 0.844]
+    >>> [round(float(x), 3) for x in discounts(np.array([100, 40, 20, 12, 8, 30]), 5)]
+    [0.667, 0.583, 0.667, 0.722, 1.0]
     """
     c = np.arange(1, k + 1)
     n = of_counts.astype(float)
-    if n[0] > 0:
+    for cut in range(k, 1, -1) if n[0] > 0 else ():
         with np.errstate(divide="ignore", invalid="ignore"):
-            tail = (k + 1) * n[k] / n[0]
-            d = ((c + 1) * n[1 : k + 1] / n[:k] / c - tail) / (1 - tail)
+            tail = (cut + 1) * n[cut] / n[0]
+            d = ((c[:cut] + 1) * n[1 : cut + 1] / n[:cut] / c[:cut] - tail) / (1 - tail)
         if np.all(np.isfinite(d)) and np.all(d > 0) and np.all(d <= 1):
-            return d
+            return np.concatenate([d, np.ones(k - cut)])
     return (c - 0.5) / c
 
 
@@ -153,46 +165,168 @@ _SENT_A = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("payload",
 _BACK_A = pa.schema([("kind", pa.string()), ("bucket", pa.int64()), ("block", pa.int64()), ("n", pa.int64()), ("total", pa.int64()), ("payload", pa.binary())])
 
 
-def _histories(seq: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    h = np.empty_like(seq)
-    h[1:] = seq[:-1]
-    h[offsets[:-1]] = BEGIN
-    return h
-
+class _Grams:
+    """The distinct n-grams of a block, by history and word, and what is known of their histories.
 
-class _Pairs:
-    """The distinct bigrams of a block in bucket order."""
+    `history` is each token's history, a place in `first` and `last` (its two numbers, in their order), -1
+    where it was never seen; `below` is the count of the token's n-gram without its first word.
+    """
 
-    def __init__(self, seq: np.ndarray, offsets: np.ndarray, train: np.ndarray, buckets: int, hot: np.ndarray):
-        h, w = _histories(seq, offsets), K.mix(seq ^ U64(0x5851F42D4C957F2D)) & LOW48
-        full = K.fold(h, w)
-        # a hot history is spread by its successor, any other goes by itself; within a bucket by history, then word
+    def __init__(self, history: np.ndarray, words: np.ndarray, train: np.ndarray, first: np.ndarray, last: np.ndarray, total: np.ndarray, own: np.ndarray, below: np.ndarray, buckets: int, hot: np.ndarray):
+        self.history, self.first, self.last, self.total, self.own = history, first, last, total, own
+        tokens = np.flatnonzero(history >= 0)
+        key = history[tokens].astype(U64) << U64(32) | np.where(below[tokens] > 0, words[tokens], NONE).astype(U64)
+        key, example, which = np.unique(key, return_index=True, return_inverse=True)
+        self.which = np.full(len(history), -1, np.int64)
+        self.which[tokens] = which
+        self.example = tokens[example]
+        self.h, self.w = (key >> U64(32)).astype(np.int64), key & LOW32
+        self.count = np.bincount(which, train[tokens], len(key)).astype(np.int64)
+        self.below = below[self.example]
+        # what follows a history that other blocks know too is sent; a hot history is spread by its successor, any other goes by itself
+        self.sent = np.flatnonzero(~own[self.h])
+        at = self.h[self.sent]
+        name = first[at].astype(U64) << U64(32) | last[at].astype(U64)
+        route = K.mix(name ^ U64(0x5851F42D4C957F2D))
         if len(hot):
-            at = np.minimum(np.searchsorted(hot, h), len(hot) - 1)
-            route = np.where(hot[at] == h, full, h)
-        else:
-            route = h
-        bucket = ((route >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int64)
-        del full, route
-        order = np.lexsort((w, h, bucket))
-        b, h, w = bucket[order].astype(np.int32), h[order], w[order]
-        del bucket
-        new = np.concatenate([[True], (w[1:] != w[:-1]) | (h[1:] != h[:-1]) | (b[1:] != b[:-1])]) if len(b) else np.zeros(0, bool)
-        first = np.flatnonzero(new)
-        self.which = np.empty(len(order), np.int32)
-        self.which[order] = np.cumsum(new, dtype=np.int32) - 1
-        self.example = order[first]
-        self.b, self.h, self.w = b[first], h[first], w[first]
-        self.count = np.add.reduceat(train[order].astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
-        self.cuts = np.searchsorted(self.b, np.arange(buckets + 1))
-
-
-def katz_scores(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, block_tokens: int = 800_000, bucket_bytes: int = 4 << 20) -> DataFrame:
-    """Scores every text of docs with a model of the texts where `train` holds.
+            route = np.where(hot[np.minimum(np.searchsorted(hot, name), len(hot) - 1)] == name, K.fold(name, self.w[self.sent]), route)
+        bucket = ((route >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        self.sent = self.sent[order]
+        self.cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+
+    def unsent(self, k: int) -> np.ndarray:
+        """Counts of counts 1..k+1 of the n-grams that aren't sent."""
+        return np.bincount(np.minimum(self.count[self.own[self.h]], k + 2), minlength=k + 3)[1 : k + 2]
+
+    def rows(self, block: int, below_history: np.ndarray, k: int) -> list[tuple]:
+        """A row for each bucket that gets something; the first has the counts of counts of what isn't sent."""
+        out, unsent = [], self.unsent(k)
+        for b in range(len(self.cuts) - 1):
+            mine = self.sent[self.cuts[b] : self.cuts[b + 1]]
+            if len(mine) or (b == len(self.cuts) - 2 and not out):
+                starts = K.segments(self.h[mine])
+                at = self.h[mine][starts]
+                lengths = np.diff(starts, append=len(mine))
+                parts = [K.pack(unsent * (not out)), K.pack_sorted(self.first[at]), K.pack(self.last[at]), K.pack(below_history[at]), K.pack(lengths), K.pack(self.w[mine]), K.pack(self.count[mine]), K.pack(self.below[mine])]
+                out.append((b, block, b"".join(parts)))
+        return out
+
+
+def _sums(h: np.ndarray, total: np.ndarray, p: np.ndarray, m: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """By history: the successors with counts 1..k (columns), and the sum of the lower order's p over those seen."""
+    small = np.stack([np.bincount(h[total == i], minlength=m) for i in range(1, k + 1)], axis=1).astype(np.int64)
+    seen = total > 0
+    return small, np.bincount(h[seen], p[seen], m).astype(float)  # of nothing, integers
+
+
+def _bits(small: np.ndarray) -> np.ndarray:
+    """Which of the counts 1..k occur, as bits."""
+    return ((small > 0) << np.arange(small.shape[1])).sum(axis=1)
+
+
+def _leaves(bits: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Whether discounting leaves any mass, from those bits."""
+    return bits & int(((d < 1) << np.arange(len(d))).sum()) > 0
+
+
+def _seen(count: np.ndarray, total: np.ndarray, leaves: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """P of an n-gram that was seen."""
+    ratio = np.where(count <= len(d), np.concatenate([[0.0], d])[np.minimum(count, len(d))], 1.0)
+    return np.where(leaves, 1.0, total / (total + 1.0)) * ratio * count / np.maximum(total, 1)
+
+
+class _Block:
+    """A block as numbers of words, and its levels as far as their tables are given."""
+
+    def __init__(self, group: pa.Table, begun: int):
+        self.kinds, self.at = np.array(group["kind"].to_pylist()), np.array(group["bucket"].to_pylist())
+        self.group = group
+        row = int(np.flatnonzero(self.kinds == "seq")[0])
+        data = group["payload"][row].as_py()
+        self.ids = group["ids"][row].values
+        names, pos = K.unpack_sorted(data)
+        told, pos = K.unpack(data, pos)
+        seq, pos = K.unpack(data, pos)
+        lengths, pos = K.unpack(data, pos)
+        flags, pos = K.unpack(data, pos)
+        self.flags, self.n = flags.astype(bool), lengths.astype(np.int64)
+        self.offsets = np.concatenate([[0], np.cumsum(self.n)])
+        seq = seq.astype(np.int64)
+        self.words, self.train = names.astype(np.int64)[seq], np.repeat(self.flags, self.n)
+        count, own = (told >> U64(1)).astype(np.int64), (told & U64(1)).astype(bool)
+        self.count = count[seq]
+        self.begins = np.zeros(len(seq), bool)
+        self.begins[self.offsets[:-1]] = True
+        # histories of one word: the begin mark, then the block's words
+        self.names, self.totals, self.owned = np.concatenate([[NONE], names.astype(np.int64)]), np.concatenate([[begun], count]), np.concatenate([[False], own])
+        history = np.zeros(len(seq), np.int64)
+        history[1:] = seq[:-1] + 1
+        history[self.begins] = 0
+        self.history = np.where(self.totals[history] > 0, history, -1)
+
+    def pairs(self, buckets: int, hot: np.ndarray) -> _Grams:
+        return _Grams(self.history, self.words, self.train, np.zeros_like(self.names), self.names, self.totals, self.owned, self.count, buckets, hot)
+
+    def triples(self, pairs: _Grams, counts: np.ndarray, own: np.ndarray, buckets: int, hot: np.ndarray) -> _Grams:
+        """From the bigrams' corpus counts, and whether they are this block's own."""
+        history = np.full(len(self.words), -1, np.int64)
+        history[1:] = pairs.which[:-1]
+        history[self.begins] = -1
+        history[(history >= 0) & (counts[history] == 0)] = -1
+        below = np.where(pairs.which >= 0, counts[pairs.which], 0)
+        return _Grams(history, self.words, self.train, pairs.last[pairs.h], pairs.w.astype(np.int64), counts, own, below, buckets, hot)
+
+    def told(self, grams: _Grams, kind: str, lower: np.ndarray, d: np.ndarray, hot: tuple, k: int) -> tuple[np.ndarray, ...]:
+        """(corpus counts of the n-grams, whether own, whether histories leave mass, each token's P) from `lower`, P one order below."""
+        m = len(grams.total)
+        counts, own = grams.count.copy(), np.ones(len(grams.h), bool)
+        kept = grams.own[grams.h]
+        small, sums = _sums(grams.h[kept], counts[kept], lower[grams.example[kept]], m, k)
+        bits = _bits(small)
+        got = 0
+        for i in np.flatnonzero(self.kinds == kind):
+            mine = grams.sent[grams.cuts[self.at[i]] : grams.cuts[self.at[i] + 1]]
+            if not len(mine):
+                continue
+            got += len(mine)
+            data = self.group["payload"][int(i)].as_py()
+            told, pos = K.unpack(data)
+            assert len(told) == len(mine), "a block changed between two visits"
+            counts[mine], own[mine] = (told >> U64(1)).astype(np.int64), (told & U64(1)).astype(bool)
+            starts = K.segments(grams.h[mine])
+            at = grams.h[mine][starts]
+            some, pos = K.unpack(data, pos)
+            bits[at] = some.astype(np.int64)
+            off = at[np.logical_or.reduceat(counts[mine] == 0, starts)]
+            few, pos = K.unpack(data, pos)
+            small[off] = few.astype(np.int64).reshape(-1, k)
+            sums[off] = np.frombuffer(data, float, len(off), pos)
+        assert got == len(grams.sent), "a block changed between two visits"
+        hot_name, hot_small, hot_sums = hot
+        if len(hot_name):
+            name = grams.first.astype(U64) << U64(32) | grams.last.astype(U64)
+            spot = np.minimum(np.searchsorted(hot_name, name), len(hot_name) - 1)
+            mine = np.flatnonzero((hot_name[spot] == name) & ~grams.own)
+            small[mine], sums[mine] = hot_small[spot[mine]], hot_sums[spot[mine]]
+            bits[mine] = _bits(small[mine])
+        leaves = _leaves(bits, d)
+        _, alpha = alpha_of(grams.total, small, sums, d)
+        known = np.flatnonzero(grams.which >= 0)
+        which, h = grams.which[known], grams.history[known]
+        p = lower.copy()
+        p[known] = np.where(counts[which] > 0, _seen(counts[which], grams.total[h], leaves[h], d), alpha[h] * lower[known])
+        return counts, own, leaves, p
+
+
+def katz_scores(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: str = "text", order: int = 2, k: int = 5, block_tokens: int = 800_000, bucket_bytes: int = 4 << 20) -> DataFrame:
+    """Scores every text of docs with a model, of order 2 or 3, of the texts where `train` holds.
 
     Returns id, held_out, n_tokens, n_known, train_tokens (N), vocabulary (V), base_score (add-one
     unigram) and score, both as log10 of the text's probability.
     """
+    if order not in (2, 3):
+        raise ValueError(f"order is {order}, not 2 or 3")
     spark = docs.sparkSession
     # the blocks must be the same rows on each visit, so anything but a plain scan is written first
     docs = docs.select(F.col(id_col).alias("id"), F.coalesce(train, F.lit(False)).alias("train"), F.col(text_col).alias("text"))
@@ -223,27 +357,33 @@ def katz_scores(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_
             a, at = K.unpack_sorted(data)
             keys.append(a)
             counts.append(K.unpack(data, at)[0].astype(np.int64))
-        every, where = np.unique(np.concatenate(keys), return_inverse=True)
+        every, where, asked = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
         total = np.bincount(where, np.concatenate(counts), len(every)).astype(np.int64)
+        # a word's number: its rank here, then the bucket, so that frequent words have small ones
+        name = np.empty(len(every), np.int64)
+        name[np.argsort(-total, kind="stable")] = np.arange(len(every)) * buckets + bucket + 1
+        if name.max() >> 32:
+            raise ValueError("more than 2^32 distinct words")
+        told = total * 2 + (asked == 1)
         ends = np.cumsum([len(x) for x in keys])
-        rows = [("back", bucket, block, 0, 0, K.pack(total[where[e - len(x) : e]])) for block, x, e in zip(blocks, keys, ends, strict=True)]
+        rows = [("back", bucket, block, 0, 0, K.pack(told[where[e - len(x) : e]]) + K.pack(name[where[e - len(x) : e]])) for block, x, e in zip(blocks, keys, ends, strict=True)]
         small = np.bincount(np.minimum(total, k + 2), minlength=k + 3)[1 : k + 2]
         rows += [("of_counts", bucket, i + 1, int(n), 0, b"") for i, n in enumerate(small)]
         rows.append(("size", bucket, 0, int((total > 0).sum()), int(total.sum()), b""))
         # candidates for hot histories: those with that share of the bucket's own tokens are a superset within it
         often = np.flatnonzero(total >= max(1, hot_share * total.sum()))
-        rows += [("often", bucket, -1, int(total[i]), 0, int(every[i]).to_bytes(8, "little")) for i in often]
+        rows += [("often", bucket, -1, int(total[i]), int(name[i]), b"") for i in often]
         return pa.Table.from_batches([_rows(_BACK_A, rows)])
 
     words = shared.keep(docs.mapInArrow(count_words, _SENT).groupBy("bucket").applyInArrow(add_words, _BACK), "katz-words")
     facts = {(r.kind, r.at): (r.n, r.total) for r in words.where("kind in ('of_counts', 'size')").groupBy("kind", F.col("block").alias("at")).agg(F.sum("n").alias("n"), F.sum("total").alias("total")).collect()}
     v, n_train = facts.get(("size", 0), (0, 0))
     uni = Unigrams(n_train, v, np.array([facts.get(("of_counts", i), (0, 0))[0] for i in range(1, k + 2)]), k)
-    # at most 4 * buckets words have this share of all tokens
-    hot = words.where((F.col("kind") == "often") & (F.col("n") >= max(1, hot_share * n_train))).select("payload").distinct()
     begun = docs.where("train").count()
-    hot_keys = [int.from_bytes(r.payload, "little") for r in hot.collect()] + [int(BEGIN)] * (begun >= hot_share * max(n_train, 1))
-    hot_h = np.unique(np.array(hot_keys, U64))
+
+    def often(table: DataFrame) -> list[int]:
+        # at most 4 * buckets histories have this share of all tokens
+        return [r.total for r in table.where((F.col("kind") == "often") & (F.col("n") >= max(1, hot_share * n_train))).select("total").collect()]
 
     def send_blocks(batches):
         for block, table in cut(batches):
@@ -254,16 +394,15 @@ def katz_scores(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_
 
     id_type = docs.schema["id"].dataType
     block_type = T.StructType([T.StructField("block", T.LongType()), T.StructField("kind", T.StringType()), T.StructField("bucket", T.LongType()), T.StructField("payload", T.BinaryType()), T.StructField("ids", T.ArrayType(id_type))])
-    texts = docs.mapInArrow(send_blocks, block_type)
 
-    def met(*tables: tuple[str, DataFrame]) -> DataFrame:
-        out = texts
+    def met(blocks: DataFrame, *tables: tuple[str, DataFrame]):
+        out = blocks
         for kind, table in tables:
             out = out.unionByName(table.where("kind = 'back'").select("block", F.lit(kind).alias("kind"), "bucket", "payload"), allowMissingColumns=True)
         return out.groupBy("block")
 
-    def opened(group: pa.Table):
-        """A block's sequence, offsets, training flags, ids and its words' corpus counts."""
+    def number(group: pa.Table) -> pa.Table:
+        """A block's texts as numbers of words, with the words' corpus counts."""
         kinds, at = np.array(group["kind"].to_pylist()), np.array(group["bucket"].to_pylist())
         row = int(np.flatnonzero(kinds == "text")[0])
         data = group["payload"][row].as_py()
@@ -274,124 +413,144 @@ def katz_scores(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_
         ends = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
         column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(ends), raw])
         seq, offsets = _sequence(pa.chunked_array([column]))
+        del raw, column
         keys, where = np.unique(seq, return_inverse=True)
         mine = np.flatnonzero(kinds == "words")
-        mine = mine[np.argsort(at[mine])]
-        counts = np.concatenate([K.unpack(group["payload"][int(i)].as_py())[0] for i in mine]).astype(np.int64)
-        assert len(counts) == len(keys), "a block changed between two visits"
-        return seq, offsets, flags.astype(bool), group["ids"][row].values, counts[where], kinds, at
-
-    def send_pairs(group: pa.Table) -> pa.Table:
-        block = group["block"][0].as_py()
-        seq, offsets, flags, _, c, _, _ = opened(group)
-        pairs = _Pairs(seq, offsets, np.repeat(flags, np.diff(offsets)), buckets, hot_h)
-        c_word, rows = c[pairs.example], []
-        for b in range(buckets):
-            i, j = pairs.cuts[b], pairs.cuts[b + 1]
-            if j > i:
-                runs = K.segments(pairs.h[i:j])
-                payload = K.pack_sorted(pairs.h[i:j][runs]) + K.pack(np.diff(runs, append=j - i)) + K.pack(pairs.w[i:j]) + K.pack(pairs.count[i:j]) + K.pack(c_word[i:j])
-                rows.append((b, block, payload))
-        del seq, pairs, c, c_word
-        K.trim()
-        return pa.Table.from_batches([_rows(_SENT_A, rows)])
-
-    def add_pairs(group: pa.Table) -> pa.Table:
-        bucket = group["bucket"][0].as_py()
-        blocks, hs, ns, ws, cs, ps = group["block"].to_pylist(), [], [], [], [], []
-        for data in group["payload"]:
-            data = data.as_py()
-            a, at = K.unpack_sorted(data)
-            n, at = K.unpack(data, at)
-            w, at = K.unpack(data, at)
-            c, at = K.unpack(data, at)
-            p, at = K.unpack(data, at)
-            for x, y in zip((hs, ns, ws, cs, ps), (a, n.astype(np.int64), w, c.astype(np.int64), p), strict=True):
-                x.append(y)
-        every_h, where_h = np.unique(np.concatenate(hs), return_inverse=True)
-        h_of = np.repeat(where_h, np.concatenate(ns))
-        w, p = np.concatenate(ws), np.concatenate(ps)
-        del ws, ps
+        told, names = [], []
+        for i in mine[np.argsort(at[mine])]:
+            data = group["payload"][int(i)].as_py()
+            a, pos = K.unpack(data)
+            told.append(a)
+            names.append(K.unpack(data, pos)[0])
+        told, names = np.concatenate(told), np.concatenate(names)
+        assert len(told) == len(keys), "a block changed between two visits"
+        by = np.argsort(names)
+        place = np.empty(len(by), np.int64)
+        place[by] = np.arange(len(by))
+        payload = K.pack_sorted(names[by]) + K.pack(told[by]) + K.pack(place[where]) + K.pack(np.diff(offsets)) + K.pack(flags)
+        ids = group["ids"].combine_chunks().slice(row, 1) if group["ids"].num_chunks else group["ids"]
+        del seq, keys, where, told, names
         K.trim()
-        order = np.lexsort((w, h_of))
-        new = np.concatenate([[True], (h_of[order][1:] != h_of[order][:-1]) | (w[order][1:] != w[order][:-1])])
-        first = np.flatnonzero(new)
-        which = np.empty(len(order), np.int64)
-        which[order] = np.cumsum(new) - 1
-        total = np.bincount(which, np.concatenate(cs), len(first)).astype(np.int64)
-        h_first, seen = h_of[order][first], total > 0
-        m = len(every_h)
-        sums = np.bincount(h_first, total, m).astype(np.int64)
-        small = np.stack([np.bincount(h_first, total == i, m).astype(np.int64) for i in range(1, k + 1)], axis=1)
-        lower = np.bincount(h_first[seen], uni.p(p[order][first][seen]), m)
-        is_hot = np.isin(every_h, hot_h)
-        rows = []
-        end_pair, end_h = np.cumsum([int(x.sum()) for x in ns]), np.cumsum([len(x) for x in hs])
-        for block, n, a, e, eh in zip(blocks, ns, hs, end_pair, end_h, strict=True):
-            own = where_h[eh - len(a) : eh]
-            payload = K.pack(total[which[e - int(n.sum()) : e]]) + K.pack(sums[own]) + K.pack(small[own].ravel()) + lower[own].tobytes()
-            rows.append(("back", bucket, block, 0, 0, payload))
-        rows += [("of_counts", bucket, i, int((total == i).sum()), 0, b"") for i in range(1, k + 2)]
-        for i in np.flatnonzero(is_hot):
-            rows.append(("hot", bucket, -1, 0, 0, np.concatenate([[every_h[i]], [U64(sums[i])], small[i].astype(U64), lower[i : i + 1].view(U64)]).astype(U64).tobytes()))
-        return pa.Table.from_batches([_rows(_BACK_A, rows)])
-
-    pairs = shared.keep(met(("words", words)).applyInArrow(send_pairs, _SENT).groupBy("bucket").applyInArrow(add_pairs, _BACK), "katz-pairs")
-    of_pairs = {r.block: r.n for r in pairs.where("kind = 'of_counts'").groupBy("block").agg(F.sum("n").alias("n")).collect()}
-    d2 = discounts(np.array([of_pairs.get(i, 0) for i in range(1, k + 2)]), k)
+        return pa.table([pa.array([group["block"][0].as_py()]), pa.array(["seq"]), pa.array([-1], pa.int64()), pa.array([payload], pa.binary()), ids], ["block", "kind", "bucket", "payload", "ids"])
+
+    seqs = shared.keep(met(docs.mapInArrow(send_blocks, block_type), ("words", words)).applyInArrow(number, block_type), "katz-blocks")
+
+    def adds(lower: Callable) -> Callable:
+        """Adds up a bucket's n-grams; `lower` gives P one order below of those seen, from (their count there, what was sent with the history)."""
+        hot = hots[-1]
+
+        def add(group: pa.Table) -> pa.Table:
+            bucket, blocks, unsent, parts = group["bucket"][0].as_py(), group["block"].to_pylist(), np.zeros(k + 1, np.int64), []
+            for data in group["payload"]:
+                data = data.as_py()
+                a, at = K.unpack(data)
+                unsent += a.astype(np.int64)
+                first, at = K.unpack_sorted(data, at)
+                arrays = [first]
+                for _ in range(6):
+                    a, at = K.unpack(data, at)
+                    arrays.append(a)
+                parts.append(arrays)
+            first, last, below_h, lengths, w, count, below = (np.concatenate(x) for x in zip(*parts, strict=True))
+            per_h, per_w = np.cumsum([0] + [len(x[0]) for x in parts]), np.cumsum([0] + [len(x[4]) for x in parts])
+            del parts
+            names, example_h, where_h = np.unique(first << U64(32) | last, return_index=True, return_inverse=True)
+            del first, last
+            key, example, which, asked = np.unique(np.repeat(where_h, lengths.astype(np.int64)).astype(U64) << U64(32) | w, return_index=True, return_inverse=True, return_counts=True)
+            h, w, m = (key >> U64(32)).astype(np.int64), key & LOW32, len(names)
+            total = np.bincount(which, count, len(key)).astype(np.int64)
+            small, sums = _sums(h, total, lower(below[example].astype(np.int64), below_h[example_h][h].astype(np.int64)), m, k)
+            bits, told = _bits(small), total * 2 + (asked == 1)
+            del count, below, below_h, key, example, asked
+            K.trim()
+            rows = []
+            for j, block in enumerate(blocks):
+                at, mine = where_h[per_h[j] : per_h[j + 1]], which[per_w[j] : per_w[j + 1]]
+                if not len(mine):
+                    continue
+                starts = np.concatenate([[0], np.cumsum(lengths[per_h[j] : per_h[j + 1]].astype(np.int64))[:-1]])
+                off = at[np.logical_or.reduceat(total[mine] == 0, starts)]
+                rows.append(("back", bucket, block, 0, 0, K.pack(told[mine]) + K.pack(bits[at]) + K.pack(small[off].ravel()) + sums[off].tobytes()))
+            rows += [("of_counts", bucket, i, int((total == i).sum() + unsent[i - 1]), 0, b"") for i in range(1, k + 2)]
+            for i in np.flatnonzero(total >= max(1, hot_share * n_train)):
+                if not names[h[i]] >> U64(32):  # as a history of the next order
+                    rows.append(("often", bucket, -1, int(total[i]), int((names[h[i]] << U64(32) | w[i]).view(np.int64)), b""))
+            for i in np.flatnonzero(np.isin(names, hot)):
+                rows.append(("hot", bucket, -1, 0, 0, np.concatenate([names[i : i + 1], small[i].astype(U64), sums[i : i + 1].view(U64)]).astype(U64).tobytes()))
+            return pa.Table.from_batches([_rows(_BACK_A, rows)])
+
+        return add
 
-    # the hot histories' partial sums; at most 4 * buckets histories, added up by the executors before they are read
     def open_hot(batches):
         for batch in batches:
-            raw = np.frombuffer(b"".join(x.as_py() for x in batch.column("payload")), U64).reshape(-1, k + 3)
-            yield pa.RecordBatch.from_arrays([pa.array(raw[:, 0].view(np.int64)), *(pa.array(raw[:, i].view(np.int64)) for i in range(1, k + 2)), pa.array(np.ascontiguousarray(raw[:, k + 2]).view(np.float64))], ["h", *(f"s{i}" for i in range(k + 1)), "lower"])
+            raw = np.frombuffer(b"".join(x.as_py() for x in batch.column("payload")), U64).reshape(-1, k + 2)
+            yield pa.RecordBatch.from_arrays([*(pa.array(raw[:, i].view(np.int64)) for i in range(k + 1)), pa.array(np.ascontiguousarray(raw[:, k + 1]).view(np.float64))], ["h", *(f"s{i}" for i in range(k)), "lower"])
+
+    def table_of(sent: DataFrame, lower: Callable, name: str) -> tuple[DataFrame, np.ndarray, tuple]:
+        """The written table of an order, its discounts, and its hot histories' sums."""
+        table = shared.keep(sent.groupBy("bucket").applyInArrow(adds(lower), _BACK), name)
+        of = {r.block: r.n for r in table.where("kind = 'of_counts'").groupBy("block").agg(F.sum("n").alias("n")).collect()}
+        d = discounts(np.array([of.get(i, 0) for i in range(1, k + 2)]), k)
+        # the hot histories' partial sums; at most 4 * buckets histories, added up by the executors before they are read
+        opened = table.where("kind = 'hot'").select("payload").mapInArrow(open_hot, "h long, " + ", ".join(f"s{i} long" for i in range(k)) + ", lower double")
+        found = opened.groupBy("h").agg(*(F.sum(f"s{i}").alias(f"s{i}") for i in range(k)), F.sum("lower").alias("lower")).collect() if len(hots[-1]) else []
+        names = np.array([r.h for r in found], np.int64).view(U64)
+        by = np.argsort(names)
+        return table, d, (names[by], np.array([[r[f"s{i}"] for i in range(k)] for r in found], np.int64).reshape(-1, k)[by], np.array([r.lower for r in found], float)[by])
+
+    hots = [np.unique(np.array(often(words) + [NONE] * (begun >= hot_share * max(n_train, 1)), np.int64).view(U64))]
+
+    def send_pairs(batches):
+        hot = hots[0]
+        for batch in batches:
+            for i in range(batch.num_rows):
+                group = pa.Table.from_batches([batch.slice(i, 1)])
+                x = _Block(group, begun)
+                pairs = x.pairs(buckets, hot)
+                yield _rows(_SENT_A, pairs.rows(group["block"][0].as_py(), np.zeros(len(pairs.total), np.int64), k))
+                del x, pairs, group
+                K.trim()
+
+    pairs, d2, hot2 = table_of(seqs.mapInArrow(send_pairs, _SENT), lambda below, _: uni.p(below), "katz-pairs")
+    tables = [("pairs", pairs)]
+    if order == 3:
+        hots.append(np.unique(np.array(often(pairs), np.int64).view(U64)))
+        hot_pairs, hot_triples = hots
+
+        def send_triples(group: pa.Table) -> pa.Table:
+            x = _Block(group, begun)
+            two = x.pairs(buckets, hot_pairs)
+            counts, own, leaves, _ = x.told(two, "pairs", uni.p(x.count), d2, hot2, k)
+            three = x.triples(two, counts, own, buckets, hot_triples)
+            # with a history goes what the order below needs: the count of its last word as a history, and whether that leaves mass
+            last = x.history[three.example]
+            below = np.zeros(len(three.total), np.int64)
+            below[three.h] = x.totals[last] * 2 + leaves[last]
+            rows = three.rows(group["block"][0].as_py(), below, k)
+            del x, two, three, counts, own, leaves, last, below
+            K.trim()
+            return pa.Table.from_batches([_rows(_SENT_A, rows)])
 
-    hot_sum = pairs.where("kind = 'hot'").select("payload").mapInArrow(open_hot, "h long, " + ", ".join(f"s{i} long" for i in range(k + 1)) + ", lower double").groupBy("h").agg(*(F.sum(f"s{i}").alias(f"s{i}") for i in range(k + 1)), F.sum("lower").alias("lower"))
-    hot_rows = hot_sum.collect() if len(hot_h) else []
-    hot_at = np.array([r.h for r in hot_rows], np.int64).view(U64)
-    hot_order = np.argsort(hot_at)
-    hot_at = hot_at[hot_order]
-    hot_stats = np.array([[r[f"s{i}"] for i in range(k + 1)] for r in hot_rows], np.int64).reshape(-1, k + 1)[hot_order]
-    hot_lower = np.array([r.lower for r in hot_rows], float)[hot_order]
+        triples, d3, hot3 = table_of(met(seqs, ("pairs", pairs)).applyInArrow(send_triples, _SENT), lambda below, h: _seen(below, h >> 1, (h & 1).astype(bool), d2), "katz-triples")
+        tables.append(("triples", triples))
+
+    hot_pairs, hot_triples = hots[0], hots[-1]
 
     def evaluate(group: pa.Table) -> pa.Table:
-        seq, offsets, flags, ids, c, kinds, at = opened(group)
-        n = np.diff(offsets)
-        pairs = _Pairs(seq, offsets, np.repeat(flags, n), buckets, hot_h)
-        mine = np.flatnonzero(kinds == "pairs")
-        mine = mine[np.argsort(at[mine])]
-        counts, sums, small, lower = [], [], [], []
-        for i in mine:
-            data = group["payload"][int(i)].as_py()
-            a, pos = K.unpack(data)
-            b, pos = K.unpack(data, pos)
-            s, pos = K.unpack(data, pos)
-            counts.append(a.astype(np.int64))
-            sums.append(b.astype(np.int64))
-            small.append(s.astype(np.int64).reshape(-1, k))
-            lower.append(np.frombuffer(data, float, len(b), pos))
-        runs = K.segments(pairs.b * 0 + np.cumsum(np.concatenate([[0], ((pairs.h[1:] != pairs.h[:-1]) | (pairs.b[1:] != pairs.b[:-1])).astype(np.int64)])))
-        hist = pairs.h[runs]
-        c2, total, few, low = np.concatenate(counts), np.concatenate(sums), np.concatenate(small), np.concatenate(lower)
-        assert len(c2) == len(pairs.h) and len(total) == len(hist), "a block changed between two visits"
-        if len(hot_at):
-            spot = np.minimum(np.searchsorted(hot_at, hist), len(hot_at) - 1)
-            is_hot = hot_at[spot] == hist
-            total = np.where(is_hot, hot_stats[spot, 0], total)
-            few = np.where(is_hot[:, None], hot_stats[spot, 1:], few)
-            low = np.where(is_hot, hot_lower[spot], low)
-        scale, alpha = alpha_of(total, few, low, d2)
-        own = np.repeat(np.arange(len(hist)), np.diff(runs, append=len(pairs.h)))
-        ratio = np.where(c2 <= k, np.concatenate([[0.0], d2])[np.minimum(c2, k)], 1.0)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            p = np.where(c2 > 0, scale[own] * ratio * c2 / total[own], alpha[own] * uni.p(c[pairs.example]))
-        at0 = offsets[:-1]
-        base = np.add.reduceat(np.log10((c + 1.0) / (n_train + (v + 1.0))), at0)
-        score = np.add.reduceat(np.log10(np.maximum(p, 5e-324))[pairs.which], at0)
-        known = np.add.reduceat((c > 0).astype(np.int64), at0)
-        del seq, pairs, p, c, c2, counts, ratio, own
+        x = _Block(group, begun)
+        grams = x.pairs(buckets, hot_pairs)
+        counts, own, _, p = x.told(grams, "pairs", uni.p(x.count), d2, hot2, k)
+        if order == 3:
+            grams = x.triples(grams, counts, own, buckets, hot_triples)
+            *_, p = x.told(grams, "triples", p, d3, hot3, k)
+        del grams, counts, own
+        at0, ids, n, held = x.offsets[:-1], x.ids, x.n, ~x.flags
+        base = np.add.reduceat(np.log10((x.count + 1.0) / (n_train + (v + 1.0))), at0)
+        score = np.add.reduceat(np.log10(np.maximum(p, 5e-324)), at0)
+        known = np.add.reduceat((x.count > 0).astype(np.int64), at0)
+        del x, p
         K.trim()
-        return pa.table({"id": ids, "held_out": ~flags, "n_tokens": n, "n_known": known, "train_tokens": np.full(len(n), n_train), "vocabulary": np.full(len(n), v), "base_score": base, "score": score})
+        return pa.table({"id": ids, "held_out": held, "n_tokens": n, "n_known": known, "train_tokens": np.full(len(n), n_train), "vocabulary": np.full(len(n), v), "base_score": base, "score": score})
 
     schema = T.StructType([T.StructField("id", id_type), T.StructField("held_out", T.BooleanType()), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("train_tokens", T.LongType()), T.StructField("vocabulary", T.LongType()), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
-    return met(("words", words), ("pairs", pairs)).applyInArrow(evaluate, schema).withColumnRenamed("id", id_col)
+    return met(seqs, *tables).applyInArrow(evaluate, schema).withColumnRenamed("id", id_col)

@@ -33,7 +33,7 @@ def held_out(modulus: int, remainder: int):
 
 
 def op1_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return katz_scores(_table(spark, sf_dir, "documents"), ~held_out(7, 2))
+    return katz_scores(_table(spark, sf_dir, "documents"), ~held_out(7, 2), order=3)
 
 
 def op2_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
