@@ -450,7 +450,7 @@ def status_of(codes: Column, order: list[tuple[str, str]]) -> Column:
 def _read(cases: DataFrame) -> DataFrame:
     """cases (raw, text) with the typed contract, and why it can't be read."""
     raw = F.coalesce(F.col("raw"), F.lit(""))
-    x = cases.withColumn("__c", parsed(raw)).withColumn("__shape", structure(raw)).withColumn("__text", F.coalesce(F.col("text"), F.lit("")))
+    x = cases.withColumn("__c", parsed(raw)).withColumn("__shape", structure(raw, c=F.col("__c"))).withColumn("__text", F.coalesce(F.col("text"), F.lit("")))
     json = F.try_parse_json(raw)
     return x.withColumn("__broken", F.when(json.isNull(), "invalid_json").when(~F.schema_of_variant(json).startswith("OBJECT"), "not_object")).withColumn("__version", F.coalesce(F.col("__c.schema_version"), F.lit("")))
 

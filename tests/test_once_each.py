@@ -58,3 +58,31 @@ def test_rates_of_contracts_score_each_pair_once(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(Q, "score_12", lambda x: asked.append(x.count()) or x.select("weight", F.lit(True).alias("schema_valid"), *(F.lit(1).alias(c) for c in Q.C.COUNTERS_12)))
     assert QUERIES["contract_rates_12"](spark, str(tmp_path)).first().n == 50
     assert asked == [2]
+
+
+def test_rows_meet_their_kind_by_digest_also_of_nested_values(spark):
+    kind = F.col("id") % 5
+    x = spark.range(2000).select(F.col("id").cast("string").alias("case"), F.array(F.struct(F.when(kind > 0, kind).alias("a"), F.when(kind == 0, kind).alias("b"))).alias("set"))
+    f = lambda x: x.withColumn("said", F.to_json("set"))
+    want = {r.case: r.said for r in f(x).collect()}
+    for few in (20_000, 0):
+        told = once_each(x, ["set"], f, few)
+        assert {r.case: r.said for r in told.collect()} == want
+        joins = [line for line in told._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line]
+        assert joins and all("__id" in line and "set" not in line for line in joins)
+
+
+def test_contracts_and_pairs_of_equal_orders_are_written_once(spark, tmp_path, monkeypatch):
+    from quillspark.plans import contracts, requests as plans
+    from quillspark.plans.catalog import QUERIES
+
+    columns = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double, l_discount double, l_tax double"
+    spark.createDataFrame([(o, ln, 1, 1, float(ln), 10.0, 0.0, 0.0) for o in range(50) for ln in range(1, 3 + o % 2)], columns).write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.createDataFrame([(1, "PROMO")], "p_partkey long, p_type string").write.parquet(str(tmp_path / "part.parquet"))
+    made = []
+    for module, name in ((contracts, "written"), (plans, "pairs_of")):
+        old = getattr(module, name)
+        monkeypatch.setattr(module, name, lambda x, *more, old=old: made.append(x.count()) or old(x, *more))
+    assert QUERIES["contract_verdicts"](spark, str(tmp_path)).count() == 50
+    assert QUERIES["contract_equalities"](spark, str(tmp_path)).count() == 50
+    assert made == [2, 2]
